@@ -3,11 +3,12 @@
 A text's features are its distinct character n-grams (lower-cased, runs of anything but letters
 made one blank), hashed. Feature f has the value r_f, its naive Bayes log-count ratio
 
-    r_f = log((a + toxic texts with f) / (sum over features)) - log((a + other texts with f) / (...)),
+    r_f = log((a + toxic texts with f) / (2a + toxic texts)) - log((a + other texts with f) / (2a + other texts)),
 
-and a logistic regression with an L2 penalty is fitted on those values. Features that occur in too
-few labelled texts, or whose ratio is near zero, are left out: they carry no evidence, and in long
-texts their noise would add up.
+and a logistic regression with an L2 penalty is fitted on those values, both classes weighing the
+same. Features whose shares of the two classes don't differ significantly (a two-proportion z
+below ``Settings.least_z``) are left out: they carry no evidence, and in long texts their noise
+would add up.
 
 The fit uses a sample of the labelled rows that is bounded by ``Settings.per_class`` for each label
 (a hash of the id below a threshold); every text is scored whole.
@@ -42,9 +43,9 @@ class Settings:
     per_class: int = 5000
     smoothing: float = 1.0
     least_texts: int = 3
-    least_ratio: float = 0.7
+    least_z: float = 4.0
     penalty: float = 1e-3
-    steps: int = 250
+    steps: int = 150
     threshold: float = 0.7
     seed: int = 11
 
@@ -89,21 +90,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def log_count_ratios(toxic: np.ndarray, other: np.ndarray, smoothing: float) -> np.ndarray:
-    p, q = toxic + smoothing, other + smoothing
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, smoothing: float) -> np.ndarray:
+    return np.log((toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((other + smoothing) / (n_other + 2 * smoothing))
+
+
+def significance(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """z of the difference between the two classes' shares of texts that have the feature."""
+    share = (toxic + other) / (n_toxic + n_other)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_toxic + 1 / n_other))
+    return (toxic / n_toxic - other / n_other) / spread
 
 
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, values: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
     """Weights of the values and the intercept; rows hold indices into values. Full-batch Adam on
-    the mean log loss, so the result doesn't depend on the order of rows."""
+    the mean log loss of each class, so the result doesn't depend on the order of rows."""
+    share = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, int)
     x = values[col]
     theta, m, v = np.zeros(len(values) + 1), np.zeros(len(values) + 1), np.zeros(len(values) + 1)
     for step in range(1, settings.steps + 1):
         z = np.bincount(row, weights=x * theta[col], minlength=len(rows)) + theta[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) * share
         grad = np.append(np.bincount(col, weights=x * error[row], minlength=len(values)) + settings.penalty * theta[:-1], error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -137,8 +145,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     table = sample.mapInArrow(count, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= settings.least_texts)
     counts = table.toPandas()  # at most 2 ** bits rows
-    ratio = log_count_ratios(counts.p.to_numpy(np.float64), counts.q.to_numpy(np.float64), settings.smoothing)
-    used = np.abs(ratio) >= settings.least_ratio
+    numbers = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(numbers) < 2:
+        return Model(settings)
+    p, q = counts.p.to_numpy(np.float64), counts.q.to_numpy(np.float64)
+    ratio = log_count_ratios(p, q, numbers[1], numbers[0], settings.smoothing)
+    used = np.abs(significance(p, q, numbers[1], numbers[0])) >= settings.least_z
     ids, ratio = counts.f.to_numpy()[used], ratio[used]
     order = np.argsort(ids)
     ids, ratio = ids[order], ratio[order]
@@ -155,8 +167,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     gathered = sample.mapInArrow(thin, "y int, x binary").orderBy("y", F.md5("x")).collect()  # the bounded sample
     shared.destroy()
     rows = [np.frombuffer(r.x, dtype=np.int32) for r in gathered]
-    if len({r.y for r in gathered}) < 2:
-        return Model(settings)
     theta, intercept = fit_logistic(rows, np.array([r.y for r in gathered], dtype=np.float64), ratio, settings)
     weights = np.zeros(1 << bits, dtype=np.float32)
     weights[ids] = theta * ratio
