@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocaris.llm import bpe, langid, quality, toxicity
+from vocaris.llm import bpe, exact_dedup, langid, mixing, quality, toxicity
 from vocaris.llm.frames import crc32_of_id, table
 
 
@@ -21,6 +21,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(crc32_of_id(), F.lit(4)) == 2
     return langid.learn_and_identify(table(spark, sf_dir, "documents"), held_out)
@@ -31,8 +39,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op7_langid": op7_langid, "op10_quality": op10_quality}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_toxicity": op2_toxicity,
+        "op3_mixing": op3_mixing,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op7_langid": op7_langid,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
