@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocaris.llm import bpe, exact_dedup, langid, mixing, quality, toxicity
+from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, quality, toxicity, url_filter
 from vocaris.llm.frames import crc32_of_id, table
 
 
@@ -29,11 +29,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.learn(pages), carry=["page_id", "url"])
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(crc32_of_id(), F.lit(4)) == 2
     return langid.learn_and_identify(table(spark, sf_dir, "documents"), held_out)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
 
@@ -44,10 +53,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_html": op6_html,
         "op7_langid": op7_langid,
+        "op8_url_filter": op8_url_filter,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
