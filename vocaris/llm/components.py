@@ -25,9 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are cut, so that the joins have plain exchanges and Spark can split a hub's edges
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = cut(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     roots = state.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -91,7 +91,8 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     alone = rows.where("not __maybe").select(F.col("i").alias(id_col), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
 
     same = rows.where("__maybe").groupBy("k", "n", "i").agg(F.count(F.lit(1)).alias("m"))
-    groups = same.groupBy("k").agg(F.max(F.struct("n", (-F.col("i")).alias("o"))).alias("best"), F.sum("m").alias("group_size"))
+    # cut, so that the join below has plain exchanges on both sides and Spark can split a hot group
+    groups = cut(same.groupBy("k").agg(F.max(F.struct("n", (-F.col("i")).alias("o"))).alias("best"), F.sum("m").alias("group_size")))
     first = (F.col("n") == F.col("best.n")) & F.col("o").eqNullSafe(F.col("best.o"))
     together = (
         same.withColumn("o", -F.col("i"))
