@@ -67,19 +67,24 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(bare, "://") > 0, F.concat(scheme, host_of(bare), rest))
 
 
-def resolved(base: Column, link: Column) -> Column:
-    """The link as an absolute URL, relative to base."""
-    link = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
-    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
-    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
-    return (
-        F.when(link.isNull() | (link == ""), F.lit(None))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+def with_resolved(df: DataFrame, base: str, link: str, out: str) -> DataFrame:
+    """df with the link as an absolute URL, relative to base. Step by step, so that no expression
+    holds another one many times."""
+    df = df.withColumns({
+        "__link": F.trim(F.replace(F.col(link), F.lit("&amp;"), F.lit("&"))),
+        "__origin": F.regexp_extract(F.col(base), r"(?s)^(.*?://[^/?#]*)", 1),
+        "__scheme": F.regexp_extract(F.col(base), r"(?s)^(.*?:)//", 1),
+        "__folder": F.regexp_extract(F.col(base), r"(?s)^.*?://[^/?#]*([^?#]*/)", 1),
+    })
+    to = F.col("__link")
+    absolute = (
+        F.when(to.isNull() | (to == ""), F.lit(None))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat("__scheme", to))
+        .when(to.startswith("/"), F.concat("__origin", to))
+        .otherwise(F.concat("__origin", F.when(F.col("__folder") == "", F.lit("/")).otherwise(F.col("__folder")), to))
     )
+    return df.withColumn(out, absolute).drop("__link", "__origin", "__scheme", "__folder")
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -89,7 +94,9 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = pages.where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("u"), F.explode(declared).alias("t"))
     href = F.regexp_extract("t", r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'[^']*'|[^\s\"'>]+)", 0)
     target = F.when(F.col("t").rlike(r"(?is)^<link"), F.regexp_replace(href, r"(?is)^href\s*=\s*[\"']?|[\"']$", "")).otherwise(F.regexp_extract("t", r"(?is)url\s*=\s*'?([^\"'>]+)", 1))
-    return found.select(node_of(F.col("u")).alias("a"), node_of(resolved(F.col("u"), target)).alias("b")).where("a is not null and b is not null and a <> b")
+    # links are few beside the pages; cut, so that one stage doesn't hold all these expressions
+    absolute = cut(with_resolved(cut(found.select("u", target.alias("target"))), "u", "target", "to"))
+    return absolute.select(node_of(F.col("u")).alias("a"), node_of(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -97,7 +104,7 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     edges = page_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).where("a is not null and b is not null and a <> b"))
-    edges = cut(edges.distinct())
+    edges = cut(cut(edges).distinct())
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), node_of(F.col(url_col)).alias("__node"))
     judged = judged.withColumns({"rule": _first_fit(F.col("host"), F.col("path"), rules, "text"), "__own": _first_fit(F.col("host"), F.col("path"), rules, "verdict")})
