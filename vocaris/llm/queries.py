@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, quality, toxicity, url_filter
+from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, near_dedup, quality, toxicity, url_filter
 from vocaris.llm.frames import crc32_of_id, table
 
 
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.decide(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages, html_extract.learn(pages), carry=["page_id", "url"])
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_near_dedup": op5_near_dedup,
         "op6_html": op6_html,
         "op7_langid": op7_langid,
         "op8_url_filter": op8_url_filter,
