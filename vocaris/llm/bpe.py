@@ -179,14 +179,13 @@ def decode_batch(codec: Codec, batch: pa.RecordBatch, ids_col: str, out_col: str
     return append_columns(batch, **{out_col: pa.array(out, type=pa.binary())})
 
 
-def digest_batch(batch: pa.RecordBatch, ids_col: str, decoded_col: str) -> pa.RecordBatch:
-    """n_tokens, ids_sha256 and decoded_sha256 in place of the ids and the bytes."""
+def digest_batch(batch: pa.RecordBatch, ids_col: str, decoded_col: str, drop: list[str]) -> pa.RecordBatch:
+    """n_tokens, ids_sha256 and decoded_sha256 beside what isn't dropped."""
     lists = batch.column(batch.schema.names.index(ids_col))
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
     hashed = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
     decoded = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(batch.schema.names.index(decoded_col))]
-    kept = batch.drop_columns([ids_col, decoded_col])
-    return append_columns(kept, n_tokens=pa.array(np.diff(offsets).astype(np.int64)), ids_sha256=pa.array(hashed, type=pa.string()), decoded_sha256=pa.array(decoded, type=pa.string()))
+    return append_columns(batch.drop_columns(drop), n_tokens=pa.array(np.diff(offsets).astype(np.int64)), ids_sha256=pa.array(hashed, type=pa.string()), decoded_sha256=pa.array(decoded, type=pa.string()))
 
 
 class Vocabulary:
@@ -238,22 +237,23 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", o
     return map_arrow(rest, run, [*rest.schema.fields, T.StructField(out_col, T.BinaryType())])
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, n_tokens, ids_sha256 and decoded_sha256 of every whole text: encode, then decode, then
-    digest in one pass, so that ids and bytes needn't leave the Python worker."""
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None) -> DataFrame:
+    """Id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, and the ids themselves if
+    ids_col names them: encode, then decode, then digest in one pass, so that the decoded bytes
+    needn't leave the Python worker."""
     vocabulary = Vocabulary(df, path, pattern)
     source = df.select(id_col, text_col)
+    ids = ids_col or "__ids"
+    drop = ["__bytes"] if ids_col else ["__bytes", ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
         for batch in batches:
             for part in slices(batch):
-                encoded = encode_batch(codec, part, text_col, "__ids")
-                decoded = decode_batch(codec, encoded.drop_columns([text_col]), "__ids", "__bytes")
-                yield digest_batch(decoded, "__ids", "__bytes")
-
-    return map_arrow(
-        source,
-        run,
-        [source.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())],
-    )
+                encoded = encode_batch(codec, part, text_col, ids)
+                decoded = decode_batch(codec, encoded.drop_columns([text_col]), ids, "__bytes")
+                yield digest_batch(decoded, ids, "__bytes", drop)
+
+    own = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] if ids_col else []
+    digests = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return map_arrow(source, run, [source.schema[id_col], *own, *digests])
