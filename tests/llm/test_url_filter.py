@@ -21,7 +21,7 @@ def brute_rule(host, path, rules):
     return max(fit, key=lambda r: len(r.text), default=None)
 
 
-def test_components_equal_union_find(spark):
+def test_components_equal_union_find(spark, monkeypatch):
     rnd = random.Random(1)
     pairs = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
     parent = {}
@@ -36,8 +36,10 @@ def test_components_equal_union_find(spark):
         if a != b:
             ra, rb = find(a), find(b)
             parent[max(ra, rb)] = min(ra, rb)
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent}
+    for per_task in (components.EDGES_PER_TASK, 100):  # in one task, and in rounds
+        monkeypatch.setattr(components, "EDGES_PER_TASK", per_task)
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in parent}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

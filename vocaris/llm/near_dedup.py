@@ -37,7 +37,7 @@ from vocaris.llm.membership import anti_join, semi_join
 from vocaris.llm.near_kernels import SETTINGS, Settings
 from vocaris.llm.textkernels import blocks, unique_sorted
 
-TILE_SHINGLES = 1_000_000
+TILE_SHINGLES = 250_000
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings = SETTINGS) -> DataFrame:
