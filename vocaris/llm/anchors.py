@@ -20,9 +20,10 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Settings:
     length: int = 200
-    gram: int = 64
-    shard_bytes: int = 1_000_000  # text of one suffix array, on average
-    most_contexts: int = 4000  # of one anchor in a suffix array; beyond it windows are counted
+    gram: int = 96
+    step: int = 5  # distance of the blocks that stand for windows in a shard
+    shard_bytes: int = 6_000_000  # text of one shard, on average
+    most_contexts: int = 50_000  # of one anchor in a shard; beyond it windows are counted
 
     @property
     def before(self) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, near_dedup, quality, toxicity, url_filter
+from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, near_dedup, quality, suffix_dedup, toxicity, url_filter
 from vocaris.llm.frames import crc32_of_id, table
 
 
@@ -47,6 +47,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html": op6_html,
         "op7_langid": op7_langid,
         "op8_url_filter": op8_url_filter,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
     }
 
