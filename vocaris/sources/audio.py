@@ -59,7 +59,7 @@ def is_16k_mono(df: DataFrame) -> DataFrame:
 def speakers(files: DataFrame, root: str) -> DataFrame:
     """(speaker, pos, path): a folder under root is a speaker with its files in order; a file right
     under root is a speaker of its own."""
-    inner = F.regexp_replace(F.substring_index("path", F.lit(root.rstrip("/")), -1), "^/+", "")
+    inner = F.regexp_replace(F.substring_index("path", root.rstrip("/"), -1), "^/+", "")
     name = F.when(F.instr(inner, "/") > 0, F.substring_index(inner, "/", 1)).otherwise(F.regexp_replace(inner, r"\.[^.]*$", ""))
     listed = files.select(name.alias("speaker"), "path").groupBy("speaker").agg(F.sort_array(F.collect_list("path")).alias("p"))
     return listed.select("speaker", F.posexplode("p").alias("pos", "path"))
