@@ -84,3 +84,52 @@ def resegment(frames: DataFrame, labels: DataFrame, window: int = 101) -> DataFr
 
     joined = frames.join(labels.select("rec", "i", "label"), ["rec", "i"], "left")
     return joined.select("rec", "i", "mfcc", "label").groupBy("rec").applyInPandas(one, "rec long, i int, label int")
+
+
+def train_pool(x: np.ndarray, window: int, rate: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of the size components chosen from sliding windows over x (frames x
+    dimensions): the one that fits its own window best comes first, then the farthest ones."""
+    starts = np.arange(0, len(x) - window + 1, rate)
+    total, squares = np.cumsum(np.pad(x, ((1, 0), (0, 0))), axis=0), np.cumsum(np.pad(x**2, ((1, 0), (0, 0))), axis=0)
+    mu = (total[starts + window] - total[starts]) / window
+    sd = np.sqrt(np.maximum((squares[starts + window] - squares[starts]) / window - mu**2, 1e-12))
+    fit = -0.5 * (np.log(2 * np.pi * sd) + sd).sum(1)
+    chosen = farthest_first(mu, int(fit.argmax()), size)
+    return mu[chosen], sd[chosen]
+
+
+def segment_vectors(x: np.ndarray, mu: np.ndarray, sd: np.ndarray, bounds: list[tuple[int, int]], top: int = 5) -> np.ndarray:
+    """Cumulative vectors (segments x components): shares of the components on top in each segment."""
+    ll = -0.5 * (np.log(2 * np.pi * sd)[None] + (x[:, None] - mu[None]) ** 2 / sd[None]).sum(2)
+    best = np.argsort(-ll, axis=1, kind="stable")[:, :top]
+    out = np.zeros((len(bounds), len(mu)))
+    for k, (a, b) in enumerate(bounds):
+        out[k] = np.bincount(best[a : b + 1].ravel(), minlength=len(mu))
+    return out / np.maximum(out.sum(1, keepdims=True), 1)
+
+
+def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: int = 100, context: int = 100, speakers: int | None = None, most: int = 20) -> DataFrame:
+    """(rec, i, label) of speech frames (rec, i, mfcc): pool, keys of overlapping segments, spectral
+    clustering of their shares, and labels of the frames. Recordings with less speech than two
+    windows, or one segment, have one speaker."""
+    from vocaris.operators.clustering import _cosines, _first_seen, blurred_enhancement, k_means, ratio_count
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("i")
+        x = np.array(group.mfcc.tolist(), dtype=np.float64)
+        labels = np.ones(len(x), dtype=int)
+        starts = list(range(0, len(x) - 1, segment))
+        if len(x) >= 2 * window and len(starts) > 1:
+            rate, _, size = pool_plan(len(x), window, least)
+            mu, sd = train_pool(x, window, rate, max(2, size))
+            bounds = [(max(0, s - context), min(len(x) - 1, s + segment - 1 + context)) for s in starts]
+            a = blurred_enhancement((_cosines(segment_vectors(x, mu, sd, bounds)) + 1) / 2)
+            values, vectors = np.linalg.eig(a)
+            order = np.argsort(-values.real)
+            k = min(speakers or ratio_count(values.real[order], most), len(starts))
+            found = _first_seen(k_means(vectors.real[:, order[:k]], k)) + 1
+            labels = np.repeat(found, segment)[: len(x)]
+            labels = np.pad(labels, (0, len(x) - len(labels)), mode="edge")
+        return pd.DataFrame({"rec": group.rec, "i": group.i, "label": labels})
+
+    return frames.select("rec", "i", "mfcc").groupBy("rec").applyInPandas(one, "rec long, i int, label int")

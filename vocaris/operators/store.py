@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocaris.functions.ids import parse_collection
+
 
 def upsert(points: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection", "point_id"), version: str = "updated_at") -> DataFrame:
     """The last version of each key wins; at equal versions, new over old."""
@@ -61,3 +63,47 @@ def cache_key(content: Column, speaker_count: Column, max_speaker: Column) -> Co
 
 def uncached(jobs: DataFrame, cache: DataFrame) -> DataFrame:
     return jobs.join(cache.select("key").distinct(), "key", "left_anti")
+
+
+def names(points: DataFrame) -> DataFrame:
+    """(collection, name) of everybody enrolled."""
+    return points.select("collection", "name").where("name is not null").distinct()
+
+
+def lookup(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """(collection, point_id, name) for each asked id; name is null if there is no such point."""
+    asked = ids.select("collection", "point_id").distinct()
+    return asked.join(points.select("collection", "point_id", "name"), ["collection", "point_id"], "left")
+
+
+def lookup_name(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """(collection, name, point_id, found) for each asked name: point_id only if exactly one has it."""
+    n = points.groupBy("collection", "name").agg(F.min("point_id").alias("p"), F.count(F.lit(1)).alias("found"))
+    joined = asked.select("collection", "name").distinct().join(n, ["collection", "name"], "left")
+    return joined.select("collection", "name", F.when(F.col("found") == 1, F.col("p")).alias("point_id"), F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def payload(collection: Column, speaker_id: Column, name: Column, model_id: Column, updated_at: Column | None = None) -> Column:
+    """A point's payload; the time defaults to now, as an ISO 8601 text in UTC."""
+    parsed = parse_collection(collection)
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return F.struct(
+        speaker_id.alias("speaker_id"), name.alias("name"), parsed.organization_id.alias("organization_id"), parsed.studio_collection_id.alias("studio_collection_id"),
+        model_id.alias("model_id"), (now if updated_at is None else updated_at).alias("updated_at"),
+    )
+
+
+def numbered_points(voiceprints: DataFrame) -> DataFrame:
+    """Points (point_id, name, vector) of a bulk enrollment: one for each name, numbered from 1 inside
+    each collection in order of names."""
+    order = Window.partitionBy("collection").orderBy("name")
+    return voiceprints.withColumn("point_id", F.row_number().over(order).cast("string"))
+
+
+def service_info(info: Column, extra: dict[str, str]) -> Column:
+    """Registered JSON: the configured object (anything else counts as empty) with extra keys over it."""
+    own = F.from_json(F.when(F.trim(info).startswith("{"), info), "map<string,string>")
+    keys = F.array(*[F.lit(k) for k in extra])
+    kept = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(keys, k))
+    added = F.create_map(*[x for k, v in extra.items() for x in (F.lit(k), F.lit(v))])
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, added)))))

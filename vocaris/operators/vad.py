@@ -114,3 +114,20 @@ def smooth(series: DataFrame, value: str, width: int) -> DataFrame:
     before = F.least(F.lit(width // 2), F.col("rn") - 1).cast("int")
     part = F.slice(around, before - half + 1, 2 * half + 1)
     return numbered.select("rec", "i", (F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / (2 * half + 1)).alias(value))
+
+
+def run_seconds(runs_: DataFrame, rate: float) -> DataFrame:
+    """Runs (rec, run, first, last) of voiced samples as seconds [first / rate, (last + 1) / rate); a
+    single voiced sample is no speech."""
+    kept = runs_.where("last > first")
+    return kept.select("rec", "run", (F.col("first") / rate).alias("s"), ((F.col("last") + 1) / rate).alias("e"))
+
+
+def in_seconds(speech: DataFrame, rate: int = 16000, digits: int = 1) -> DataFrame:
+    return speech.withColumns({c: F.round(F.col(c) / rate, digits) for c in ("s", "e")})
+
+
+def plot_data(series: DataFrame, value: str, width: int) -> DataFrame:
+    """(rec, bucket, low, high) of each width frames: what a plot of the series needs."""
+    bucket = F.floor(F.col("i") / width).alias("bucket")
+    return series.groupBy("rec", bucket).agg(F.min(value).alias("low"), F.max(value).alias("high"))

@@ -493,9 +493,9 @@ def vote_aggregate(s, d):
     return _r6(identify.votes(_hits(s, d), 0.2), "votes")
 
 
-@query("allow_list", _vote_sql("AND speaker_id IN (SELECT 'label:' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1)"))
+@query("allow_list", _vote_sql("AND speaker_id IN (SELECT 'label:' || n_nationkey FROM nation WHERE n_regionkey <> 1)"))
 def allow_list(s, d):
-    allowed = _table(s, d, "nation").where("n_nationkey % 2 = 1").select(F.concat(F.lit("label:"), F.col("n_nationkey").cast("string")).alias("speaker_id"))
+    allowed = _table(s, d, "nation").where("n_regionkey <> 1").select(F.concat(F.lit("label:"), F.col("n_nationkey").cast("string")).alias("speaker_id"))
     return _r6(identify.votes(_hits(s, d), 0.2, allowed=allowed), "votes")
 
 
@@ -506,12 +506,12 @@ def exclude_list(s, d):
 
 
 def _tag_names(s, d):
-    """Names for the event types of customers with an even key, and a score."""
-    iv = intervals(s, d).where("rec % 2 = 0").groupBy("rec", F.col("label").alias("spk")).agg((F.count(F.lit(1)) / 100.0).alias("score"))
+    """Names and a score for the event types that a user has twice or more."""
+    iv = intervals(s, d).groupBy("rec", F.col("label").alias("spk")).agg((F.count(F.lit(1)) / 100.0).alias("score")).where("score >= 0.02")
     return iv.withColumn("name", F.when(F.col("spk").isin("click", "view"), "Ann").otherwise(F.concat(F.lit("Name "), "spk")))
 
 
-_TAGS = "nm AS (SELECT rec, label AS spk, count(*) / 1e2 AS score, CASE WHEN label IN ('click', 'view') THEN 'Ann' ELSE 'Name ' || label END AS name FROM iv WHERE rec % 2 = 0 GROUP BY rec, label)"
+_TAGS = "nm AS (SELECT rec, label AS spk, count(*) / 1e2 AS score, CASE WHEN label IN ('click', 'view') THEN 'Ann' ELSE 'Name ' || label END AS name FROM iv GROUP BY rec, label HAVING count(*) >= 2)"
 
 
 @query("identify_map", _with(_INTERVALS, _TAGS, "SELECT iv.rec, iv.k AS seg, iv.label AS spk, coalesce(name, iv.label) AS who FROM iv LEFT JOIN nm ON nm.rec = iv.rec AND nm.spk = iv.label"))
@@ -589,12 +589,12 @@ def payload_coalesce(s, d):
 
 
 @query("resolve_collections", """WITH ex AS (SELECT DISTINCT c_nationkey AS collection FROM customer WHERE c_nationkey <> 3),
-md AS (SELECT c_nationkey AS collection, arg_min(c_mktsegment, c_custkey) AS model_id FROM customer WHERE c_nationkey % 4 <> 1 GROUP BY ALL)
+md AS (SELECT c_nationkey AS collection, arg_min(c_mktsegment, c_custkey) AS model_id FROM customer WHERE c_nationkey NOT IN (1, 5, 9) GROUP BY ALL)
 SELECT n_nationkey AS collection, n_regionkey AS pos FROM nation JOIN ex ON ex.collection = n_nationkey LEFT JOIN md ON md.collection = n_nationkey WHERE model_id IS NULL OR model_id = 'BUILDING'""")
 def resolve_collections(s, d):
     c = _table(s, d, "customer").select(F.col("c_nationkey").alias("collection"), F.col("c_mktsegment").alias("model_id"), F.col("c_custkey").alias("point_id"))
     asked = _table(s, d, "nation").select(F.col("n_nationkey").alias("collection"), F.col("n_regionkey").alias("pos"))
-    return store.usable(asked, c.where("collection <> 3"), store.model_ids(c.where("collection % 4 <> 1")), "BUILDING")
+    return store.usable(asked, c.where("collection <> 3"), store.model_ids(c.where("collection not in (1, 5, 9)")), "BUILDING")
 
 
 @query("threshold_resolution", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 10) / 1e1 END, 0.3) AS min_similarity FROM orders")
@@ -717,3 +717,112 @@ def gmm_resegment(s, d):
 @query("identify_speakers")
 def identify_speakers(s, d):
     return pipelines.identify_speakers(search_queries(s, d), voiceprints(s, d), 0.2)
+
+
+# --- lookups, payloads, reports --------------------------------------------------------------
+
+
+def _enrolled(s, d):
+    return _table(s, d, "customer").select(F.col("c_nationkey").alias("collection"), F.col("c_custkey").alias("point_id"), F.col("c_mktsegment").alias("name"))
+
+
+@query("speaker_names", "SELECT DISTINCT c_nationkey AS collection, c_mktsegment AS name FROM customer WHERE c_mktsegment IS NOT NULL")
+def speaker_names(s, d):
+    return store.names(_enrolled(s, d))
+
+
+@query("point_lookup", _with(_IDS, "SELECT w.collection, w.point_id, c_mktsegment AS name FROM wanted w LEFT JOIN customer c ON c_nationkey = w.collection AND c_custkey = w.point_id"))
+def point_lookup(s, d):
+    return store.lookup(_enrolled(s, d), _wanted(s, d))
+
+
+@query("point_lookup_by_name", """WITH n AS (SELECT c_nationkey AS collection, c_mktsegment AS name, min(c_custkey) AS p, count(*) AS n FROM customer GROUP BY ALL)
+SELECT n_nationkey AS collection, 'BUILDING' AS name, CASE WHEN n = 1 THEN p END AS point_id, coalesce(n, 0) AS found FROM nation LEFT JOIN n ON n.collection = n_nationkey AND n.name = 'BUILDING'""")
+def point_lookup_by_name(s, d):
+    return store.lookup_name(_enrolled(s, d), _table(s, d, "nation").select(F.col("n_nationkey").alias("collection"), F.lit("BUILDING").alias("name")))
+
+
+@query("first_model_id", "SELECT c_nationkey AS collection, arg_min(c_mktsegment, c_custkey) AS model_id FROM customer GROUP BY c_nationkey")
+def first_model_id(s, d):
+    return store.model_ids(_enrolled(s, d).withColumnRenamed("name", "model_id"))
+
+
+@query("bulk_enrollment", "SELECT c_nationkey AS collection, c_name AS name, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS VARCHAR) AS point_id FROM customer")
+def bulk_enrollment(s, d):
+    return store.numbered_points(_table(s, d, "customer").select(F.col("c_nationkey").alias("collection"), F.col("c_name").alias("name")))
+
+
+@query("payload_build", _with(_NAMES, "SELECT c_custkey, 'user:' || c_custkey AS speaker_id, CASE WHEN regexp_full_match(coalesce(name, ''), 'spkid_[0-9a-f]{24}_[0-9a-f]{24}') THEN substr(name, 7, 24) END AS organization_id, 'm' AS model_id, '2024-01-01' AS updated_at FROM nm"))
+def payload_build(s, d):
+    who = F.concat(F.lit("user:"), F.col("c_custkey").cast("string"))
+    built = store.payload(F.col("name"), who, F.lit("n"), F.lit("m"), F.lit("2024-01-01"))
+    return _collection_names(s, d).select("c_custkey", built.alias("p")).select("c_custkey", "p.speaker_id", "p.organization_id", "p.model_id", "p.updated_at")
+
+
+@query("service_info", """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{"identification":"true","n":"' || n_nationkey || '"}' ELSE '{"identification":"true"}' END AS info FROM nation""")
+def service_info(s, d):
+    k = F.col("n_nationkey")
+    given = F.when(k % 2 == 0, F.format_string('{"n": %d, "identification": "no"}', k)).otherwise(F.lit("[1, 2]"))
+    return _table(s, d, "nation").select("n_nationkey", store.service_info(given, {"identification": "true"}).alias("info"))
+
+
+@query("unknown_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM events")
+def unknown_keys(s, d):
+    keys = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("collections"), F.lit("other"))).otherwise(F.array(F.lit("speakers")))
+    return _table(s, d, "events").select("event_id", F.size(F.array_except(keys, F.array(F.lit("collections"), F.lit("speakers"), F.lit("minSimilarity")))).alias("n"))
+
+
+@query("vad_seconds", _with(_FRAMES, _SPEECH, "SELECT rec, utt, round(s / 16e3, 1) AS s, round(e / 16e3, 1) AS e FROM speech"))
+def vad_seconds(s, d):
+    return _utt(vad.in_seconds(vad.hysteresis(frames(s, d))))
+
+
+@query("run_seconds", _with(_FRAMES, _RUNS, "SELECT rec, run, round(first / 1e2, 6) AS s, round((last + 1) / 1e2, 6) AS e FROM runs WHERE last > first"))
+def run_seconds(s, d):
+    return _r6(vad.run_seconds(_speech_runs(s, d), 100.0), "s", "e")
+
+
+@query("plot_data", _with(_MANY, "SELECT rec, i // 10 AS bucket, min(p) AS low, max(p) AS high FROM frames GROUP BY rec, i // 10"))
+def plot_data(s, d):
+    return vad.plot_data(many_frames(s, d), "p", 10)
+
+
+@query("wire_segments_cli", _with(_NAMED, "SELECT rec, seg AS seg_id, spk_id, round(s, 0) AS seg_begin, round(e, 0) AS seg_end FROM named"))
+def wire_segments_cli(s, d):
+    return turns.wire_segments(conversation_turns(s, d), 0).withColumn("seg_id", F.col("seg_id").cast("long"))
+
+
+@query("speech_order", _with(_INTERVALS, "SELECT rec, label, CAST(sum(e - s) AS BIGINT) AS total, row_number() OVER (PARTITION BY rec ORDER BY sum(e - s) DESC, min(k)) AS pos FROM iv GROUP BY rec, label"))
+def speech_order(s, d):
+    tags = intervals(s, d).groupBy("rec", "label").agg(F.sum(F.col("e") - F.col("s")).alias("total"), F.min("k").alias("first"))
+    pos = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("total"), "first")).cast("long")
+    return tags.select("rec", "label", "total", pos.alias("pos"))
+
+
+@query("label_histogram", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def label_histogram(s, d):
+    return _table(s, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("estimate_mode", "WITH c AS (SELECT user_id AS rec, event_type AS estimate, count(*) AS n FROM events GROUP BY ALL) SELECT rec, estimate FROM c QUALIFY row_number() OVER (PARTITION BY rec ORDER BY n DESC, estimate) = 1")
+def estimate_mode(s, d):
+    n = _table(s, d, "events").groupBy(F.col("user_id").alias("rec"), F.col("event_type").alias("estimate")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("n"), "estimate"))
+    return n.withColumn("r", first).where("r = 1").select("rec", "estimate")
+
+
+@query("uncached_jobs", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'P')")
+def uncached_jobs(s, d):
+    o = _table(s, d, "orders").select("o_orderkey", F.md5(F.col("o_orderpriority").cast("binary")).alias("key"), "o_orderstatus")
+    return store.uncached(o, o.where("o_orderstatus = 'P'")).select("o_orderkey")
+
+
+@query("cluster_by_size")
+def cluster_by_size(s, d):
+    return clustering.cluster(windows(s, d), "by_size")
+
+
+@query("legacy_diarize")
+def legacy_diarize(s, d):
+    f = windows(s, d).select("rec", F.col("k").alias("i"), F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("mfcc"))
+    return binary_keys.diarize(f, window=10, least=10, segment=5, context=5)
