@@ -193,3 +193,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     document."""
     gone = cut(decide(df, id_col, text_col, settings).where("not kept").select(F.col(id_col).alias("gone")).distinct())
     return anti_join(df, id_col, gone, "gone")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 4 THEN [array_to_string(x, ' ')] ELSE list_distinct(list_transform(range(1, len(x) - 2), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] || ' ' || x[i + 3])) END AS sh FROM w),
+f AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a, b FROM e2 UNION SELECT reach.a, e2.b FROM reach JOIN e2 ON reach.b = e2.a),
+c AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, len(sh) AS n_shingles, coalesce(least(m, s.doc_id), s.doc_id) AS component_id, coalesce(least(m, s.doc_id), s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c USING (doc_id)
+"""

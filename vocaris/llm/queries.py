@@ -71,4 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op5_near_dedup": near_dedup.ORACLE_SQL,
+        "op8_url_filter": url_filter.ORACLE_SQL,
+        "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    }

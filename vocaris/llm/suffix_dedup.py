@@ -247,3 +247,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut_out = map_arrow(some, run, [T.StructField("i", T.LongType()), *own])
     both = whole.unionByName(cut_out)
     return both.select(F.col("i").cast(id_type).alias(id_col), *[f.name for f in own])
+
+
+#: Counts the 128-bit hashes of all windows.
+ORACLE_SQL = """
+WITH h AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, unnest(range(0, length(x) // 2 - 199)) AS i FROM h WHERE length(x) >= 400),
+k AS (SELECT p.r, i, md5_number(substr(x, 2 * i + 1, 400)) AS w FROM p JOIN h USING (r)),
+rep AS (SELECT r, i FROM k JOIN (SELECT w FROM k GROUP BY w HAVING count(*) > 1) USING (w)),
+g AS (SELECT r, i, sum(CASE WHEN i <= lag_i + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS lag_i FROM rep)),
+sp AS (SELECT r, isl, min(i) AS s, max(i) + 200 AS e FROM g GROUP BY r, isl),
+gaps AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b, isl FROM sp UNION ALL SELECT r, max(e), NULL, 1000000000 FROM sp GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN b IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a, isl) AS y FROM gaps JOIN h USING (r) GROUP BY r),
+n AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM h LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
