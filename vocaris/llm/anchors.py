@@ -22,7 +22,8 @@ class Settings:
     length: int = 200
     gram: int = 96
     step: int = 5  # distance of the blocks that stand for windows in a shard
-    shard_bytes: int = 6_000_000  # text of one shard, on average
+    block_bytes: int = 1 << 18  # texts whose anchors are found together
+    shard_bytes: int = 2_000_000  # text of one shard, on average
     most_contexts: int = 50_000  # of one anchor in a shard; beyond it windows are counted
 
     @property

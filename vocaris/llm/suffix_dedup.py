@@ -36,7 +36,7 @@ from vocaris.llm.anchors import SETTINGS, Settings
 from vocaris.llm.exact_dedup import marked
 from vocaris.llm.frames import cut, map_arrow, stored
 from vocaris.llm.membership import id_filter, maybe_in, semi_join
-from vocaris.llm.textkernels import blocks, rolling_prefix, span_hash
+from vocaris.llm.textkernels import blocks, rolling_prefix, span_hash, utf8_buffers
 
 _TEXT = [T.StructField("i", T.LongType()), T.StructField("v", T.LongType())]
 
@@ -52,7 +52,7 @@ def repeated_grams(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors.find(b, settings).gram for b in blocks(batch.column(0))]
+            found = [anchors.find(b, settings).gram for b in blocks(batch.column(0), settings.block_bytes)]
             grams, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
@@ -66,7 +66,7 @@ def contexts(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), settings.block_bytes):
                 x = anchors.find(block, settings)
                 order = np.lexsort((x.at, x.context, x.gram, x.row))
                 row, gram, ctx = x.row[order], x.gram[order], x.context[order]
@@ -115,14 +115,12 @@ def raw_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _shard(table: pa.Table, settings: Settings) -> pa.RecordBatch:
-    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8)
-    sizes = np.array([len(x) for x in table.column("bytes").to_pylist()], dtype=np.int64)
+    data, offsets = utf8_buffers(table.column("bytes").combine_chunks())
     i, v = table.column("i").to_numpy(zero_copy_only=False), table.column("v").to_numpy()
     i = np.where(np.isnan(i), -1, i).astype(np.int64) if i.dtype.kind == "f" else i
     _, doc = np.unique(np.stack((i, v)), axis=1, return_inverse=True)
     at, left = table.column("at").to_numpy().astype(np.int64), table.column("left").to_numpy().astype(np.int64)
     many = table.column("many").to_numpy(zero_copy_only=False)
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
     windows = shards.repeated_windows(data, offsets, left, table.column("h").to_numpy().astype(np.uint64), (doc.reshape(-1).astype(np.int64) << 36) + at, many, settings)
     windows[many] = False
     rows, low, high = shards.spans(windows, settings.length)
@@ -142,6 +140,8 @@ def shard_spans(raw: DataFrame, shard_count: int, settings: Settings) -> DataFra
         held = [b for b in batches if b.num_rows]
         if held:
             yield _shard(pa.Table.from_batches(held), settings)
+        del held
+        pa.default_memory_pool().release_unused()  # workers are reused
 
     return map_arrow(raw.repartition(shard_count, "h"), run, _SPANS)
 
