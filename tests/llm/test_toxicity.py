@@ -35,11 +35,11 @@ def test_features_equal_brute_force():
         assert set(toxicity.features(text + " x", s).tolist()) >= set(toxicity.features(text, s).tolist()) or not text.strip()
 
 
-def test_ratio_and_significance_by_hand():
+def test_ratio_and_significance_by_hand(spark):
     r = toxicity.log_count_ratios(np.array([3.0, 0.0]), np.array([0.0, 3.0]), 6, 6, 1.0)
     assert np.allclose(r, [np.log(4), -np.log(4)])
-    z = toxicity.significance(np.array([3.0, 2.0]), np.array([0.0, 2.0]), 6, 6)
-    assert np.allclose(z, [0.5 / np.sqrt(0.25 * 0.75 / 3), 0])
+    df = spark.createDataFrame([(3, 0), (2, 2)], "p long, q long").select(toxicity.significance(F.col("p"), F.col("q"), 6, 6).alias("z"))
+    assert np.allclose([r.z for r in df.collect()], [0.5 / np.sqrt(0.25 * 0.75 / 3), 0])
 
 
 def test_held_out_accuracy(spark):

@@ -94,10 +94,10 @@ def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other
     return np.log((toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((other + smoothing) / (n_other + 2 * smoothing))
 
 
-def significance(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+def significance(toxic: Column, other: Column, n_toxic: int, n_other: int) -> Column:
     """z of the difference between the two classes' shares of texts that have the feature."""
     share = (toxic + other) / (n_toxic + n_other)
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_toxic + 1 / n_other))
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n_toxic + 1 / n_other))
     return (toxic / n_toxic - other / n_other) / spread
 
 
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where(F.pmod(F.xxhash64("i", F.lit(settings.seed)), F.lit(1 << 30)) < limit)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     # at most about 2 x per_class ids, whatever the tables' sizes
-    sample = cut(texts.join(F.broadcast(picked), "i").select("y", "t").repartition(6, F.xxhash64("t")))
+    sample = cut(texts.join(F.broadcast(picked), "i").select("y", "t").repartition(6))
     bits = settings.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +143,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = seen[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(tally[1, f]), pa.array(tally[0, f])], names=["f", "p", "q"])
 
-    table = sample.mapInArrow(count, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= settings.least_texts)
-    counts = table.toPandas()  # at most 2 ** bits rows
     numbers = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(numbers) < 2:
         return Model(settings)
-    p, q = counts.p.to_numpy(np.float64), counts.q.to_numpy(np.float64)
-    ratio = log_count_ratios(p, q, numbers[1], numbers[0], settings.smoothing)
-    used = np.abs(significance(p, q, numbers[1], numbers[0])) >= settings.least_z
-    ids, ratio = counts.f.to_numpy()[used], ratio[used]
+    table = sample.mapInArrow(count, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= settings.least_texts)
+    # of at most 2 ** bits features, the significant ones
+    counts = table.where(F.abs(significance(F.col("p"), F.col("q"), numbers[1], numbers[0])) >= settings.least_z).toPandas()
+    ids = counts.f.to_numpy()
+    ratio = log_count_ratios(counts.p.to_numpy(np.float64), counts.q.to_numpy(np.float64), numbers[1], numbers[0], settings.smoothing)
     order = np.argsort(ids)
     ids, ratio = ids[order], ratio[order]
     index = np.full(1 << bits, -1, dtype=np.int32)
