@@ -78,3 +78,24 @@ def test_diarize_planted_speakers(spark):
     rows = [(1, k, k * 12000, k * 12000 + 24000, v.tolist()) for k, v in enumerate(x)]
     turns = pipelines.diarize(spark.createDataFrame(rows, "rec long, k int, s long, e long, embedding array<float>")).orderBy("seg").collect()
     assert [(r.label, r.s, r.e) for r in turns] == [("1", 0.0, 7.875), ("2", 7.875, 15.75)]
+
+
+def test_blur_keeps_mass_and_small_recordings_are_counted():
+    a = np.zeros((21, 21))
+    a[10, 10] = 1
+    b = clustering.blur(a)
+    assert abs(b.sum() - 1) < 1e-9 and b[10, 10] == b.max() and np.allclose(b, b.T)
+    assert np.allclose(clustering.blur(np.ones((5, 5))), 1)
+    x, truth = planted(3, 2, 20)
+    assert clustering.anchored_count(x) >= 1
+    assert same(clustering.by_size(x, 2), truth)
+    assert len(set(clustering.by_size(x[:5]))) >= 1
+
+
+def test_binary_key_pipeline_splits_planted_speakers(spark):
+    rnd = np.random.default_rng(5)
+    x = np.concatenate((rnd.normal(0, 1, (600, 8)) + 6, rnd.normal(0, 1, (600, 8)) - 6))
+    frames = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)] + [(2, i, v.tolist()) for i, v in enumerate(x[:50])], "rec long, i int, mfcc array<double>")
+    rows = binary_keys.diarize(frames, window=50, least=100, segment=100, context=0, speakers=2).collect()
+    one = [r.label for r in sorted((r for r in rows if r.rec == 1), key=lambda r: r.i)]
+    assert np.mean(np.array(one) == np.repeat([1, 2], 600)) > 0.95 and {r.label for r in rows if r.rec == 2} == {1}

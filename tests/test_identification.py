@@ -150,3 +150,16 @@ def test_planted_voiceprints_are_found(spark):
 
     quality = identify.accuracy(df.select("query", "speaker_id"), identify_speakers(df.select("query", "vector"), enrolled)).first()
     assert quality.accuracy >= 0.9 and quality.rejection >= 0.9
+
+
+def test_lookups_and_service_info(spark):
+    points = spark.createDataFrame([("c", "1", "Ann"), ("c", "2", "Ann"), ("c", "3", "Bob"), ("d", "1", None)], "collection string, point_id string, name string")
+    assert sorted((r.collection, r.name) for r in store.names(points).collect()) == [("c", "Ann"), ("c", "Bob")]
+    asked = spark.createDataFrame([("c", "Ann"), ("c", "Bob"), ("d", "Ann")], "collection string, name string")
+    assert {(r.collection, r.name): (r.point_id, r.found) for r in store.lookup_name(points, asked).collect()} == {("c", "Ann"): (None, 2), ("c", "Bob"): ("3", 1), ("d", "Ann"): (None, 0)}
+    ids_ = spark.createDataFrame([("c", "3"), ("c", "9")], "collection string, point_id string")
+    assert {r.point_id: r.name for r in store.lookup(points, ids_).collect()} == {"3": "Bob", "9": None}
+    info = spark.createDataFrame([('{"a": "b", "x": "old"}',), ("[1]",), (None,)], "s string").select(store.service_info(F.col("s"), {"x": "new"}).alias("j"))
+    assert [json.loads(r.j) for r in info.collect()] == [{"a": "b", "x": "new"}, {"x": "new"}, {"x": "new"}]
+    built = spark.range(1).select(store.payload(F.lit(NAME), F.lit("user:1"), F.lit("Ann"), F.lit("m")).alias("p")).first().p
+    assert (built.organization_id, built.studio_collection_id) == (ORG, COLL) and built.updated_at.endswith("+00:00")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed namespace of voiceprint point ids.
+# The namespace of voiceprint point ids, and the form of a collection's name.
 POINT_NAMESPACE = "b8a9cf6e-0000-4000-8000-5370656b4944"
 COLLECTION = "^spkid_([0-9a-f]{24})_([0-9a-f]{24})$"
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class ClusterConfig:
+    # fixed values
     max_speakers: int = 25
     max_share: float = 0.25  # of the windows, as neighbours
     sparse_volume: int = 30  # how many neighbour counts are tried

@@ -16,6 +16,7 @@ def normalise_counts(jobs: DataFrame, ceiling: int | None = None) -> DataFrame:
     return jobs.withColumns({"speaker_count": count.cast("int"), "max_speaker": most.cast("int")})
 
 
+# The keys of a specification.
 _ALLOWED = ("collections", "speakers", "minSimilarity")
 
 

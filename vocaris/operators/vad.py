@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 class VadConfig:
     """Samples throughout, at 16 kHz."""
 
+    # fixed values
     threshold: float = 0.5
     negative_gap: float = 0.15
     min_speech: int = 4000

@@ -12,6 +12,7 @@ from vocaris.operators import clustering, framing, identify, similarity, turns,
 
 @dataclass(frozen=True)
 class DiarizeConfig:
+    # fixed values
     rate: int = 16000
     window: float = 1.5
     hop: float = 0.75
