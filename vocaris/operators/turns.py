@@ -50,11 +50,11 @@ def collar_merge(segments: DataFrame, collar: Column | float) -> DataFrame:
 
 
 def renumber(segments: DataFrame, order: str = "seg") -> DataFrame:
-    """Segments with spk_id: spk1, spk2, ... by first appearance in the recording."""
-    first = segments.groupBy("rec", "label").agg(F.min(order).alias("__first"))
-    number = F.row_number().over(Window.partitionBy("rec").orderBy("__first"))
-    names = first.select("rec", "label", F.concat(F.lit("spk"), number.cast("string")).alias("spk_id"))
-    return segments.join(names, ["rec", "label"])
+    """Segments with spk_id: spk1, spk2, ... by first appearance in the recording. Two windows, both
+    served by one partitioning by recording."""
+    first = segments.withColumn("__first", F.min(order).over(Window.partitionBy("rec", "label")))
+    number = F.dense_rank().over(Window.partitionBy("rec").orderBy("__first"))
+    return first.withColumn("spk_id", F.concat(F.lit("spk"), number.cast("string"))).drop("__first")
 
 
 def wire_segments(segments: DataFrame, digits: int, order: str = "seg") -> DataFrame:
