@@ -22,10 +22,15 @@ def test_page_without_labels_uses_the_best_region():
     assert X.extract_text(page, weights()) == "One two three four.\nFive < six."
 
 
+def test_plain_containers_count_on_pages_without_labels():
+    page = PAGE.format(article="<div>One two three.<br>Four five.</div>")
+    assert X.extract_text(page, weights()) == "One two three.\nFour five."
+
+
 def test_region_is_the_maximum_sum():
-    w = X.Weights(X.Settings(), {"p": 1.0, "div": -1.0}, {})
-    assert X.extract_text("<p>a b</p><div>x x x x x x x x</div><p>c d e</p>", w) == "c d e"
-    assert X.extract_text("<p>a b c d</p><div>x</div><p>c d e</p>", w) == "a b c d\nx\nc d e"
+    w = X.Weights(X.Settings(), {"p": 1.0, "li": -1.0}, {})
+    assert X.extract_text("<p>a b</p><li>x x x x x x x x</li><p>c d e</p>", w) == "c d e"
+    assert X.extract_text("<p>a b c d</p><li>x</li><p>c d e</p>", w) == "a b c d\nx\nc d e"
 
 
 def test_broken_markup():

@@ -39,6 +39,7 @@ class Settings:
     seed: int = 23
     clip: float = 3.0
     labelled: float = 6.0  # weight of lying inside or outside the element that labels the page
+    generic: float = 0.5  # least weight of a word in a generic place of a page without that element
     tag_cost: float = 0.02  # least cost of a tag
 
 
@@ -63,6 +64,8 @@ BLOCKS = frozenset(
 )
 CELLS = frozenset(("td", "th"))
 LABELS = frozenset(("article", "main"))
+#: Places that say nothing by themselves on a page without a label, whatever they hold elsewhere.
+GENERIC = frozenset(("", "body", "div", "section", "center"))
 
 _TOKEN = re.compile(
     r"(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z))"
@@ -147,6 +150,8 @@ class Weights:
         w = self.words.get(run.place, 1.0)
         if page_labelled:
             w += s.labelled if run.labelled else -s.labelled
+        elif run.place in GENERIC:
+            w = max(w, s.generic)
         return n * w
 
 
