@@ -83,8 +83,8 @@ def test_decisions_equal_brute_force(spark):
     assert sorted(tuple(r) for r in near_dedup.decide(df).collect()) == brute(rows)
 
 
-def test_families_find_what_leaders_miss(spark):
-    # few bands: leaders alone would lose links inside a family
+def test_families_find_what_leaders_miss(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", 3000)  # several tiles and chunks
     rnd = random.Random(7)
     base = [f"b{i}" for i in range(300)]
     rows = []

@@ -8,9 +8,9 @@
 4. Sketches reject pairs that can't be similar (their XOR's set bits estimate the similarity); the
    others are confirmed on whole sets, and links make components.
 5. A family is all classes that candidate pairs connect. Where a family has several components, each
-   class outside the largest is compared with the whole family, in tiles of bounded size: an
-   inverted index over a tile's sets counts exact overlaps for one such class after the other. So no
-   link is lost that a leader didn't see, and no pairs are emitted but links.
+   class outside the largest is compared with the whole family, in tiles and chunks of bounded
+   size: an inverted index over a tile's sets counts exact overlaps for one class of a chunk after the
+   other. So no link is lost that a leader didn't see, and no pairs are emitted but links.
 
 Sets are read again only for candidate classes; a Bloom filter keeps other texts out of the shuffle.
 
@@ -37,6 +37,7 @@ from vocaris.llm.membership import anti_join, semi_join
 from vocaris.llm.near_kernels import SETTINGS, Settings
 from vocaris.llm.textkernels import blocks, unique_sorted
 
+#: Shingles of a tile, and of a chunk, on average.
 TILE_SHINGLES = 250_000
 
 
@@ -115,14 +116,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (family, tile, query, digest, comp, shingles), sorted by the first three: a tile's members
-    come before the classes that are compared with them."""
+    """Rows (family, tile, chunk, query, digest, comp, shingles), sorted by the first four: a tile's
+    members come before the classes that are compared with them."""
     tile, names, comps, sets, index = None, [], [], [], None
     for batch in batches:
         out: list[tuple[bytes, bytes]] = []
-        for family, number, query, digest, comp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            if (family, number) != tile:
-                tile, names, comps, sets, index = (family, number), [], [], [], None
+        for family, number, chunk, query, digest, comp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            if (family, number, chunk) != tile:
+                tile, names, comps, sets, index = (family, number, chunk), [], [], [], None
             own = np.frombuffer(shingles, np.uint64)
             if not query:
                 names.append(digest)
@@ -155,12 +156,17 @@ def family_links(pairs: DataFrame, links: DataFrame, sets: DataFrame, settings:
     placed = cut(placed.withColumn("comp", F.coalesce("component", "digest")).drop("component").join(sized, "digest"))
     parts = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     # two classes are one pair, which the leader has already seen
-    open_ = cut(parts.groupBy("family").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n")).where("parts > 1 and m > 2").select("family", F.col("x.comp").alias("main"), F.ceil(F.col("n") / TILE_SHINGLES).alias("tiles")))
+    total = parts.groupBy("family").agg(F.max(F.struct("m", "comp", "n")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    bounded = lambda n: F.greatest(F.ceil(n / TILE_SHINGLES), F.lit(1))
+    open_ = cut(total.where("parts > 1 and m > 2").select("family", F.col("x.comp").alias("main"), bounded(F.col("n")).alias("tiles"), bounded(F.col("n") - F.col("x.n")).alias("chunks")))
     rows = placed.join(open_, "family")
-    members = rows.select("family", F.pmod(F.xxhash64("digest"), F.col("tiles")).alias("tile"), F.lit(0).alias("query"), "digest", "comp")
-    queries = rows.where("comp <> main").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("query"), "digest", "comp")
-    full = members.unionByName(queries).join(sets.select("digest", "shingles"), "digest").select("family", "tile", "query", "digest", "comp", "shingles")
-    dealt = full.repartition("family", "tile").sortWithinPartitions("family", "tile", "query")
+    # every chunk of the classes outside the main component meets every tile of the family
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    tile, chunk = F.pmod(F.xxhash64("digest"), F.col("tiles")), F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks"))
+    members = rows.select("family", tile.alias("tile"), each("chunks").alias("chunk"), F.lit(0).alias("query"), "digest", "comp")
+    queries = rows.where("comp <> main").select("family", each("tiles").alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), "digest", "comp")
+    full = members.unionByName(queries).join(sets.select("digest", "shingles"), "digest").select("family", "tile", "chunk", "query", "digest", "comp", "shingles")
+    dealt = full.repartition("family", "tile", "chunk").sortWithinPartitions("family", "tile", "chunk", "query")
     percent = settings.percent
     return map_arrow(dealt, lambda batches: _tile_links(batches, percent), [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
