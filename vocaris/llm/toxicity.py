@@ -163,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [where[features(t.as_py(), settings)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], names=["y", "x"])
 
-    gathered = sample.mapInArrow(thin, "y int, x binary").orderBy("y", F.md5("x")).collect()  # the bounded sample
+    # the bounded sample, in an order that doesn't depend on tasks
+    gathered = sorted(sample.mapInArrow(thin, "y int, x binary").collect(), key=lambda r: (r.y, bytes(r.x)))
     shared.destroy()
     rows = [np.frombuffer(r.x, dtype=np.int32) for r in gathered]
     theta, intercept = fit_logistic(rows, np.array([r.y for r in gathered], dtype=np.float64), ratio, settings)
