@@ -714,9 +714,9 @@ def gmm_resegment(s, d):
     return binary_keys.resegment(f, clustering.cluster(w, "agglomerative", 3).withColumnRenamed("k", "i"), window=5)
 
 
-@query("identify_speakers")
+@query("identify_speakers", _with(_HITS, "v AS (SELECT query, speaker_id, sum(score) AS votes, min(rank) AS f, arg_max(name, score) AS name FROM hits WHERE score >= 0.2 GROUP BY query, speaker_id)", "w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(votes, 12) DESC, f) = 1)", "SELECT q.query, speaker_id, name, round(votes, 6) AS votes FROM q LEFT JOIN w ON w.query = q.query"))
 def identify_speakers(s, d):
-    return pipelines.identify_speakers(search_queries(s, d), voiceprints(s, d), 0.2)
+    return _r6(pipelines.identify_speakers(search_queries(s, d), voiceprints(s, d), 0.2), "votes")
 
 
 # --- lookups, payloads, reports --------------------------------------------------------------
