@@ -603,10 +603,11 @@ def threshold_resolution(s, d):
     return _table(s, d, "orders").select("o_orderkey", identify.resolve_threshold(given, "0.3").alias("min_similarity"))
 
 
-@query("request_normalise", "SELECT o_orderkey, CAST(nullif(o_orderkey % 4, 0) AS INTEGER) AS speaker_count, CAST(CASE WHEN o_orderkey % 4 = 0 THEN coalesce(nullif(o_orderkey % 3, 0), 50) END AS INTEGER) AS max_speaker FROM orders")
+@query("request_normalise", "SELECT o_orderkey, CAST(coalesce(nullif(o_orderkey % 4, 0), -1) AS INTEGER) AS speaker_count, CAST(CASE WHEN o_orderkey % 4 = 0 THEN coalesce(nullif(o_orderkey % 3, 0), 50) ELSE -1 END AS INTEGER) AS max_speaker FROM orders")
 def request_normalise(s, d):
     k = F.col("o_orderkey")
-    return requests.normalise_counts(_table(s, d, "orders").select("o_orderkey", (k % 4).cast("int").alias("speaker_count"), (k % 3).cast("int").alias("max_speaker")), 50)
+    jobs = requests.normalise_counts(_table(s, d, "orders").select("o_orderkey", (k % 4).cast("int").alias("speaker_count"), (k % 3).cast("int").alias("max_speaker")), 50)
+    return jobs.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("speaker_count", "max_speaker")})
 
 
 @query("spec_validate", """WITH sp AS (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders)
@@ -737,9 +738,9 @@ def point_lookup(s, d):
 
 
 @query("point_lookup_by_name", """WITH n AS (SELECT c_nationkey AS collection, c_mktsegment AS name, min(c_custkey) AS p, count(*) AS n FROM customer GROUP BY ALL)
-SELECT n_nationkey AS collection, 'BUILDING' AS name, CASE WHEN n = 1 THEN p END AS point_id, coalesce(n, 0) AS found FROM nation LEFT JOIN n ON n.collection = n_nationkey AND n.name = 'BUILDING'""")
+SELECT n_nationkey AS collection, 'BUILDING' AS name, CAST(CASE WHEN n = 1 THEN p END AS VARCHAR) AS point_id, coalesce(n, 0) AS found FROM nation LEFT JOIN n ON n.collection = n_nationkey AND n.name = 'BUILDING'""")
 def point_lookup_by_name(s, d):
-    return store.lookup_name(_enrolled(s, d), _table(s, d, "nation").select(F.col("n_nationkey").alias("collection"), F.lit("BUILDING").alias("name")))
+    return store.lookup_name(_enrolled(s, d), _table(s, d, "nation").select(F.col("n_nationkey").alias("collection"), F.lit("BUILDING").alias("name"))).withColumn("point_id", F.col("point_id").cast("string"))
 
 
 @query("first_model_id", "SELECT c_nationkey AS collection, arg_min(c_mktsegment, c_custkey) AS model_id FROM customer GROUP BY c_nationkey")
