@@ -51,3 +51,21 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
     assert quality.quality(df.limit(0)).count() == 0
+
+
+def test_bands_come_from_the_table_and_the_last_chunk_counts(spark):
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(4000)]
+    prose = lambda n, words: " ".join(rnd.choice(vocabulary[:words]) for _ in range(n))
+    # 300 ordinary documents of one length class, and 12 of a tenth of the vocabulary, which the base rules keep
+    texts = [prose(850, 4000)[:4800] for _ in range(300)] + [prose(850, 150)[:4800] for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.quality(df).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if not r.kept} >= set(range(300, 312))
+    assert sum(r.kept for r in rows if r.doc_id < 300) >= 294
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {r.doc_id for r in rows if r.kept}
+    # a full chunk of prose, then a nearly full one of noise
+    noise = "".join(chr(rnd.randrange(33, 0x7F)) if k % 40 else " " for k in range(4000))
+    mixed = spark.createDataFrame([(1, prose(900, 4000)[:4096] + noise)], "doc_id long, text string")
+    assert quality.quality(mixed, bands=quality.BANDS).first().chunks_outside == 0.5
