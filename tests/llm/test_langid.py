@@ -64,3 +64,13 @@ def test_held_out_accuracy_and_edges(spark):
     assert got[903].lang_pred == "aa" and all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in langid.learn_and_identify(df.withColumn("lang", F.lit(None).cast("string")), F.lit(False)).collect()} == {"und"}
     assert langid.learn_and_identify(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_every_language_of_a_large_table_has_its_profile(spark):
+    # 120 million characters of one language, and one short document of each of 20 others
+    common = spark.range(120, numPartitions=4).select(F.col("id").alias("doc_id"), F.expr("repeat('kano rito ', 100000)").alias("text"), F.lit("aa").alias("lang"))
+    word = lambda k: "".join(chr(0x4E00 + 10 * k + j) for j in range(6))
+    rare = spark.createDataFrame([(1000 + k, word(k), f"r{k:02}") for k in range(20)], "doc_id long, text string, lang string")
+    profiles = langid.learn(common.union(rare))
+    assert profiles.languages == ["aa"] + [f"r{k:02}" for k in range(20)]
+    assert [profiles.predict(word(k) * 2)[0] for k in range(20)] == [f"r{k:02}" for k in range(20)]

@@ -8,9 +8,8 @@ smallest total distance wins; ties go to the first language by name.
 N-grams are exact: characters are lower-cased, everything but letters separates words, a word is
 padded with one blank on each side, and up to three 21-bit code points make one 64-bit key.
 
-Profiles come from labelled rows with a hash of the id under a threshold that makes them
-``Settings.sample_chars`` characters in expectation (all rows, if there are fewer); their
-n-gram counts are summed by Spark. Every text is scored whole.
+Profiles come from all labelled rows, however many a language has: n-gram counts are sums, which
+Spark combines. Every text is scored whole.
 
 Defined cases: a text that is null, empty or has no letter is ``und`` with score 0; a label set that
 is empty makes every text ``und``; repeated rows are each scored; other input columns aren't read.
@@ -32,14 +31,13 @@ from vocaris.llm.frames import append_columns, map_arrow, without
 
 _U = np.uint64
 _BLANK = _U(1)
+_HELD = 2_000_000  # n-grams that a task gathers before it adds them up
 
 
 @dataclass(frozen=True)
 class Settings:
     max_n: int = 3
     profile: int = 400
-    sample_chars: int = 60_000_000
-    seed: int = 7
 
 
 SETTINGS = Settings()
@@ -107,26 +105,32 @@ class Profiles:
         return self.languages[best], float(1 - distance[best] / (self.settings.profile * len(own)))
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = SETTINGS) -> Profiles:
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", settings: Settings = SETTINGS) -> Profiles:
     """Profiles of the labelled rows of df."""
-    labelled = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
-    chars = labelled.agg(F.sum(F.length("t"))).first()[0] or 0
-    share = min(1.0, settings.sample_chars / max(chars, 1))
-    picked = labelled.where(F.pmod(F.xxhash64("i", F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("l", "t")
+    labelled = df.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("t is not null and l is not null")
     max_n = settings.max_n
 
+    def added(parts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for lang, found in parts.items():
+            keys, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            total = np.bincount(where, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(total)], names=["l", "g", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one table of counts for each language and task: as large as the alphabet's n-grams
+        # tables of counts for each language, as large as the alphabet's n-grams
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
         for batch in batches:
-            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for lang, text in zip(batch.column(0), batch.column(1)):
-                parts.setdefault(lang.as_py(), []).append(gram_counts(text.as_py(), max_n))
-            for lang, found in parts.items():
-                keys, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                total = np.bincount(where, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(total)], names=["l", "g", "n"])
-
-    counts = picked.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+                found = gram_counts(text.as_py(), max_n)
+                parts.setdefault(lang.as_py(), []).append(found)
+                held += len(found[0])
+                if held > _HELD:
+                    yield from added(parts)
+                    parts, held = {}, 0
+        yield from added(parts)
+
+    counts = labelled.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("l").orderBy(F.desc("n"), "g")
     top = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= settings.profile)
     found: dict[str, list[tuple[int, int]]] = {}
@@ -154,5 +158,5 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", carry: l
 def learn_and_identify(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = SETTINGS) -> DataFrame:
     """Id, held_out, lang_pred and score of every row; only rows that aren't held out are learnt from."""
     source = df.select(id_col, text_col, lang_col, F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    profiles = learn(source.where("held_out = false"), id_col, text_col, lang_col, settings)
+    profiles = learn(source.where("held_out = false"), text_col, lang_col, settings)
     return identify(source.select(id_col, "held_out", text_col), profiles, text_col, carry=[id_col, "held_out"])
