@@ -99,3 +99,13 @@ def test_binary_key_pipeline_splits_planted_speakers(spark):
     rows = binary_keys.diarize(frames, window=50, least=100, segment=100, context=0, speakers=2).collect()
     one = [r.label for r in sorted((r for r in rows if r.rec == 1), key=lambda r: r.i)]
     assert np.mean(np.array(one) == np.repeat([1, 2], 600)) > 0.95 and {r.label for r in rows if r.rec == 2} == {1}
+
+
+def test_legacy_diarize_reads_whole_vectors(spark, tmp_path, monkeypatch):
+    from vocaris.plans import catalog
+
+    x = np.random.default_rng(8).normal(0, 1, (50, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(binary_keys, "diarize", lambda frames, **_: frames)
+    got = [r.mfcc for r in catalog.QUERIES["legacy_diarize"](spark, str(tmp_path)).orderBy("i").collect()]
+    assert np.array_equal(np.array(got), x.astype(np.float64))
