@@ -109,3 +109,33 @@ def test_legacy_diarize_reads_whole_vectors(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(binary_keys, "diarize", lambda frames, **_: frames)
     got = [r.mfcc for r in catalog.QUERIES["legacy_diarize"](spark, str(tmp_path)).orderBy("i").collect()]
     assert np.array_equal(np.array(got), x.astype(np.float64))
+
+
+def test_resegmentation_has_mixtures_and_stays_inside_runs(spark):
+    rnd = np.random.default_rng(9)
+    # label 1 has two modes around the one of label 2, so that its single Gaussian would be broad and centred there
+    x = np.concatenate((rnd.normal(-5, 0.5, (100, 2)), rnd.normal(5, 0.5, (100, 2)), rnd.normal(0, 2, (200, 2))))
+    own = np.repeat([1, 1, 2, 2], 100)
+    wide = np.abs(x[200:]).max(1) > 3
+    assert wide.sum() > 10
+    weights, mu, var = binary_keys.mixture(x[:200], 2, np.random.default_rng(0))
+    assert np.allclose(np.sort(mu[:, 0]), [-5, 5], atol=0.3) and np.allclose(weights, 0.5, atol=0.05) and var.max() < 1
+    got = binary_keys.relabel(x, np.arange(400), own, 1, 2)
+    assert (got[200:][~wide] == 2).all() and (got[:200] == 1).mean() > 0.95
+    one = binary_keys.relabel(x, np.arange(400), own, 1, 1)
+    assert (got != own).sum() < (one != own).sum()
+    # a pause between frames 9 and 50: smoothing doesn't cross it
+    scores = np.concatenate((np.zeros((1, 10)), np.ones((1, 10))), axis=1)
+    i = np.concatenate((np.arange(10), np.arange(50, 60)))
+    assert (binary_keys.smooth_runs(scores, i, 9) == scores).all()
+    assert not (binary_keys.smooth_runs(scores, np.arange(20), 9) == scores).all()
+
+
+def test_diarize_ends_with_resegmentation(spark):
+    rnd = np.random.default_rng(5)
+    # the speaker changes at 650, inside the segment 600 to 699
+    x = np.concatenate((rnd.normal(0, 1, (650, 8)) + 6, rnd.normal(0, 1, (550, 8)) - 6))
+    frames = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "rec long, i int, mfcc array<double>")
+    rows = binary_keys.diarize(frames, window=50, least=100, segment=100, context=0, speakers=2, smooth=5).orderBy("i").collect()
+    change = [r.i for a, r in zip(rows, rows[1:]) if a.label != r.label]
+    assert len(change) == 1 and abs(change[0] - 650) <= 5

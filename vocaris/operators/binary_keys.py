@@ -63,24 +63,62 @@ def farthest_first(means: np.ndarray, start: int, k: int) -> list[int]:
     return chosen
 
 
-def resegment(frames: DataFrame, labels: DataFrame, window: int = 101) -> DataFrame:
-    """(rec, i, label): frames (rec, i, mfcc) scored under one diagonal Gaussian for each label's own
-    frames (rec, i, label), smoothed, and given to the likeliest."""
+def mixture(x: np.ndarray, size: int, rnd: np.random.Generator, most: int = 100, least_gain: float = 1e-3, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances of a diagonal Gaussian mixture of min(size, frames) components, by
+    EM until a frame's mean log density gains under least_gain. It starts from equal weights, means at
+    frames drawn by rnd, and the variances of the frames nearest to each."""
+    k = min(size, len(x))
+    weights, mu = np.full(k, 1 / k), x[rnd.choice(len(x), k, replace=False)]
+    near = np.stack([((x - m) ** 2).sum(1) for m in mu]).argmin(0)
+    var = np.stack([x[near == c].var(0) if (near == c).any() else np.zeros(x.shape[1]) for c in range(k)]) + floor
+    before = -np.inf
+    for _ in range(most):
+        joint = component_densities(x, weights, mu, var)
+        total = np.logaddexp.reduce(joint, axis=0)
+        if total.mean() - before < least_gain:
+            break
+        before = total.mean()
+        share = np.exp(joint - total)
+        n = share.sum(1) + 10 * np.finfo(float).eps
+        weights, mu = n / n.sum(), share @ x / n[:, None]
+        var = np.stack([r @ (x - m) ** 2 / c for r, m, c in zip(share, mu, n)]) + floor
+    return weights, mu, var
+
+
+def component_densities(x: np.ndarray, weights: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Log densities with weights (components x frames)."""
+    return np.stack([np.log(w) - 0.5 * (np.log(2 * np.pi * v) + (x - m) ** 2 / v).sum(1) for w, m, v in zip(weights, mu, var)])
+
+
+def smooth_runs(scores: np.ndarray, i: np.ndarray, window: int) -> np.ndarray:
+    """Moving means of scores (labels x frames) inside each run of consecutive frames i; the window
+    is odd and shrinks towards the ends of a run."""
+    total = np.cumsum(np.pad(scores, ((0, 0), (1, 0))), axis=1)
+    cuts = np.flatnonzero(np.diff(i) != 1) + 1
+    n, edges = np.arange(len(i)), np.concatenate(([0], cuts, [len(i)]))
+    run = np.searchsorted(cuts, n, side="right")
+    half = np.minimum(np.minimum(n - edges[run], edges[run + 1] - 1 - n), (window - 1) // 2)
+    return (total[:, n + half + 1] - total[:, n - half]) / (2 * half + 1)
+
+
+def relabel(x: np.ndarray, i: np.ndarray, own: np.ndarray, window: int, components: int = 16) -> np.ndarray:
+    """The label of each frame by mixtures of the labels' own frames; zeros if no frame has a label."""
+    names = np.unique(own[~pd.isna(own)])
+    if not len(names):
+        return np.zeros(len(x), dtype=int)
+    rnd = np.random.default_rng(0)
+    scores = np.stack([np.logaddexp.reduce(component_densities(x, *mixture(x[own == name], components, rnd)), axis=0) for name in names])
+    return names[smooth_runs(scores, i, window).argmax(0)].astype(int)
+
+
+def resegment(frames: DataFrame, labels: DataFrame, window: int = 101, components: int = 16) -> DataFrame:
+    """(rec, i, label): frames (rec, i, mfcc) scored under a diagonal Gaussian mixture of each label's
+    own frames (rec, i, label), smoothed inside runs of consecutive frames, and given to the likeliest."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
-        x, own = np.array(group.mfcc.tolist(), dtype=np.float64), group.label.to_numpy()
-        names = np.unique(own[~pd.isna(own)])
-        scores = np.zeros((len(names), len(x)))
-        for k, name in enumerate(names):
-            part = x[own == name]
-            var = part.var(0) + 1e-6
-            scores[k] = -0.5 * (np.log(2 * np.pi * var) + (x - part.mean(0)) ** 2 / var).sum(1)
-        total = np.cumsum(np.pad(scores, ((0, 0), (1, 0))), axis=1)
-        n = np.arange(len(x))
-        half = np.minimum(np.minimum(n, len(x) - 1 - n), window // 2)
-        smooth = (total[:, n + half + 1] - total[:, n - half]) / (2 * half + 1)
-        return pd.DataFrame({"rec": group.rec, "i": group.i, "label": names[smooth.argmax(0)].astype(int) if len(names) else 0})
+        x = np.array(group.mfcc.tolist(), dtype=np.float64)
+        return pd.DataFrame({"rec": group.rec, "i": group.i, "label": relabel(x, group.i.to_numpy(), group.label.to_numpy(), window, components)})
 
     joined = frames.join(labels.select("rec", "i", "label"), ["rec", "i"], "left")
     return joined.select("rec", "i", "mfcc", "label").groupBy("rec").applyInPandas(one, "rec long, i int, label int")
@@ -108,10 +146,10 @@ def segment_vectors(x: np.ndarray, mu: np.ndarray, sd: np.ndarray, bounds: list[
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
-def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: int = 100, context: int = 100, speakers: int | None = None, most: int = 20) -> DataFrame:
+def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: int = 100, context: int = 100, speakers: int | None = None, most: int = 20, smooth: int = 100, components: int = 16) -> DataFrame:
     """(rec, i, label) of speech frames (rec, i, mfcc): pool, keys of overlapping segments, spectral
-    clustering of their shares, and labels of the frames. Recordings with less speech than two
-    windows, or one segment, have one speaker."""
+    clustering of their shares, labels of the frames, and resegmentation if there are two or more.
+    Recordings with less speech than two windows, or one segment, have one speaker."""
     from vocaris.operators.clustering import _cosines, _first_seen, blurred_enhancement, k_means, ratio_count
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
@@ -130,6 +168,8 @@ def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: in
             found = _first_seen(k_means(vectors.real[:, order[:k]], k)) + 1
             labels = np.repeat(found, segment)[: len(x)]
             labels = np.pad(labels, (0, len(x) - len(labels)), mode="edge")
+            if len(np.unique(labels)) > 1:
+                labels = relabel(x, group.i.to_numpy(), labels, smooth, components)
         return pd.DataFrame({"rec": group.rec, "i": group.i, "label": labels})
 
     return frames.select("rec", "i", "mfcc").groupBy("rec").applyInPandas(one, "rec long, i int, label int")

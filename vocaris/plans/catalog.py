@@ -826,4 +826,4 @@ def cluster_by_size(s, d):
 @query("legacy_diarize")
 def legacy_diarize(s, d):
     f = windows(s, d).select("rec", F.col("k").alias("i"), F.col("embedding").cast("array<double>").alias("mfcc"))
-    return binary_keys.diarize(f, window=10, least=10, segment=5, context=5)
+    return binary_keys.diarize(f, window=10, least=10, segment=5, context=5, smooth=5)
