@@ -1,26 +1,33 @@
 """HTML extraction by the maximum-scoring contiguous subsequence.
 
-A page is cut into tokens: runs of words, and tags. A run scores its words times a weight that says
-how strongly its place in the markup speaks for content; a tag scores a small negative weight. The
-best contiguous region (one linear scan) is the content. What lies in it but is no content by its
-own markup (navigation, footers, asides, forms, adverts, comments, notices, ...) is left out, and
-the rest is split into blocks.
-
-Weights come from pages that label themselves by an ``<article>`` or ``<main>`` element: log odds
-that a word with a given innermost block element is content, and of tags likewise. They are counted
-over a sample of pages bounded by ``Settings.sample_pages`` (hash of the page id); every page is
+A page is cut into tokens: runs of words, and tags. A word scores by where it stands in the markup,
+a tag scores negative. The contiguous region of greatest score (one linear scan) is the content;
+runs in it that lie in places which the weights rule out (an aside, an advert, reader comments) are
+left out, and the rest is split into blocks.
+
+Weights are log odds, learnt from pages that label themselves by one ``<article>`` (or, without any,
+one ``<main>``) element. Inside it every element and class counts as content. Outside it, a word
+counts for the outermost element around it that doesn't hold the label: a menu's list items are no
+content because of the menu, and say nothing about lists elsewhere. Blocks that are links from end
+to end count too. ``PRIOR_STRONG`` and ``PRIOR_WEAK`` are counts to start from, for what HTML itself
+or common class names call no content; the label is read for learning alone and plays no part in
+extraction.
+
+Learning counts labelled pages, takes ``Settings.sample_pages`` of them (hash of the page id) and
+keeps elements and classes found on ``Settings.least_pages`` of these or more; every page is
 extracted whole.
 
 Defined cases: null or empty html, or no words, gives an empty text; unclosed and stray tags are
 tolerated; a comment or raw-text element that never ends runs to the end; repeated rows are each
-extracted; without labelled pages the weights are their priors; other columns pass through or, if
-named like an output column, are replaced.
+extracted; without labelled pages the weights are their priors; null ids are sampled like any other
+value; other columns pass through or, if named like an output column, are replaced.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -36,36 +43,38 @@ from vocaris.llm.frames import append_columns, map_arrow, without
 @dataclass(frozen=True)
 class Settings:
     sample_pages: int = 4000
+    least_pages: int = 2
     seed: int = 23
-    clip: float = 3.0
-    labelled: float = 6.0  # weight of lying inside or outside the element that labels the page
-    generic: float = 0.5  # least weight of a word in a generic place of a page without that element
+    base: float = 1.0  # score of a word about whose place nothing is known
+    most: float = 2.0  # added at best by a place that speaks for content
+    least: float = -6.0  # of one place that speaks against it
+    floor: float = -0.25  # score of a word at worst, so that content goes on behind a long aside
+    ruled_out: float = -3.0  # places at or below are left out inside the region
     tag_cost: float = 0.02  # least cost of a tag
+    tag_most: float = 1.0
 
 
 SETTINGS = Settings()
 
-RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|title|button"
+# HTML's elements by kind, and words that class names use for what is no content.
+RAW = "script|style|noscript|template|svg|textarea|select|iframe|object|canvas|title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never content.
-DROPPED = frozenset("nav footer aside form dialog menu head fieldset".split())
-#: Words of a class or id that mark what is not content.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer sidebar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related "
-    "recommended comment comments disqus respond reply replies toolbar pagination pager".split()
-)
-HEADERS = frozenset("header site-header page-header masthead topbar".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Elements that begin and end a block.
 BLOCKS = frozenset(
-    "address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody tfoot thead tr ul "
-    "nav footer aside form dialog menu fieldset".split()
+    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CELLS = frozenset(("td", "th"))
-LABELS = frozenset(("article", "main"))
-#: Places that say nothing by themselves on a page without a label, whatever they hold elsewhere.
-GENERIC = frozenset(("", "body", "div", "section", "center"))
+LABELS = ("article", "main")
+SECTIONS = frozenset(("article", "main", "section"))
+GENERIC = frozenset(("div", "span", "section", "center"))
+PRIOR_STRONG = frozenset(
+    "nav footer aside form dialog menu head fieldset header hidden "
+    ".ad .ads .advert .adverts .advertisement .advertising .breadcrumb .breadcrumbs .comments .cookie .cookies .disqus .footer .gdpr .masthead .nav .navbar .navigation .newsletter .pagination .sidebar .sponsored .topbar "
+    "role=navigation role=banner role=contentinfo role=complementary role=search role=dialog role=alert role=menu role=menubar".split()
+)
+PRIOR_WEAK = frozenset(
+    ".adv .sponsor .promo .promotion .banner .header .menu .consent .notice .notices .popup .modal .overlay .subscribe .signup .login .share .sharing .social .related .recommended .comment .respond .reply .replies .toolbar .pager".split()
+)
+STRONG, WEAK = 400, 20  # words that a prior stands for
 
 _TOKEN = re.compile(
     r"(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z))"
@@ -76,42 +85,69 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
+def prior(mark: str) -> int:
+    """Words outside content that a mark starts with. A compound class name takes the prior of a part
+    that is strong, or of parts that are all known."""
+    if mark in PRIOR_STRONG:
+        return STRONG
+    if mark in PRIOR_WEAK:
+        return WEAK
+    if mark.startswith("."):
+        parts = {"." + p for p in re.split(r"[^a-z0-9]+", mark[1:]) if p}
+        if len(parts) > 1:
+            if parts & PRIOR_STRONG:
+                return STRONG
+            if parts <= PRIOR_WEAK:
+                return WEAK
+    return 0
+
+
+@dataclass
+class Element:
+    """An open element: what speaks for or against it, and whether it holds a label."""
+
+    name: str
+    marks: tuple[str, ...]
+    holds: set[str] = field(default_factory=set)
+
+
 @dataclass
 class Run:
-    """A piece of text: where it lies and whether markup rules it out."""
+    """A piece of text, the block it belongs to, and the elements it lies in, outermost first."""
 
     text: str
     block: int
-    place: str
-    labelled: bool
-    dropped: bool
-
-
-def _is_dropped(name: str, attrs: str, inside_label: bool) -> bool:
-    if name in DROPPED or (name == "header" and not inside_label):
-        return True
-    if "=" not in attrs:
-        return " hidden" in attrs.lower()
-    for key, a, b, c in _ATTR.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id"):
-            if HEADERS & set(value.split()) or MARKS & set(re.split(r"[^a-z0-9]+", value)):
-                return name not in LABELS and name not in ("body", "html")
-        elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
-            return True
-    return False
+    path: tuple[Element, ...]
+    link: bool
+
+
+def marks_of(name: str, attrs: str, in_section: bool) -> tuple[str, ...]:
+    found: list[str] = []
+    if "=" in attrs:
+        for key, a, b, c in _ATTR.findall(attrs):
+            key, value = key.lower(), (a or b or c).lower()
+            if key in ("class", "id"):
+                found += ["." + v for v in value.split()]
+            elif key == "role":
+                found.append("role=" + value)
+            elif key == "aria-hidden" and value == "true":
+                found.append("hidden")
+    if re.search(r"\shidden(?=[\s/>=])", attrs, re.I):
+        found.append("hidden")
+    if name in BLOCKS and not (found and name in GENERIC):
+        found.append("section header" if name == "header" and in_section else name)
+    return tuple(dict.fromkeys(found))
 
 
 def tokens(page: str) -> list[Run | str]:
     """Runs of text, and the names of the tags between them, in page order."""
     out: list[Run | str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, labelled (each with what it lies in)
-    block, place = 0, ""
+    path: tuple[Element, ...] = ()
+    block, links = 0, 0
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            dropped, labelled = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Run(text, block, place, labelled, dropped))
+            out.append(Run(text, block, path, links > 0))
             continue
         name = m["name"]
         if name is None:
@@ -119,115 +155,175 @@ def tokens(page: str) -> list[Run | str]:
         name = name.lower()
         out.append(name)
         if name in BLOCKS:
-            block, place = block + 1, name
+            block += 1
         elif name in CELLS:
-            out.append(Run(" ", block, place, *(stack[-1][2:0:-1] if stack else (False, False))))
+            out.append(Run(" ", block, path, links > 0))
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            for k in range(len(path) - 1, -1, -1):
+                if path[k].name == name:
+                    links -= sum(e.name == "a" for e in path[k:])
+                    path = path[:k]
                     break
-            if name in BLOCKS:
-                place = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "")
         elif name not in VOID and not (m["attrs"].endswith("/>") and name not in BLOCKS):
-            if name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()  # implied end
-            dropped, labelled = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            stack.append((name, dropped or _is_dropped(name, m["attrs"], labelled), labelled or name in LABELS))
+            if name in ("p", "li", "a") and path and path[-1].name == name:
+                path, links = path[:-1], links - (name == "a")  # implied end
+            if name in LABELS:
+                for e in path:
+                    e.holds.add(name)
+            path += (Element(name, marks_of(name, m["attrs"], any(e.name in SECTIONS for e in path))),)
+            links += name == "a"
     return out
 
 
+def link_blocks(found: list[Run | str]) -> set[int]:
+    """Blocks whose words are all inside links."""
+    linked: dict[int, bool] = {}
+    for t in found:
+        if isinstance(t, Run) and not t.text.isspace():
+            linked[t.block] = linked.get(t.block, True) and t.link
+    return {b for b, all_ in linked.items() if all_}
+
+
 @dataclass
 class Weights:
+    """Log odds of marks, of link blocks and of tags."""
+
     settings: Settings = SETTINGS
-    words: dict[str, float] = field(default_factory=dict)
+    marks: dict[str, float] = field(default_factory=dict)
+    links: float = -3.0
     tags: dict[str, float] = field(default_factory=dict)
-
-    def run(self, run: Run, page_labelled: bool, n: int) -> float:
-        s = self.settings
-        if run.dropped:  # left out anyway: no more than markup, so that content goes on behind it
-            return -s.tag_cost
-        w = self.words.get(run.place, 1.0)
-        if page_labelled:
-            w += s.labelled if run.labelled else -s.labelled
-        elif run.place in GENERIC:
-            w = max(w, s.generic)
-        return n * w
+    known: dict[tuple[str, ...], tuple[float, float]] = field(default_factory=dict, compare=False)
+
+    def mark(self, mark: str) -> float:
+        w = self.marks.get(mark)
+        return -log(prior(mark) + 1) if w is None else w
+
+    def place(self, path: tuple[Element, ...]) -> tuple[float, float]:
+        """What speaks for a place (the best of its marks) and against it (all of them)."""
+        key = tuple(m for e in path for m in e.marks)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            each = [self.mark(m) for m in dict.fromkeys(key)]
+            found = self.known[key] = (max([0.0, *each]), sum(w for w in each if w < 0))
+        return found
+
+
+def labels_of(found: list[Run | str]) -> str | None:
+    """The element that labels a page's content: its only article or, without any, its only main."""
+    for name in LABELS:
+        n = len({id(e) for t in found if isinstance(t, Run) for e in t.path if e.name == name})
+        if n:
+            return name if n == 1 else None
+    return None
 
 
-def counts(page: str) -> dict[tuple[str, str, bool], int]:
-    """How often words of each place, and tags, are content on a page that labels itself."""
+def counts(page: str) -> Counter[tuple[str, str, bool]]:
+    """Words by (mark, content or not), words of link blocks, and tags, of a page that labels itself."""
+    out: Counter[tuple[str, str, bool]] = Counter()
     found = tokens(page)
-    if not any(isinstance(t, Run) and t.labelled for t in found):
-        return {}
-    out: dict[tuple[str, str, bool], int] = {}
-    inside = False
+    label = labels_of(found)
+    if label is None:
+        return out
+    links, inside = link_blocks(found), False
     for t in found:
-        if isinstance(t, Run):
-            inside = t.labelled and not t.dropped
-            key, n = ("word", t.place, inside), len(t.text.split())
+        if not isinstance(t, Run):
+            out["tag", t, inside] += 1
+            continue
+        at = next((k for k, e in enumerate(t.path) if e.name == label), None)
+        inside = at is not None
+        n = len(t.text.split())
+        if not n:
+            continue
+        if inside:
+            within = {m for e in t.path[at:] for m in e.marks} - {label}
+            if any(prior(m) == STRONG for m in within):
+                continue  # the label says nothing about an aside in it
         else:
-            key, n = ("tag", t, inside), 1
-        if n:
-            out[key] = out.get(key, 0) + n
+            within = set(next((e.marks for e in t.path if label not in e.holds), ()))
+        if t.block in links:
+            out["links", "", inside] += n
+        for m in within:
+            out["mark", m, inside] += n
     return out
 
 
 def weights_of(totals: dict[tuple[str, str, bool], int], settings: Settings = SETTINGS) -> Weights:
-    """Clipped, smoothed log odds; a tag never scores above its least cost."""
+    """Smoothed log odds within their bounds; a tag never scores above its least cost."""
     out = Weights(settings)
     for kind, name in {(k, n) for k, n, _ in totals}:
-        odds = log((totals.get((kind, name, True), 0) + 1) / (totals.get((kind, name, False), 0) + 1))
-        odds = max(-settings.clip, min(settings.clip, odds))
-        if kind == "word":
-            out.words[name] = odds
+        start = prior(name) if kind == "mark" else WEAK if kind == "links" else 0
+        odds = log((totals.get((kind, name, True), 0) + 1) / (totals.get((kind, name, False), 0) + start + 1))
+        if kind == "tag":
+            out.tags[name] = max(-settings.tag_most, min(odds, -settings.tag_cost))
+        elif kind == "links":
+            out.links = max(settings.least, min(odds, 0.0))
         else:
-            out.tags[name] = min(odds, -settings.tag_cost) if name not in BLOCKS else -settings.tag_cost
+            out.marks[name] = max(settings.least, min(odds, settings.most))
     return out
 
 
-def extract_text(page: str | None, weights: Weights) -> str:
-    found = tokens(page or "")
-    labelled = any(isinstance(t, Run) and t.labelled and not t.dropped and t.text.strip() for t in found)
-    best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    for k, t in enumerate(found):
-        if isinstance(t, Run):
-            n = len(t.text.split())
-            score = weights.run(t, labelled, n) if n else 0.0
+def scores(found: list[Run | str], weights: Weights) -> list[float]:
+    s, links, out = weights.settings, link_blocks(found), []
+    for t in found:
+        if not isinstance(t, Run):
+            out.append(weights.tags.get(t, -s.tag_cost))
+            continue
+        n = len(t.text.split())
+        if n:
+            up, down = weights.place(t.path)
+            out.append(n * max(s.floor, s.base + up + down + (weights.links if t.block in links else 0.0)))
         else:
-            score = weights.tags.get(t, -weights.settings.tag_cost)
+            out.append(0.0)
+    return out
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """The contiguous stretch of greatest sum, first and shortest; empty if no sum is above 0."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for k, v in enumerate(values):
         if total <= 0:
             total, start = 0.0, k
-        total += score
+        total += v
         if total > best:
-            best, best_span = total, (start, k + 1)
+            best, span = total, (start, k + 1)
+    return span
+
+
+def extract_text(page: str | None, weights: Weights) -> str:
+    found = tokens(page or "")
     blocks: dict[int, list[str]] = {}
-    for t in found[slice(*best_span)]:
-        if isinstance(t, Run) and not t.dropped and (t.labelled or not labelled):
+    for t in found[slice(*best_region(scores(found, weights)))]:
+        if isinstance(t, Run) and weights.place(t.path)[1] > weights.settings.ruled_out:
             blocks.setdefault(t.block, []).append(t.text)
     lines = (" ".join(html_module.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", settings: Settings = SETTINGS) -> Weights:
-    share = min(1.0, settings.sample_pages / max(1, pages.count()))
-    picked = pages.where(F.pmod(F.xxhash64(id_col, F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(html_col)
+    labelled = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]"))
+    share = min(1.0, settings.sample_pages / max(1, labelled.count()))
+    picked = labelled.where(F.pmod(F.xxhash64(id_col, F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[str, str, bool], int] = {}
+        totals: Counter[tuple[str, str, bool]] = Counter()
+        seen: Counter[tuple[str, str, bool]] = Counter()
         for batch in batches:
             for page in batch.column(0):
-                for key, n in counts(page.as_py() or "").items():
-                    totals[key] = totals.get(key, 0) + n
+                found = counts(page.as_py() or "")
+                totals.update(found)
+                seen.update(found.keys())
         keys = list(totals)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([totals[k] for k in keys], pa.int64())],
-            names=["kind", "name", "content", "n"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([totals[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
+            names=["kind", "name", "content", "n", "pages"],
         )
 
-    summed = picked.mapInArrow(run, "kind string, name string, content boolean, n long").groupBy("kind", "name", "content").agg(F.sum("n").alias("n"))
-    frequent = summed.orderBy(F.desc("n"), "kind", "name", "content").limit(4000)  # element names, not rows
-    return weights_of({(r.kind, r.name, r.content): r.n for r in frequent.collect()}, settings)
+    counted = picked.mapInArrow(run, "kind string, name string, content boolean, n long, pages long")
+    # what the bounded sample has
+    summed = counted.groupBy("kind", "name", "content").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")).where(F.col("pages") >= settings.least_pages)
+    return weights_of({(r.kind, r.name, r.content): r.n for r in summed.collect()}, settings)
 
 
 def extract(pages: DataFrame, weights: Weights, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
