@@ -51,7 +51,7 @@ class Settings:
     floor: float = -0.25  # score of a word at worst, so that content goes on behind a long aside
     ruled_out: float = -3.0  # places at or below are left out inside the region
     tag_cost: float = 0.02  # least cost of a tag
-    tag_most: float = 1.0
+    tag_most: float = 0.5
 
 
 SETTINGS = Settings()
@@ -121,6 +121,14 @@ class Run:
     link: bool
 
 
+@dataclass
+class Tag:
+    """A tag and the elements around what it begins or ends."""
+
+    name: str
+    path: tuple[Element, ...]
+
+
 def marks_of(name: str, attrs: str, in_section: bool) -> tuple[str, ...]:
     found: list[str] = []
     if "=" in attrs:
@@ -139,9 +147,9 @@ def marks_of(name: str, attrs: str, in_section: bool) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-def tokens(page: str) -> list[Run | str]:
-    """Runs of text, and the names of the tags between them, in page order."""
-    out: list[Run | str] = []
+def tokens(page: str) -> list[Run | Tag]:
+    """Runs of text, and the tags between them, in page order."""
+    out: list[Run | Tag] = []
     path: tuple[Element, ...] = ()
     block, links = 0, 0
     for m in _TOKEN.finditer(page):
@@ -153,7 +161,6 @@ def tokens(page: str) -> list[Run | str]:
         if name is None:
             continue
         name = name.lower()
-        out.append(name)
         if name in BLOCKS:
             block += 1
         elif name in CELLS:
@@ -164,9 +171,12 @@ def tokens(page: str) -> list[Run | str]:
                     links -= sum(e.name == "a" for e in path[k:])
                     path = path[:k]
                     break
-        elif name not in VOID and not (m["attrs"].endswith("/>") and name not in BLOCKS):
-            if name in ("p", "li", "a") and path and path[-1].name == name:
-                path, links = path[:-1], links - (name == "a")  # implied end
+            out.append(Tag(name, path))
+            continue
+        if name in ("p", "li", "a") and path and path[-1].name == name:
+            path, links = path[:-1], links - (name == "a")  # implied end
+        out.append(Tag(name, path))
+        if name not in VOID and not (m["attrs"].endswith("/>") and name not in BLOCKS):
             if name in LABELS:
                 for e in path:
                     e.holds.add(name)
@@ -175,7 +185,7 @@ def tokens(page: str) -> list[Run | str]:
     return out
 
 
-def link_blocks(found: list[Run | str]) -> set[int]:
+def link_blocks(found: list[Run | Tag]) -> set[int]:
     """Blocks whose words are all inside links."""
     linked: dict[int, bool] = {}
     for t in found:
@@ -210,7 +220,7 @@ class Weights:
         return found
 
 
-def labels_of(found: list[Run | str]) -> str | None:
+def labels_of(found: list[Run | Tag]) -> str | None:
     """The element that labels a page's content: its only article or, without any, its only main."""
     for name in LABELS:
         n = len({id(e) for t in found if isinstance(t, Run) for e in t.path if e.name == name})
@@ -226,13 +236,14 @@ def counts(page: str) -> Counter[tuple[str, str, bool]]:
     label = labels_of(found)
     if label is None:
         return out
-    links, inside = link_blocks(found), False
+    links = link_blocks(found)
     for t in found:
-        if not isinstance(t, Run):
-            out["tag", t, inside] += 1
-            continue
         at = next((k for k, e in enumerate(t.path) if e.name == label), None)
         inside = at is not None
+        if isinstance(t, Tag):
+            if t.name != label and (inside or all(label in e.holds for e in t.path)):  # a menu's own tags say nothing about lists
+                out["tag", t.name, inside] += 1
+            continue
         n = len(t.text.split())
         if not n:
             continue
@@ -264,11 +275,11 @@ def weights_of(totals: dict[tuple[str, str, bool], int], settings: Settings = SE
     return out
 
 
-def scores(found: list[Run | str], weights: Weights) -> list[float]:
+def scores(found: list[Run | Tag], weights: Weights) -> list[float]:
     s, links, out = weights.settings, link_blocks(found), []
     for t in found:
-        if not isinstance(t, Run):
-            out.append(weights.tags.get(t, -s.tag_cost))
+        if isinstance(t, Tag):
+            out.append(weights.tags.get(t.name, -s.tag_cost))
             continue
         n = len(t.text.split())
         if n:
