@@ -83,22 +83,50 @@ def test_decisions_equal_brute_force(spark):
     assert sorted(tuple(r) for r in near_dedup.decide(df).collect()) == brute(rows)
 
 
-def test_families_find_what_leaders_miss(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", 3000)  # several tiles and chunks
-    rnd = random.Random(7)
-    base = [f"b{i}" for i in range(300)]
+def family(seed, n, words=300, edits=12):
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
     rows = []
-    for i in range(60):
+    for i in range(n):
         own = list(base)
-        for _ in range(rnd.randrange(0, 12)):
-            own[rnd.randrange(300)] = f"e{rnd.randrange(10**6)}"
+        for _ in range(rnd.randrange(0, edits)):
+            own[rnd.randrange(words)] = f"e{rnd.randrange(10**6)}"
         rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_buckets_find_what_leaders_miss(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 7)  # several tiles and chunks
+    rows = family(7, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_dedup.decide(df).collect()) == brute(rows)
     kept = near_dedup.keep_one(df.selectExpr("*", "doc_id as component_id", "'z' as t"))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _, k in brute(rows) if k] and kept.columns == ["doc_id", "text", "component_id", "t"]
 
 
+def test_large_family_is_dealt_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 8)  # so that even the smaller family has TILES of them
+    seen = []
+    deal = near_dedup.dealt
+    monkeypatch.setattr(near_dedup, "dealt", lambda rows: seen.append(deal(rows).count()) or deal(rows))
+    total = []
+    for n in (600, 2400):
+        rows = family(3, n, 120, 6)
+        seen.clear()
+        got = near_dedup.decide(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        total.append(sum(seen))
+        assert n > 1000 or sorted(tuple(r) for r in got) == brute(rows)
+        assert len(got) == n and sum(r.component_id == 0 for r in got) > 0.6 * n
+    assert total[0] and total[1] <= 1.3 * 4 * total[0]
+
+
+def test_separate_classes_of_one_bucket(spark):
+    # one bucket of many classes that aren't linked: rows grow with the classes, not their square
+    n = near_dedup.TILE_ROWS * near_dedup.TILES * 2
+    rows = spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{n}L m", f"{n - 1}L q", "10L n", "binary('x') sketch")
+    assert near_dedup.dealt(rows).count() <= 2 * near_dedup.TILES * n
+
+
 def test_empty_table_and_repeats(spark):
     df = spark.createDataFrame([(4, "a b c d e"), (4, "a b c d e"), (9, "A  b c d e"), (5, None), (None, "q r s t")], "doc_id long, text string")
     got = sorted((tuple(r) for r in near_dedup.decide(df).collect()), key=str)

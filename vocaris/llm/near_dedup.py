@@ -7,10 +7,11 @@
    bands leads, and only pairs with the leader are emitted: as many as rows.
 4. Sketches reject pairs that can't be similar (their XOR's set bits estimate the similarity); the
    others are confirmed on whole sets, and links make components.
-5. A family is all classes that candidate pairs connect. Where a family has several components, each
-   class outside the largest is compared with the whole family, in tiles and chunks of bounded
-   size: an inverted index over a tile's sets counts exact overlaps for one class of a chunk after the
-   other. So no link is lost that a leader didn't see, and no pairs are emitted but links.
+5. A bucket whose classes links leave in several components is compared by sketches alone, in tiles:
+   each class outside the largest component meets all others of the bucket, and pairs of different
+   components that sizes and sketches don't reject are confirmed on whole sets. So no link is lost that
+   a leader didn't see. A class is sent to a bounded number of tiles, so that what is shuffled grows
+   with the bucket and not with its square.
 
 Sets are read again only for candidate classes; a Bloom filter keeps other texts out of the shuffle.
 
@@ -37,8 +38,10 @@ from vocaris.llm.membership import anti_join, semi_join
 from vocaris.llm.near_kernels import SETTINGS, Settings
 from vocaris.llm.textkernels import blocks, unique_sorted
 
-#: Shingles of a tile, and of a chunk, on average.
-TILE_SHINGLES = 250_000
+#: Classes of a tile, and of a chunk, on average; and how many of either a bucket is cut into at most
+#: (beyond TILES * TILE_ROWS classes tiles grow: 100 bytes for each class).
+TILE_ROWS = 100
+TILES = 8
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings = SETTINGS) -> DataFrame:
@@ -115,75 +118,97 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
     return map_arrow(_both(likely, sets, "shingles"), by_set, pair_fields)
 
 
-def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (family, tile, chunk, query, digest, comp, shingles), sorted by the first four: a tile's
-    members come before the classes that are compared with them."""
-    tile, names, comps, sets, index = None, [], [], [], None
-    for batch in batches:
-        out: list[tuple[bytes, bytes]] = []
-        for family, number, chunk, query, digest, comp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            if (family, number, chunk) != tile:
-                tile, names, comps, sets, index = (family, number, chunk), [], [], [], None
-            own = np.frombuffer(shingles, np.uint64)
-            if not query:
-                names.append(digest)
-                comps.append(comp)
-                sets.append(own)
-                continue
-            if index is None:
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                order = np.argsort(flat, kind="stable")
-                index = flat[order], owner[order], np.array([len(s) for s in sets], dtype=np.int64)
-            keys, owner, size = index
-            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            common = np.bincount(owner[at], minlength=len(size))
-            seen = {comp}
-            for k in np.flatnonzero(100 * common >= percent * (len(own) + size - common)):
-                if comps[k] not in seen:
-                    seen.add(comps[k])
-                    out.append((digest, names[k]))
-        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
-
-
-def family_links(pairs: DataFrame, links: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links between different components of a family that no leader saw."""
-    families, comps = connected_components(pairs), connected_components(links)
-    placed = families.select(F.col("node").alias("digest"), F.col("component").alias("family")).join(comps.select(F.col("node").alias("digest"), "component"), "digest", "left")
-    sized = sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    placed = cut(placed.withColumn("comp", F.coalesce("component", "digest")).drop("component").join(sized, "digest"))
-    parts = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    # two classes are one pair, which the leader has already seen
-    total = parts.groupBy("family").agg(F.max(F.struct("m", "comp", "n")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"))
-    bounded = lambda n: F.greatest(F.ceil(n / TILE_SHINGLES), F.lit(1))
-    open_ = cut(total.where("parts > 1 and m > 2").select("family", F.col("x.comp").alias("main"), bounded(F.col("n")).alias("tiles"), bounded(F.col("n") - F.col("x.n")).alias("chunks")))
-    rows = placed.join(open_, "family")
-    # every chunk of the classes outside the main component meets every tile of the family
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    tile, chunk = F.pmod(F.xxhash64("digest"), F.col("tiles")), F.pmod(F.xxhash64("digest", F.lit(1)), F.col("chunks"))
-    members = rows.select("family", tile.alias("tile"), each("chunks").alias("chunk"), F.lit(0).alias("query"), "digest", "comp")
-    queries = rows.where("comp <> main").select("family", each("tiles").alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), "digest", "comp")
-    full = members.unionByName(queries).join(sets.select("digest", "shingles"), "digest").select("family", "tile", "chunk", "query", "digest", "comp", "shingles")
-    dealt = full.repartition("family", "tile", "chunk").sortWithinPartitions("family", "tile", "chunk", "query")
-    percent = settings.percent
-    return map_arrow(dealt, lambda batches: _tile_links(batches, percent), [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+def open_members(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, digest, comp, main, m, q, n, sketch) of buckets of three classes or more that links leave in
+    several components: main is the component with most classes, m counts all classes and q those
+    outside main."""
+    comps = connected_components(links).withColumnRenamed("node", "digest")
+    known = cut(classes.join(comps, "digest", "left").select("digest", "n", "sketch", F.coalesce("component", "digest").alias("comp")))
+    placed = members.join(known.select("digest", "comp"), "digest")
+    parts = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    buckets = parts.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"))
+    open_ = cut(buckets.where("parts > 1 and m > 2").select("h", F.col("x.comp").alias("main"), "m", (F.col("m") - F.col("x.m")).alias("q")))
+    return members.join(open_, "h").join(known, "digest")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """(h, tile, chunk, query, digest, comp, n, sketch): every chunk of a bucket's classes outside main
+    meets every tile of its classes. A bucket has at most TILES tiles and chunks, so that a class
+    appears at most 2 * TILES times, however large the bucket."""
+    number = lambda n: F.least(F.ceil(n / TILE_ROWS), F.lit(TILES)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), number(n) - 1))
+    tile, chunk = F.pmod(F.xxhash64("digest"), number(F.col("m"))), F.pmod(F.xxhash64("digest", F.lit(1)), number(F.col("q")))
+    own = ["digest", "comp", "n", "sketch"]
+    stay = rows.select("h", tile.alias("tile"), each(F.col("q")).alias("chunk"), F.lit(0).alias("query"), *own)
+    ask = rows.where("comp <> main").select("h", each(F.col("m")).alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), *own)
+    return stay.unionByName(ask).repartition("h", "tile", "chunk").sortWithinPartitions("h", "tile", "chunk", "query")
+
+
+def candidates(rows: DataFrame, best: bool, settings: Settings) -> DataFrame:
+    """Distinct pairs (a, b) of different components of a bucket that sizes and sketches don't reject.
+    With best, a class names in each tile only the likeliest partner of each other component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, names, comps, sizes, sketches = None, [], [], np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, 8), np.uint64)
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for h, t, c, query, digest, comp, n, sketch in zip(*(x.to_pylist() for x in batch.columns)):
+                if (h, t, c) != tile:
+                    tile, held, names = (h, t, c), [], []
+                if not query:
+                    held.append((digest, comp, n, sketch))
+                    continue
+                if len(names) != len(held):
+                    names = [x[0] for x in held]
+                    comps = np.array([x[1] for x in held], dtype=object)
+                    sizes = np.array([x[2] for x in held], dtype=np.int64)
+                    sketches = np.frombuffer(b"".join(x[3] for x in held), dtype=np.uint8).reshape(len(held), -1)
+                if not held:
+                    continue
+                fits = np.flatnonzero((100 * np.minimum(sizes, n) >= settings.percent * np.maximum(sizes, n)) & (comps != comp))
+                if len(fits):
+                    guess = kernels.estimates(sketches[fits], np.frombuffer(sketch, dtype=np.uint8), settings)
+                    good = guess >= settings.reject_below
+                    found = sorted(zip(-guess[good], fits[good].tolist()))
+                    seen: set[bytes] = set()
+                    for _, k in found:
+                        if not best or comps[k] not in seen:
+                            seen.add(comps[k])
+                            out.append((digest, names[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+
+    return map_arrow(dealt(rows), run, [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]).distinct()
+
+
+def all_links(members: DataFrame, classes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links that join every two classes of a bucket that are linked or reach each other by links.
+
+    The leaders' stars come first. What they leave in several components is compared by sketches: at
+    first for the likeliest partners, which settles what lies close together, then for all partners of
+    what is still apart."""
+    pairs = cut(star_pairs(members))
+    links = cut(confirmed(pairs, classes, sets, settings))
+    for best in (True, False):
+        rows = cut(open_members(members, links, classes))
+        if rows.isEmpty():
+            break
+        new = cut(candidates(rows, best, settings).join(pairs, ["a", "b"], "left_anti"))
+        links = cut(links.unionByName(confirmed(new, classes, sets, settings)))
+        pairs = pairs.unionByName(new)
+    return links
 
 
 def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = SETTINGS) -> DataFrame:
     """id, n_shingles, component_id and kept of every row."""
     rows = cut(signatures(df, id_col, text_col, settings))
     filled = rows.where("n > 0")
-    classes = cut(filled.groupBy("digest").agg(F.min("i").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = cut(filled.groupBy("digest").agg(F.min("i").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     buckets = classes.select("digest", F.explode("bands").alias("h"))
     several = buckets.groupBy("h").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("h")
     members = cut(buckets.join(cut(several), "h"))
-    pairs = cut(star_pairs(members))
-    wanted = cut(members.select("digest").distinct().join(classes.select("digest", "rep", "sketch"), "digest"))
+    wanted = cut(members.select("digest").distinct().join(classes.select("digest", "rep", "n", "sketch"), "digest"))
     sets = cut(whole_sets(df, id_col, text_col, wanted, settings))
-    links = cut(confirmed(pairs, wanted, sets, settings))
-    links = cut(links.unionByName(family_links(pairs, links, sets, settings)))
+    links = all_links(members, wanted, sets, settings)
     linked = cut(connected_components(links).join(classes.select(F.col("digest").alias("node"), "rep"), "node"))
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "component").select(F.col("node").alias("digest"), "component_id")
