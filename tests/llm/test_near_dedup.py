@@ -77,6 +77,22 @@ def test_sketch_estimates_similarity():
         assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.2
 
 
+def test_wide_sketches_reject_no_linked_set():
+    rnd = np.random.default_rng(4)
+    for size in (1, 5, 30, 130, 700, 5000, 60000):
+        for _ in range(30):
+            both = rnd.integers(0, 2**63, size * 2, dtype=np.uint64)
+            common = -(-8 * size // 9)  # just linked
+            a, b = both[:size], np.concatenate((both[:common], both[size : 2 * size - common]))
+            rest = np.sort(rnd.integers(0, 2**63, size, dtype=np.uint64))
+            a, b = np.unique(a), np.unique(b)
+            assert near_kernels.linked(a, b, 80)
+            for n, x in ((len(b), b), (len(rest), rest)):
+                wide = np.frombuffer(near_kernels.wide_sketch(x), dtype=np.uint8)[None, :]
+                found, _ = near_kernels.possible(near_kernels.wide_sketch(a), len(a), wide, np.array([n]), 80)
+                assert len(found) == (x is b) or (x is rest and size < 5)
+
+
 def test_decisions_equal_brute_force(spark):
     rows = made(2)
     df = spark.createDataFrame([(i, t, "q", 3) for i, t in rows], "doc_id long, text string, kept string, I int")
@@ -96,7 +112,7 @@ def family(seed, n, words=300, edits=12):
 
 
 def test_buckets_find_what_leaders_miss(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "TILE_ROWS", 7)  # several tiles and chunks
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 2)  # several tiles and chunks
     rows = family(7, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_dedup.decide(df).collect()) == brute(rows)
@@ -105,7 +121,8 @@ def test_buckets_find_what_leaders_miss(spark, monkeypatch):
 
 
 def test_large_family_is_dealt_in_proportion(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "TILE_ROWS", 8)  # so that even the smaller family has TILES of them
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "TILES", 4)  # so that even the smaller family has as many
     seen = []
     deal = near_dedup.dealt
     monkeypatch.setattr(near_dedup, "dealt", lambda rows: seen.append(deal(rows).count()) or deal(rows))
@@ -122,8 +139,8 @@ def test_large_family_is_dealt_in_proportion(spark, monkeypatch):
 
 def test_separate_classes_of_one_bucket(spark):
     # one bucket of many classes that aren't linked: rows grow with the classes, not their square
-    n = near_dedup.TILE_ROWS * near_dedup.TILES * 2
-    rows = spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{n}L m", f"{n - 1}L q", "10L n", "binary('x') sketch")
+    n = 20000
+    rows = spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{n}L m", f"{n - 1}L q", "10L n", "binary('x') wide")
     assert near_dedup.dealt(rows).count() <= 2 * near_dedup.TILES * n
 
 

@@ -7,11 +7,11 @@
    bands leads, and only pairs with the leader are emitted: as many as rows.
 4. Sketches reject pairs that can't be similar (their XOR's set bits estimate the similarity); the
    others are confirmed on whole sets, and links make components.
-5. A bucket whose classes links leave in several components is compared by sketches alone, in tiles:
-   each class outside the largest component meets all others of the bucket, and pairs of different
-   components that sizes and sketches don't reject are confirmed on whole sets. So no link is lost that
-   a leader didn't see. A class is sent to a bounded number of tiles, so that what is shuffled grows
-   with the bucket and not with its square.
+5. A bucket whose classes links leave in several components is compared by odd sketches of the whole
+   sets, in tiles: each class outside the largest component meets all others of the bucket, and pairs
+   of different components that sizes and sketches don't reject (by 5.5 deviations) are confirmed on
+   whole sets. So no link is lost that a leader didn't see. A class is sent to a bounded number of
+   tiles, so that what is shuffled grows with the bucket and not with its square.
 
 Sets are read again only for candidate classes; a Bloom filter keeps other texts out of the shuffle.
 
@@ -38,10 +38,10 @@ from vocaris.llm.membership import anti_join, semi_join
 from vocaris.llm.near_kernels import SETTINGS, Settings
 from vocaris.llm.textkernels import blocks, unique_sorted
 
-#: Classes of a tile, and of a chunk, on average; and how many of either a bucket is cut into at most
-#: (beyond TILES * TILE_ROWS classes tiles grow: 100 bytes for each class).
+#: A bucket of m classes is cut into sqrt(m / TILE_ROWS) tiles and as many chunks, at most TILES; tiles
+#: grow beyond that, by about 0.2 KB a class.
 TILE_ROWS = 100
-TILES = 8
+TILES = 64
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings = SETTINGS) -> DataFrame:
@@ -71,7 +71,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings = S
 
 
 def whole_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(digest, shingles) of the wanted classes (digest, rep), from the texts of their rep rows."""
+    """(digest, n, shingles, wide) of the wanted classes (digest, rep), from the texts of their rep rows."""
     texts = semi_join(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +79,12 @@ def whole_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, set
             for block in blocks(batch.column(0)):
                 grams, first = kernels.shingles(block, settings.words)
                 sets = [unique_sorted(grams[a:b]) for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([kernels.set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kernels.set_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([kernels.wide_sketch(s) for s in sets], pa.binary())],
+                    names=["digest", "n", "shingles", "wide"],
+                )
 
-    found = map_arrow(texts.select("t"), run, [T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    found = map_arrow(texts.select("t"), run, [T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("wide", T.BinaryType())])
     return found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
@@ -118,64 +121,74 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
     return map_arrow(_both(likely, sets, "shingles"), by_set, pair_fields)
 
 
-def open_members(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h, digest, comp, main, m, q, n, sketch) of buckets of three classes or more that links leave in
+def open_members(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(h, digest, comp, main, m, q, n, wide) of buckets of three classes or more that links leave in
     several components: main is the component with most classes, m counts all classes and q those
-    outside main."""
+    outside main. Of buckets with the same members one stands for all."""
     comps = connected_components(links).withColumnRenamed("node", "digest")
-    known = cut(classes.join(comps, "digest", "left").select("digest", "n", "sketch", F.coalesce("component", "digest").alias("comp")))
-    placed = members.join(known.select("digest", "comp"), "digest")
-    parts = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-    buckets = parts.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"))
-    open_ = cut(buckets.where("parts > 1 and m > 2").select("h", F.col("x.comp").alias("main"), "m", (F.col("m") - F.col("x.m")).alias("q")))
+    known = cut(sets.join(comps, "digest", "left").select("digest", "n", "wide", F.coalesce("component", "digest").alias("comp")))
+    placed = members.join(known.select("digest", "comp"), "digest").withColumns({"x": F.xxhash64("digest").cast("decimal(38,0)"), "y": F.xxhash64("digest", F.lit(1)).cast("decimal(38,0)")})
+    parts = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    buckets = parts.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y")).where("parts > 1 and m > 2")
+    one = buckets.groupBy("m", "x", "y").agg(F.min(F.struct("h", "top")).alias("b"))
+    open_ = cut(one.select("b.h", F.col("b.top.comp").alias("main"), "m", (F.col("m") - F.col("b.top.m")).alias("q")))
     return members.join(open_, "h").join(known, "digest")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """(h, tile, chunk, query, digest, comp, n, sketch): every chunk of a bucket's classes outside main
+    """(h, tile, chunk, query, digest, comp, n, wide): every chunk of a bucket's classes outside main
     meets every tile of its classes. A bucket has at most TILES tiles and chunks, so that a class
     appears at most 2 * TILES times, however large the bucket."""
-    number = lambda n: F.least(F.ceil(n / TILE_ROWS), F.lit(TILES)).cast("long")
+    number = lambda n: F.least(F.ceil(F.sqrt(n / TILE_ROWS)), F.lit(TILES)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), number(n) - 1))
     tile, chunk = F.pmod(F.xxhash64("digest"), number(F.col("m"))), F.pmod(F.xxhash64("digest", F.lit(1)), number(F.col("q")))
-    own = ["digest", "comp", "n", "sketch"]
+    own = ["digest", "comp", "n", "wide"]
     stay = rows.select("h", tile.alias("tile"), each(F.col("q")).alias("chunk"), F.lit(0).alias("query"), *own)
     ask = rows.where("comp <> main").select("h", each(F.col("m")).alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), *own)
     return stay.unionByName(ask).repartition("h", "tile", "chunk").sortWithinPartitions("h", "tile", "chunk", "query")
 
 
+class _Tile:
+    """The classes of a tile by the width of their sketches."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, int, bytes]]) -> None:
+        self.parts = []
+        for width in {len(r[3]) for r in rows}:
+            own = [r for r in rows if len(r[3]) == width]
+            self.parts.append(([r[0] for r in own], [r[1] for r in own], np.array([r[2] for r in own], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in own), dtype=np.uint8).reshape(len(own), width)))
+
+    def partners(self, comp: bytes, n: int, wide: bytes, best: bool, percent: int) -> list[bytes]:
+        found: list[tuple[int, bytes, bytes]] = []
+        for names, comps, sizes, sketches in self.parts:
+            at, odd = kernels.possible(wide, n, sketches, sizes, percent)
+            found += [(o, names[k], comps[k]) for k, o in zip(at.tolist(), odd.tolist()) if comps[k] != comp]
+        if not best:
+            return [name for _, name, _ in found]
+        nearest: dict[bytes, bytes] = {}
+        for _, name, other in sorted(found):
+            nearest.setdefault(other, name)
+        return list(nearest.values())
+
+
 def candidates(rows: DataFrame, best: bool, settings: Settings) -> DataFrame:
-    """Distinct pairs (a, b) of different components of a bucket that sizes and sketches don't reject.
-    With best, a class names in each tile only the likeliest partner of each other component."""
+    """Distinct pairs (a, b) of different components of a bucket that sizes and wide sketches don't
+    reject. With best, a class names in each tile only the likeliest partner of each other component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, names, comps, sizes, sketches = None, [], [], np.zeros(0, object), np.zeros(0, np.int64), np.zeros((0, 8), np.uint64)
+        key, held, tile = None, [], None
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for h, t, c, query, digest, comp, n, sketch in zip(*(x.to_pylist() for x in batch.columns)):
-                if (h, t, c) != tile:
-                    tile, held, names = (h, t, c), [], []
+            out: set[tuple[bytes, bytes]] = set()
+            for h, t, c, query, digest, comp, n, wide in zip(*(x.to_pylist() for x in batch.columns)):
+                if (h, t, c) != key:
+                    key, held, tile = (h, t, c), [], None
                 if not query:
-                    held.append((digest, comp, n, sketch))
-                    continue
-                if len(names) != len(held):
-                    names = [x[0] for x in held]
-                    comps = np.array([x[1] for x in held], dtype=object)
-                    sizes = np.array([x[2] for x in held], dtype=np.int64)
-                    sketches = np.frombuffer(b"".join(x[3] for x in held), dtype=np.uint8).reshape(len(held), -1)
-                if not held:
+                    held.append((digest, comp, n, wide))
                     continue
-                fits = np.flatnonzero((100 * np.minimum(sizes, n) >= settings.percent * np.maximum(sizes, n)) & (comps != comp))
-                if len(fits):
-                    guess = kernels.estimates(sketches[fits], np.frombuffer(sketch, dtype=np.uint8), settings)
-                    good = guess >= settings.reject_below
-                    found = sorted(zip(-guess[good], fits[good].tolist()))
-                    seen: set[bytes] = set()
-                    for _, k in found:
-                        if not best or comps[k] not in seen:
-                            seen.add(comps[k])
-                            out.append((digest, names[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+                tile = tile or _Tile(held)
+                for other in tile.partners(comp, n, wide, best, settings.percent):
+                    out.add((min(digest, other), max(digest, other)))
+            pairs = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
     return map_arrow(dealt(rows), run, [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]).distinct()
 
@@ -189,7 +202,7 @@ def all_links(members: DataFrame, classes: DataFrame, sets: DataFrame, settings:
     pairs = cut(star_pairs(members))
     links = cut(confirmed(pairs, classes, sets, settings))
     for best in (True, False):
-        rows = cut(open_members(members, links, classes))
+        rows = cut(open_members(members, links, sets))
         if rows.isEmpty():
             break
         new = cut(candidates(rows, best, settings).join(pairs, ["a", "b"], "left_anti"))
@@ -202,11 +215,11 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     """id, n_shingles, component_id and kept of every row."""
     rows = cut(signatures(df, id_col, text_col, settings))
     filled = rows.where("n > 0")
-    classes = cut(filled.groupBy("digest").agg(F.min("i").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = cut(filled.groupBy("digest").agg(F.min("i").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     buckets = classes.select("digest", F.explode("bands").alias("h"))
     several = buckets.groupBy("h").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("h")
     members = cut(buckets.join(cut(several), "h"))
-    wanted = cut(members.select("digest").distinct().join(classes.select("digest", "rep", "n", "sketch"), "digest"))
+    wanted = cut(members.select("digest").distinct().join(classes.select("digest", "rep", "sketch"), "digest"))
     sets = cut(whole_sets(df, id_col, text_col, wanted, settings))
     links = all_links(members, wanted, sets, settings)
     linked = cut(connected_components(links).join(classes.select(F.col("digest").alias("node"), "rep"), "node"))

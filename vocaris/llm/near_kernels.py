@@ -105,6 +105,46 @@ def estimates(a: np.ndarray, b: np.ndarray, settings: Settings) -> np.ndarray:
     return 1 - differ / settings.samples
 
 
+def wide_sketch(distinct: np.ndarray) -> bytes:
+    """Odd sketch of a whole set, as if each shingle were a sample; a power of two of bits, about four
+    for each shingle within bounds."""
+    bits = min(16384, max(512, 1 << (4 * len(distinct) - 1).bit_length()))
+    flips = np.bincount((mix(distinct) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Wide sketches (rows x bytes) as they would be with fewer bits."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return np.ascontiguousarray(sketches)
+
+
+def most_odd(bits: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many odd bits the XOR of two linked sets' sketches has at most, by the sum of their sizes:
+    linked sets differ in sizes * (100 - percent) / (100 + percent) shingles at most. Mean and 5.5
+    deviations of that many random flips."""
+    d = sizes * ((100 - percent) / (100 + percent))
+    one, two = (1 - 2 / bits) ** d, (1 - 4 / bits) ** d
+    variance = bits / 4 * (1 + (bits - 1) * two - bits * one * one)
+    return bits / 2 * (1 - one) + 5.5 * np.sqrt(np.maximum(variance, 0)) + 1
+
+
+def possible(query: bytes, n: int, sketches: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of sets (wide sketches of one width, sizes) that may be linked with a set of n shingles,
+    and how many bits are odd."""
+    fits = np.flatnonzero(100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+    if not len(fits):
+        return fits, fits
+    own = np.frombuffer(query, dtype=np.uint8)[None, :]
+    width = min(own.shape[1], sketches.shape[1])
+    a, b = folded(own, width).view(np.uint64), folded(sketches[fits], width).view(np.uint64)
+    odd = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    good = odd <= most_odd(8 * width, sizes[fits] + n, percent)
+    return fits[good], odd[good]
+
+
 def set_digest(distinct: np.ndarray) -> bytes:
     """16 bytes that stand for a set of shingles."""
     return hashlib.blake2b(distinct.tobytes(), digest_size=16).digest()
