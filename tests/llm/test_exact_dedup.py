@@ -30,7 +30,7 @@ def made():
 def test_decisions_equal_brute_force(spark):
     rows = made()
     df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, kept string, K int")
-    for settings in (exact_dedup.SETTINGS, exact_dedup.Settings(bits_per_row=1, max_filter_bytes=4096)):
+    for settings in (exact_dedup.SETTINGS, exact_dedup.Settings(bits_per_row=1, max_filter_bytes=4096), exact_dedup.Settings(bits_per_row=256, max_filter_bytes=4096, max_parts=2)):
         got = sorted(tuple(r) for r in exact_dedup.decide(df, settings=settings).collect())
         assert got == brute(rows)
 
@@ -42,6 +42,17 @@ def test_filter_lets_unique_rows_pass(spark):
     assert 10 <= maybe < 200
 
 
+def test_small_parts_still_let_unique_rows_pass(spark):
+    # 64,000 rows need 128 KB: 8 times what one slice's filter may have, in parts of 4 KB
+    settings = exact_dedup.Settings(max_filter_bytes=4096, max_parts=4)
+    df = spark.range(64_000).selectExpr("id as doc_id", "concat('text ', id) as text").unionByName(spark.range(5).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    assert exact_dedup.slices_of(64_005, settings) == 8 and exact_dedup.filter_size(8000, settings)[1] == 4
+    assert exact_dedup.decide(df, settings=settings).where("group_size = 2").count() == 10
+    keys = df.select(exact_dedup.text_key("text").alias("k")).limit(8000)
+    maybe = exact_dedup.marked(keys, "k", *exact_dedup.repeated_filter(keys, "k", settings)).where("__maybe").count()
+    assert maybe < 400
+
+
 def test_keep_one_returns_the_rows_that_stay(spark):
     rows = made()
     df = spark.createDataFrame([(i, t, {"a": i}, "b") for i, t in rows], "doc_id long, text string, extra map<string,long>, __k string")

@@ -8,8 +8,11 @@ Pass 1 adds every hash to a blocked Bloom filter that keeps only the cells which
 touch: cells are counted with map-side combining and packed into 4 KB bitmaps. Pass 2 tests each row
 against the filter. Only a row whose cells are all set may have a twin; such rows shuffle by their
 hash, and all others pass straight through. A false positive costs a shuffled row, never a wrong
-result. The filter has ``bits_per_row`` bits a row up to ``max_filter_bytes``, which bounds what is
-broadcast; a table too large for that bound has more false positives and the same result.
+result. The filter has ``bits_per_row`` bits a row, in parts of at most ``max_filter_bytes``, each
+broadcast by itself. ``decide`` works on narrow keys: where ``max_parts`` parts aren't enough, it splits
+the keys into slices by hash and gives each slice a filter of its own. ``keep_one`` reads whole rows
+once and so has one filter of at most ``max_parts`` parts (1 GB: 500 million rows); a table beyond that
+has more false positives and the same result.
 
 Defined cases: a null text counts as empty, and all texts of white space only are equal to it; rows
 that agree in id, length and hash are repeats of one row, of which one stays; a null id loses to any
@@ -35,7 +38,8 @@ _BITMAP_BITS = 32768  # what bitmap_construct_agg packs into one value
 @dataclass(frozen=True)
 class Settings:
     bits_per_row: int = 16
-    max_filter_bytes: int = 32 << 20
+    max_filter_bytes: int = 32 << 20  # of one broadcast
+    max_parts: int = 32  # broadcasts of one filter
 
 
 SETTINGS = Settings()
@@ -59,13 +63,26 @@ def _cells(key: Column) -> list[Column]:
     return [F.shiftright(h, 8).bitwiseAND(_BITMAP_BITS - 1), F.shiftright(h, 40).bitwiseAND(_BITMAP_BITS - 1)]
 
 
-def repeated_filter(keys: DataFrame, key_col: str, settings: Settings = SETTINGS) -> tuple[DataFrame, int]:
-    """Bitmaps (bucket, bits) of the cells that several rows touch, and the number of buckets."""
-    most = max(1, settings.max_filter_bytes // (_BITMAP_BITS // 8))
-    buckets = min(most, keys.count() * settings.bits_per_row // _BITMAP_BITS + 1)
+def filter_size(rows: int, settings: Settings) -> tuple[int, int]:
+    """Buckets of a filter for so many rows, and how many parts it is broadcast in."""
+    per_part = max(1, settings.max_filter_bytes // (_BITMAP_BITS // 8))
+    buckets = min(rows * settings.bits_per_row // _BITMAP_BITS + 1, per_part * settings.max_parts)
+    return buckets, -(-buckets // per_part)
+
+
+def slices_of(rows: int, settings: Settings) -> int:
+    """Slices of a table of keys so that each one's filter has its bits for every row."""
+    most = settings.max_parts * max(_BITMAP_BITS, settings.max_filter_bytes * 8) // settings.bits_per_row
+    return -(-rows // max(1, most)) or 1
+
+
+def repeated_filter(keys: DataFrame, key_col: str, settings: Settings = SETTINGS) -> tuple[DataFrame, int, int]:
+    """Bitmaps (bucket, bits) of the cells that several rows touch, and the numbers of buckets and parts."""
+    buckets, parts = filter_size(keys.count(), settings)
     cells = keys.select(_bucket(F.col(key_col), buckets).alias("b"), F.explode(F.array_distinct(F.array(*_cells(F.col(key_col))))).alias("p"))
     shared = cells.groupBy("b", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return shared.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")), buckets
+    bitmaps = shared.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    return (cut(bitmaps) if parts > 1 else bitmaps), buckets, parts
 
 
 def _is_set(bits: Column, position: Column) -> Column:
@@ -73,12 +90,17 @@ def _is_set(bits: Column, position: Column) -> Column:
     return F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(position, F.lit(8)))), F.lit(2)) == 1
 
 
-def marked(df: DataFrame, key_col: str, bitmaps: DataFrame, buckets: int) -> DataFrame:
-    """df with __maybe: whether the row may have a twin. The filter is at most max_filter_bytes."""
-    filters = F.broadcast(bitmaps.select(F.col("b").alias("__b"), F.col("bits").alias("__bits")))
-    cells = _cells(F.col(key_col))
-    maybe = F.coalesce(reduce(lambda a, b: a & b, [_is_set(F.col("__bits"), c) for c in cells]), F.lit(False))
-    joined = df.join(filters, _bucket(F.col(key_col), buckets) == F.col("__b"), "left")
+def marked(df: DataFrame, key_col: str, bitmaps: DataFrame, buckets: int, parts: int = 1) -> DataFrame:
+    """df with __maybe: whether the row may have a twin. Each part of the filter is a broadcast of its
+    own, at most max_filter_bytes."""
+    bucket, joined, found = _bucket(F.col(key_col), buckets), df, []
+    per_part = -(-buckets // parts)
+    for k in range(parts):
+        own = bitmaps.where((F.col("b") >= k * per_part) & (F.col("b") < (k + 1) * per_part)) if parts > 1 else bitmaps
+        joined = joined.join(F.broadcast(own.select(F.col("b").alias(f"__b{k}"), F.col("bits").alias(f"__bits{k}"))), bucket == F.col(f"__b{k}"), "left")
+        found.append(F.col(f"__bits{k}"))
+    bits = F.coalesce(*found)
+    maybe = F.coalesce(reduce(lambda a, b: a & b, [_is_set(bits, c) for c in _cells(F.col(key_col))]), F.lit(False))
     return joined.select(*[df[c] for c in df.columns], maybe.alias("__maybe"))
 
 
@@ -86,7 +108,9 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     """id, keep_id, group_size, kept, text_sha256 of every row. Reads each text once; the narrow
     keys go to the checkpoint folder."""
     keys = cut(df.select(F.col(id_col).alias("i"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), text_key(text_col).alias("k")))
-    rows = marked(keys, "k", *repeated_filter(keys, "k", settings))
+    slices = slices_of(keys.count(), settings)
+    each = [keys.where(F.pmod(F.xxhash64("k", F.lit(2)), F.lit(slices)) == s) for s in range(slices)] if slices > 1 else [keys]
+    rows = reduce(DataFrame.unionByName, [marked(part, "k", *repeated_filter(part, "k", settings)) for part in each])
     sha = F.lower(F.hex("k")).alias("text_sha256")
     alone = rows.where("not __maybe").select(F.col("i").alias(id_col), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
 
@@ -106,9 +130,9 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = SETTINGS) -> DataFrame:
     """Rows of df that stay, with df's columns. Texts that can't have a twin aren't shuffled."""
     keys = cut(df.select(text_key(text_col).alias("k")))
-    bitmaps, buckets = repeated_filter(keys, "k", settings)
+    bitmaps, buckets, parts = repeated_filter(keys, "k", settings)
     bitmaps = cut(bitmaps)
-    rows = marked(df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), text_key(text_col).alias("__k")), "__k", bitmaps, buckets)
+    rows = marked(df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), text_key(text_col).alias("__k")), "__k", bitmaps, buckets, parts)
     row = F.col("__row")
     order = F.struct(F.coalesce(F.length(row[text_col]), F.lit(0)), -row[id_col], F.md5(F.to_json("__row")))
     alone = rows.where("not __maybe").select("__row")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,28 +17,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and read from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a local folder is set. Lost executors can't lose the rows.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between steps: the session's ``spark.checkpoint.dir``. Only a
+    session in one process (``local[...]``, as in tests) may leave it unset and gets one of its own;
+    on a cluster a folder of one machine would lose data, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"vocaris-checkpoints-{os.getuid()}"))
+        if not shared:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="vocaris-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read from there. Lost executors can't lose
+    them. Spark deletes them with ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed columns: for many or wide rows."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))  # sets the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def delete_stored(spark: SparkSession) -> None:
+    """Delete what stored() has written in this program: for callers that have written their result
+    and hold no other DataFrame of this package."""
+    while _written:
+        delete(spark, _written.pop())
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocaris.llm.exact_dedup import _BITMAP_BITS, SETTINGS, Settings, _bucket, _cells, marked
+from vocaris.llm.exact_dedup import SETTINGS, Settings, _bucket, _cells, filter_size, marked
+from vocaris.llm.frames import cut
 
 
-def id_filter(ids: DataFrame, id_col: str, settings: Settings = SETTINGS) -> tuple[DataFrame, int]:
-    """Bitmaps of all ids: at most max_filter_bytes, with more false positives beyond that."""
-    most = max(1, settings.max_filter_bytes // (_BITMAP_BITS // 8))
-    buckets = min(most, ids.count() * settings.bits_per_row // _BITMAP_BITS + 1)
+def id_filter(ids: DataFrame, id_col: str, settings: Settings = SETTINGS) -> tuple[DataFrame, int, int]:
+    """Bitmaps of all ids, and the numbers of buckets and of parts to broadcast them in."""
+    buckets, parts = filter_size(ids.count(), settings)
     cells = ids.select(_bucket(F.col(id_col), buckets).alias("b"), F.explode(F.array(*_cells(F.col(id_col)))).alias("p"))
-    return cells.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")), buckets
+    bitmaps = cells.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    return (cut(bitmaps) if parts > 1 else bitmaps), buckets, parts
 
 
-def maybe_in(df: DataFrame, id_col: str, ids: DataFrame, ids_col: str) -> DataFrame:
+def maybe_in(df: DataFrame, id_col: str, ids: DataFrame, ids_col: str, settings: Settings = SETTINGS) -> DataFrame:
     """df with __maybe: false means that the id is surely not among ids."""
-    return marked(df, id_col, *id_filter(ids, ids_col))
+    return marked(df, id_col, *id_filter(ids, ids_col, settings))
 
 
 def semi_join(df: DataFrame, id_col: str, ids: DataFrame, ids_col: str) -> DataFrame:

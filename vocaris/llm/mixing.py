@@ -3,20 +3,25 @@
 A source's target is its share of all words by weight, at most ``cap`` times the words it has; what
 a capped source can't use is shared again by weight until no target is above its cap. A document of a
 source with target / size = r is taken floor(r) times for sure and once more with probability
-p = r - floor(r), but not independently: documents meet in pairs, and words of expectation move from
-one to the other until one of the two probabilities is 0 or 1. With sizes s and t, probabilities
-p and q, the move is either
-
-    p + d/s, q - d/t   with d = min(s (1 - p), t q),   or
-    p - e/s, q + e/t   with e = min(s p, t (1 - q)),
-
-chosen with probabilities e/(d+e) and d/(d+e). That keeps every document's expectation and the sum
-of s p exactly, so a source's words miss its target by less than one document.
-
-The pairs form a reduction tree: blocks of about ``block`` documents of a source, by a hash of the
-row, are folded inside one expression and leave one undecided document each; these are the rows of
-the next level. However large a source is, a block is small, and the levels grow with its logarithm.
-All random choices are hashes of the row, the level and the seed: reruns agree.
+p = r - floor(r), but not independently. Documents meet in blocks, the largest first: a document of
+size s is paired with the rest of its block, of size t together, and either
+
+    p becomes 1 and every other probability falls by s (1 - p) / t, or
+    p becomes 0 and every other probability rises by s p / t,
+
+chosen with probabilities p and 1 - p. So words of expectation move until the larger side of the pair is
+integral, each document's expectation stays, and so does the sum of s p. Where a probability would leave
+[0, 1] it ends at the bound, and the words that it couldn't take are passed on; a document whose words
+the rest of its source has no room for one way is rounded the other way. The smallest document of a
+block is left, with what is undecided: a source's words miss its target by about the size of its
+smallest documents.
+
+The blocks form a reduction tree: about ``block`` documents of a source, by a hash of the row, are
+folded inside one expression, and the documents that they leave are the rows of the next level. However
+large a source is, a block is small, and the levels grow with its logarithm. A block can only make up
+for sizes like its own, so each tier of sizes (a factor of ``tier``) has a tree of its own, the largest
+first, and what a tier took too much or too little is spread over all smaller documents of the source
+before they are folded. All random choices are hashes of the row, the level and the seed: reruns agree.
 
 Defined cases: a null text has size 0; documents without words take 0 words; null is a source of its
 own, the last; rows that agree in id, source and size are told apart by a running number, and the
@@ -29,11 +34,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocaris.llm.frames import cut
+from vocaris.llm.membership import maybe_in
 
 WORD = r"[^\x20\x09-\x0D]+"
 _NEAR = 1e-9
@@ -45,6 +52,7 @@ class Settings:
     cap: int = 3
     share: float = 1.0
     block: int = 64
+    tier: int = 8  # ratio of sizes that are folded together
     seed: int = 17
 
 
@@ -72,7 +80,7 @@ def ranked(sources: DataFrame) -> DataFrame:
 
 
 def targets(sources: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """sources (source, source_size, rows) with target and rate."""
+    """sources (source, source_size) with target and rate."""
     weights = F.array(*[F.lit(float(w)) for w in settings.weights])
     weighed = cut(ranked(sources).withColumn("w", F.element_at(weights, (F.pmod("pos", F.lit(len(settings.weights))) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(settings.cap))))
     total = settings.share * float(weighed.agg(F.sum("source_size")).first()[0] or 0)
@@ -88,52 +96,43 @@ def targets(sources: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     return weighed.withColumn("target", target).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).drop("w", "most", "pos")
 
 
-_ITEM = ["i", "c", "size", "p", "u"]
-_OUT = "array<struct<at:int,x:int>>"
+_OUT = "array<struct<at:int,x:int,p:double>>"
 
 
 def _fold(items: Column) -> Column:
-    """The pairwise moves through one block: what was decided, and the document that wasn't."""
-    empty = F.array().cast(_OUT)
-
-    def state(has: Column, at: Column, p: Column, s: Column, out: Column) -> Column:
-        return F.struct(has.alias("has"), at.cast("int").alias("at"), p.cast("double").alias("p"), s.cast("double").alias("s"), out.alias("out"))
-
-    def entry(at: Column, p: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), F.when(p > 0.5, 1).otherwise(0).alias("x"))
+    """One block, largest document first: for each its place and x (decided), the last one's new p in
+    place of x; and the words that no probability could take."""
+    count = F.size(items)
 
     def step(s: Column, it: Column) -> Column:
-        def moved(a: Column) -> Column:
-            up = it.u * (a.d + a.e) < a.e
-            return F.struct(
-                F.when(up, s.p + a.d / s.s).otherwise(s.p - a.e / s.s).alias("p"),
-                F.when(up, it.p - a.d / it.s).otherwise(it.p + a.e / it.s).alias("q"),
-            )
+        def decided(p: Column) -> Column:
+            last = it["at"] == count - 1
+            # rounding that the smaller documents of the source couldn't make up for isn't left to chance
+            down, up = it.s * p > (1 - p) * it.room / 2, it.s * (1 - p) > p * it.room / 2
+            x = F.when(down & ~up, 1).when(up & ~down, 0).when(it.u < p, 1).otherwise(0)
+            entry = F.struct(it["at"].alias("at"), F.when(~last, x).cast("int").alias("x"), F.when(last, p).alias("p"))
+            over = s["over"] + it.s * (F.when(last, p).otherwise(x.cast("double")) - it.p)
+            return F.struct(over.alias("over"), (s.rest - it.s).alias("rest"), F.concat(s.out, F.array(entry)).cast(_OUT).alias("out"))
 
-        def settled(m: Column) -> Column:
-            whole = lambda x: (x <= _NEAR) | (x >= 1 - _NEAR)
-            first, second = whole(m.p), whole(m.q)
-            out = F.concat(s.out, F.when(first, F.array(entry(s["at"], m.p))).otherwise(empty), F.when(second, F.array(entry(it["at"], m.q))).otherwise(empty))
-            return F.when(first, state(~second, it["at"], m.q, it.s, out)).otherwise(state(F.lit(True), s["at"], m.p, s.s, out))
+        return _let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), it.p - s["over"] / s.rest)), decided)
 
-        amounts = F.struct(F.least(s.s * (1 - s.p), it.s * it.p).alias("d"), F.least(s.s * s.p, it.s * (1 - it.p)).alias("e"))
-        return F.when(~s.has, state(F.lit(True), it["at"], it.p, it.s, s.out)).otherwise(_let(amounts, lambda a: _let(moved(a), settled)))
-
-    numbered = F.transform(items, lambda x, k: F.struct(k.alias("at"), x.p.alias("p"), x.size.cast("double").alias("s"), x.u.alias("u")))
-    return F.aggregate(numbered, state(F.lit(False), F.lit(0), F.lit(0.0), F.lit(0.0), empty), step)
+    numbered = F.transform(items, lambda x, k: F.struct(k.cast("int").alias("at"), x.p.alias("p"), x.size.cast("double").alias("s"), x.u.alias("u"), x.room.alias("room")))
+    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x.size)
+    over = F.aggregate(items, F.lit(0.0), lambda a, x: a + x["over"])
+    start = F.struct(over.alias("over"), total.alias("rest"), F.array().cast(_OUT).alias("out"))
+    return F.aggregate(numbered, start, step)
 
 
 def _level(rows: DataFrame, level: int, blocks: Column, settings: Settings) -> DataFrame:
-    """One level of the tree: every row with x (decided) or a new p (x null)."""
+    """One level of the tree: every row with x (decided) or a new p and words passed on (x null)."""
     salt = F.lit(settings.seed * 1000 + level)
     block = F.pmod(F.xxhash64("i", "c", "size", salt), blocks)
     placed = rows.withColumn("b", block).withColumn("u", _uniform(F.col("i"), F.col("c"), F.col("size"), salt, F.lit("pair")))
-    groups = placed.groupBy("source", "b").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("i", "c", "size", salt).alias("h"), *_ITEM, "rows", "base"))).alias("items"))
-    folded = groups.withColumn("f", _fold(F.col("items")))
-    left = F.when(F.col("f.has"), F.array(F.struct(F.col("f.at").alias("at"), F.lit(None).cast("int").alias("x")))).otherwise(F.array().cast(_OUT))
-    each = folded.select("source", "items", F.col("f.p").alias("left"), F.explode(F.concat("f.out", left)).alias("o"))
-    item = F.element_at("items", F.col("o.at") + 1)
-    return each.select("source", *[item[c].alias(c) for c in ("i", "c", "size", "rows", "base")], F.when(F.col("o.x").isNull(), F.col("left")).alias("p"), F.col("o.x").alias("x"))
+    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("i", "c", "size", salt).alias("h"), "i", "c", "size", "p", "u", "over", "rows", "base", "p0", "room")
+    groups = placed.groupBy("source", "b").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    each = groups.withColumn("f", _fold(F.col("items"))).select("source", "items", "f.over", F.explode("f.out").alias("o"))
+    at = F.element_at("items", F.col("o.at") + 1)
+    return each.select("source", *[at[c].alias(c) for c in ("i", "c", "size", "rows", "base", "p0", "room")], "o.p", "o.x", F.when(F.col("o.x").isNull(), F.col("over")).otherwise(0.0).alias("over"))
 
 
 def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: Settings = SETTINGS) -> DataFrame:
@@ -141,30 +140,43 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     for its size."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(df.select(F.col(id_col).alias("i"), F.col(source_col).alias("source"), size.alias("size")).groupBy("i", "source", "size").agg(F.count(F.lit(1)).alias("m")))
-    sources = cut(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("rows")), settings))
-    join_on = lambda rows: rows.join(sources.withColumnRenamed("source", "__s").drop("rows"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "rate")
+    sources = cut(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), settings))
+    join_on = lambda rows: rows.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "rate")
 
     r = F.col("rate")
     rate = F.when(F.abs(r - F.round(r)) < _NEAR, F.round(r)).otherwise(r)
     items = (
-        sized.join(sources.select(F.col("source").alias("__s"), "rate", "rows"), F.col("source").eqNullSafe(F.col("__s")))
-        .select("i", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("c"), F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("p"), "rows")
+        sized.join(sources.select(F.col("source").alias("__s"), "rate"), F.col("source").eqNullSafe(F.col("__s")))
+        .select("i", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("c"), F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("p"))
     )
     sure = (F.col("size") == 0) | (F.col("p") <= 0)
     done = [items.where(sure).select("i", "source", "size", "base", F.lit(0).alias("x"))]
-    rows, level = items.where(~sure), 0
-    most = sources.agg(F.max("rows")).first()[0] or 0  # rows of the largest source
-    while True:
-        blocks = F.ceil(F.col("rows") / F.lit(settings.block ** (level + 1))).cast("long")
-        rows = cut(_level(rows, level, blocks, settings))
-        done.append(rows.where("x is not null").select("i", "source", "size", "base", "x"))
-        rows = rows.where("x is null").drop("x")
-        if most <= settings.block ** (level + 1):
-            break
-        level += 1
-    # one document of each source at most is left, which its probability decides alone
-    last = F.when(_uniform(F.col("i"), F.col("c"), F.col("size"), F.lit(settings.seed), F.lit("last")) < F.col("p"), 1).otherwise(0)
-    done.append(rows.select("i", "source", "size", "base", last.alias("x")))
+    open_ = items.where(~sure).withColumn("tier", F.floor(F.log(F.col("size").cast("double")) / F.lit(log(settings.tier)) + F.lit(_NEAR)).cast("int"))
+    tiers = cut(open_.groupBy("source", "tier").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
+    over = None  # words that each source has taken too many so far
+    for tier in sorted((t.tier, t.rows) for t in tiers.groupBy("tier").agg(F.max("rows").alias("rows")).collect())[::-1]:
+        below = tiers.where(F.col("tier") <= tier[0]).groupBy("source").agg(F.sum("words").alias("words"), F.max(F.when(F.col("tier") == tier[0], F.col("rows"))).alias("rows"))
+        if over is not None:
+            below = below.join(over.withColumnRenamed("source", "__o"), F.col("source").eqNullSafe(F.col("__o")), "left")
+        moved = (F.coalesce("over", F.lit(0.0)) if over is not None else F.lit(0.0)) / F.col("words")
+        shift = cut(below.where("rows is not null").select(F.col("source").alias("__s"), "rows", moved.alias("shift"), F.col("words").alias("room")))
+        rows = open_.where(F.col("tier") == tier[0]).join(shift, F.col("source").eqNullSafe(F.col("__s"))).select("i", "source", "size", "c", "base", "rows", "room", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("shift"))).alias("p"), F.col("p").alias("p0"), F.lit(0.0).alias("over"))
+        found, level = [], 0
+        while True:
+            blocks = F.ceil(F.col("rows") / F.lit(settings.block ** (level + 1))).cast("long")
+            rows = cut(_level(rows, level, blocks, settings))
+            found.append(rows.where("x is not null").select("i", "source", "size", "base", "x", "p0"))
+            rows = rows.where("x is null").drop("x")
+            if tier[1] <= settings.block ** (level + 1):
+                break
+            level += 1
+        # one document of each source at most is left in a tier, which its probability decides alone
+        last = F.when(_uniform(F.col("i"), F.col("c"), F.col("size"), F.lit(settings.seed), F.lit("last")) < F.col("p"), 1).otherwise(0)
+        found.append(rows.select("i", "source", "size", "base", last.alias("x"), "p0"))
+        decided = reduce(DataFrame.unionByName, found)
+        done.append(decided.drop("p0"))
+        excess = decided.select("source", (F.col("size") * (F.col("x") - F.col("p0"))).alias("over"))
+        over = cut((excess if over is None else excess.unionByName(over)).groupBy("source").agg(F.sum("over").alias("over")))
     decided = join_on(reduce(DataFrame.unionByName, done))
     copies = (F.col("base") + F.col("x")).cast("int")
     return decided.select(F.col("i").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
@@ -172,16 +184,27 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: Settings = SETTINGS) -> DataFrame:
     """The mix itself: df's rows with df's columns, each as often as it is taken. A document without
-    words is not in it."""
-    counts = decide(df, id_col, source_col, text_col, settings).where("size > 0 and copies > 0")
-    # rows that agree in id, source and size: how many of them are taken at least k times
-    per_key = counts.groupBy(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__n")).agg(
-        *[F.count(F.when(F.col("copies") >= k, 1)).alias(f"__c{k}") for k in range(1, settings.cap + 1)]
-    )
+    words is not in it.
+
+    Two filters keep most texts where they are: one of the keys (id, source, size) that aren't taken as
+    one row once, and one of the keys that are taken at all. A row surely outside the first is taken
+    once, another one surely outside the second is dropped; only the rest move, in one exchange."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), size.alias("__n"))
-    numbered = packed.withColumn("__k", F.row_number().over(Window.partitionBy("__i", "__s", "__n").orderBy(F.md5(F.to_json("__row")))))
-    other = per_key.select(*[F.col(c).alias(c + "2") if c in ("__i", "__s", "__n") else F.col(c) for c in per_key.columns])
-    joined = numbered.join(other, F.col("__i").eqNullSafe(F.col("__i2")) & F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__n") == F.col("__n2")))
-    times = reduce(lambda a, b: a + b, [F.when(F.col("__k") <= F.col(f"__c{k}"), 1).otherwise(0) for k in range(1, settings.cap + 1)])
-    return joined.withColumn("__t", times).where("__t > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__t")))).select("__row.*")
+
+    def key(n: Column) -> Column:
+        return F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), n.alias("n")), {"ignoreNullFields": "false"})
+
+    # rows that agree in id, source and size: how many there are, and how many are taken at least k times
+    times = [F.count(F.when(F.col("copies") >= k, 1)).alias(f"__c{k}") for k in range(1, settings.cap + 1)]
+    counts = decide(df, id_col, source_col, text_col, settings).where("size > 0").groupBy(key(F.col("size")).alias("__k")).agg(F.count(F.lit(1)).alias("__m"), F.sum("copies").alias("__t"), *times)
+    counts = cut(counts)
+    taken, plain = counts.where("__t > 0"), (F.col("__m") == 1) & (F.col("__t") == 1)
+    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), key(size).alias("__key"), (size > 0).alias("__words")).where("__words").drop("__words")
+    split = maybe_in(packed, "__key", counts.where(~plain).select("__k"), "__k")
+    once = split.where("not __maybe").select("__row")
+    likely = maybe_in(split.where("__maybe").select("__row", "__key"), "__key", taken.select("__k"), "__k").where("__maybe")
+    moved = likely.select("__row", "__key").join(taken, F.col("__key") == F.col("__k"))
+    number = F.row_number().over(Window.partitionBy("__k").orderBy(F.when(F.col("__m") > 1, F.md5(F.to_json("__row")))))
+    several = reduce(lambda a, b: a + b, [F.when(F.col("__n") <= F.col(f"__c{k}"), 1).otherwise(0) for k in range(1, settings.cap + 1)])
+    copies = moved.withColumn("__n", number).withColumn("__times", several).where("__times > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return once.select("__row.*").unionByName(copies.select("__row.*"))
