@@ -157,22 +157,25 @@ class _Tile:
             own = [r for r in rows if len(r[3]) == width]
             self.parts.append(([r[0] for r in own], [r[1] for r in own], np.array([r[2] for r in own], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in own), dtype=np.uint8).reshape(len(own), width)))
 
-    def partners(self, comp: bytes, n: int, wide: bytes, best: bool, percent: int) -> list[bytes]:
+    def partners(self, comp: bytes, n: int, wide: bytes, which: str, percent: int) -> list[bytes]:
         found: list[tuple[int, bytes, bytes]] = []
         for names, comps, sizes, sketches in self.parts:
             at, odd = kernels.possible(wide, n, sketches, sizes, percent)
             found += [(o, names[k], comps[k]) for k, o in zip(at.tolist(), odd.tolist()) if comps[k] != comp]
-        if not best:
+        if which == "all":
             return [name for _, name, _ in found]
+        if which == "nearest":
+            return [min(found)[1]] if found else []
         nearest: dict[bytes, bytes] = {}
         for _, name, other in sorted(found):
             nearest.setdefault(other, name)
         return list(nearest.values())
 
 
-def candidates(rows: DataFrame, best: bool, settings: Settings) -> DataFrame:
+def candidates(rows: DataFrame, which: str, settings: Settings) -> DataFrame:
     """Distinct pairs (a, b) of different components of a bucket that sizes and wide sketches don't
-    reject. With best, a class names in each tile only the likeliest partner of each other component."""
+    reject: all of them, or for each class and tile only the nearest partner, or the nearest one of each
+    other component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, tile = None, [], None
@@ -185,7 +188,7 @@ def candidates(rows: DataFrame, best: bool, settings: Settings) -> DataFrame:
                     held.append((digest, comp, n, wide))
                     continue
                 tile = tile or _Tile(held)
-                for other in tile.partners(comp, n, wide, best, settings.percent):
+                for other in tile.partners(comp, n, wide, which, settings.percent):
                     out.add((min(digest, other), max(digest, other)))
             pairs = sorted(out)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
@@ -197,15 +200,15 @@ def all_links(members: DataFrame, classes: DataFrame, sets: DataFrame, settings:
     """Links that join every two classes of a bucket that are linked or reach each other by links.
 
     The leaders' stars come first. What they leave in several components is compared by sketches: at
-    first for the likeliest partners, which settles what lies close together, then for all partners of
-    what is still apart."""
+    first for nearest partners and in some of the bands, which joins most of what lies close together,
+    then in all bands for all partners of what is still apart."""
     pairs = cut(star_pairs(members))
     links = cut(confirmed(pairs, classes, sets, settings))
-    for best in (True, False):
-        rows = cut(open_members(members, links, sets))
+    for which, part in (("nearest", 0), ("each", 1), ("all", None)):
+        rows = cut(open_members(members if part is None else members.where(F.pmod(F.col("h"), F.lit(4)) == part), links, sets))
         if rows.isEmpty():
-            break
-        new = cut(candidates(rows, best, settings).join(pairs, ["a", "b"], "left_anti"))
+            continue
+        new = cut(candidates(rows, which, settings).join(pairs, ["a", "b"], "left_anti"))
         links = cut(links.unionByName(confirmed(new, classes, sets, settings)))
         pairs = pairs.unionByName(new)
     return links
