@@ -138,8 +138,15 @@ def train_pool(x: np.ndarray, window: int, rate: int, size: int) -> tuple[np.nda
 
 def segment_vectors(x: np.ndarray, mu: np.ndarray, sd: np.ndarray, bounds: list[tuple[int, int]], top: int = 5) -> np.ndarray:
     """Cumulative vectors (segments x components): shares of the components on top in each segment."""
-    ll = -0.5 * (np.log(2 * np.pi * sd)[None] + (x[:, None] - mu[None]) ** 2 / sd[None]).sum(2)
-    best = np.argsort(-ll, axis=1, kind="stable")[:, :top]
+    # the square, multiplied out: two matrix products for each strip of frames
+    centre = x.mean(0) if len(x) else np.zeros(mu.shape[1])
+    m, precision = mu - centre, 1 / sd
+    fixed = np.log(2 * np.pi * sd).sum(1) + (m**2 * precision).sum(1)
+    best = np.zeros((len(x), min(top, len(mu))), dtype=np.int64)
+    for a in range(0, len(x), 20_000):
+        y = x[a : a + 20_000] - centre
+        ll = -0.5 * (fixed[None] + y**2 @ precision.T - 2 * y @ (m * precision).T)
+        best[a : a + 20_000] = np.argsort(-ll, axis=1, kind="stable")[:, :top]
     out = np.zeros((len(bounds), len(mu)))
     for k, (a, b) in enumerate(bounds):
         out[k] = np.bincount(best[a : b + 1].ravel(), minlength=len(mu))
@@ -150,7 +157,7 @@ def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: in
     """(rec, i, label) of speech frames (rec, i, mfcc): pool, keys of overlapping segments, spectral
     clustering of their shares, labels of the frames, and resegmentation if there are two or more.
     Recordings with less speech than two windows, or one segment, have one speaker."""
-    from vocaris.operators.clustering import _cosines, _first_seen, blurred_enhancement, k_means, ratio_count
+    from vocaris.operators.clustering import _cosines, _first_seen, blurred_enhancement, k_means, normalised_embedding, ratio_count
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
@@ -162,10 +169,9 @@ def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: in
             mu, sd = train_pool(x, window, rate, max(2, size))
             bounds = [(max(0, s - context), min(len(x) - 1, s + segment - 1 + context)) for s in starts]
             a = blurred_enhancement((_cosines(segment_vectors(x, mu, sd, bounds)) + 1) / 2)
-            values, vectors = np.linalg.eig(a)
-            order = np.argsort(-values.real)
-            k = min(speakers or ratio_count(values.real[order], most), len(starts))
-            found = _first_seen(k_means(vectors.real[:, order[:k]], k)) + 1
+            values = np.sort(np.linalg.eigvals(a).real)[::-1]
+            k = min(speakers or ratio_count(values, most), len(starts))
+            found = _first_seen(k_means(normalised_embedding(a, k), k)) + 1
             labels = np.repeat(found, segment)[: len(x)]
             labels = np.pad(labels, (0, len(x) - len(labels)), mode="edge")
             if len(np.unique(labels)) > 1:

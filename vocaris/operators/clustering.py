@@ -139,6 +139,20 @@ def _enhanced(a: np.ndarray) -> np.ndarray:
     return a / a.max(1)[None, :]
 
 
+def normalised_embedding(a: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k lowest eigenvectors of the normalised Laplacian of a symmetric affinity, divided by
+    the roots of the degrees; each vector's largest entry is positive."""
+    w = (a + a.T) / 2
+    np.fill_diagonal(w, 0)
+    degree = w.sum(1)
+    root = np.where(degree > 0, np.sqrt(np.maximum(degree, 0)), 1.0)
+    lap = -w / np.outer(root, root)
+    np.fill_diagonal(lap, (degree > 0).astype(float))
+    vectors = np.linalg.eigh(lap)[1][:, :k] / root[:, None]
+    top = vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])]
+    return vectors * np.where(top < 0, -1.0, 1.0)
+
+
 def ratio_count(values: np.ndarray, most: int | None = None, stop: float = 1e-2) -> int:
     """Descending eigenvalues: the largest ratio of neighbours before the first value under stop."""
     best, at = 0.0, 1
@@ -236,7 +250,7 @@ def by_size(x: np.ndarray, speakers: int | None = None, config: ClusterConfig =
     graph for very small ones."""
     if len(x) < 2:
         return np.zeros(len(x), int)
-    if speakers is None and few < len(x) <= counted:
+    if speakers is None and len(x) <= counted:
         speakers = min(anchored_count(x, config=config), len(x))
     if len(x) <= few:
         affinity = _minmax(_cosines(x))

@@ -24,6 +24,34 @@ def votes(hits: DataFrame, min_similarity: Column | float, allowed: DataFrame |
     return won if queries is None else queries.select("query").distinct().join(won, "query", "left")
 
 
+def votes_by_name(hits: DataFrame, min_similarity: float = 0.5, allowed: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """The same for one collection without ids (query, ord, score, name): scores are summed by name,
+    after the excluded names, the threshold and the allowed names."""
+    by_name = hits.select("query", "ord", "score", F.col("name").alias("speaker_id"), "name")
+    names = lambda df: None if df is None else df.select(F.col("name").alias("speaker_id"))
+    return votes(by_name, min_similarity, names(allowed), names(excluded)).select("query", "name", "votes")
+
+
+def in_collection_order(hits: DataFrame, collections: DataFrame) -> DataFrame:
+    """hits (query, collection, score, point, ...) with ord: collections (collection, pos) in the order
+    asked for, then the best hits of each, ties by point."""
+    order = Window.partitionBy("query").orderBy("pos", F.round("score", 12).desc(), "point")
+    return hits.join(collections.select("collection", "pos"), "collection").withColumn("ord", F.row_number().over(order)).drop("pos")
+
+
+def segments_by_tag(segments: DataFrame) -> DataFrame:
+    """(rec, spk, first, segments): each tag's [start, end] pairs in the order of segments (rec, spk, seg,
+    s, e), and the number of the tag's first segment, which orders tags."""
+    each = F.sort_array(F.collect_list(F.struct("seg", "s", "e")))
+    return segments.groupBy("rec", "spk").agg(F.min("seg").alias("first"), F.transform(each, lambda x: F.array(x.s, x.e)).alias("segments"))
+
+
+def speech_order(segments: DataFrame) -> DataFrame:
+    """(rec, spk, total, first, pos): tags by speech time, longest first, ties by first segment."""
+    tags = segments.groupBy("rec", "spk").agg(F.sum(F.col("e") - F.col("s")).alias("total"), F.min("seg").alias("first"))
+    return tags.withColumn("pos", F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("total"), "first")))
+
+
 def map_names(segments: DataFrame, names: DataFrame) -> DataFrame:
     """Segments (rec, spk, ...) with who: the identified name of (rec, spk), or the tag itself."""
     return segments.join(names.select("rec", "spk", "name"), ["rec", "spk"], "left").withColumn("who", F.coalesce("name", "spk")).drop("name")

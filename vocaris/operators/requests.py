@@ -82,6 +82,11 @@ def enrollment_audio(clips: DataFrame, rate: int = 16000, most: int = 180, least
     return joined.select("speaker", F.round(F.coalesce("n", F.lit(0)) / float(rate), 3).alias("duration_used"), F.coalesce("files_used", F.lit(0)).alias("files_used"), error.alias("error"))
 
 
+def step_samples(ratio: Column, window: Column) -> Column:
+    """Samples between two windows: a usable ratio of the window's length, else an error."""
+    return F.when(positive_ratio(ratio), F.greatest(F.lit(1), F.floor(ratio * window))).otherwise(F.raise_error(F.lit("the step must be above 0 and at most 1"))).cast("long")
+
+
 def positive_ratio(value: Column) -> Column:
     """Whether a window step ratio is usable: above 0, at most 1."""
     return (value > 0) & (value <= 1)

@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 
 from vocaris.functions.vector import as_doubles, dot, unit
 
-#: Points that one task holds at a time, and rows of a packed block.
+#: Points and queries that one group holds, rows of a packed block, and scores in memory at a time.
 TILE_POINTS = 100_000
+CHUNK_QUERIES = 8192
 BLOCK_ROWS = 1024
+STRIP_CELLS = 4_000_000
 
 
 def _packed(rows: DataFrame, key: str, count: int) -> DataFrame:
@@ -35,50 +37,68 @@ def _unit_rows(flat: np.ndarray, n: int) -> np.ndarray:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Blocks (tile, kind, ids, parts, vectors), a tile's points before the queries."""
-    tile, held, points = None, [], None
+    """Blocks (tile, chunk, kind, ids, parts, vectors), a tile's points before the chunk's queries. Each
+    query keeps its own k best of each part, strip by strip of points."""
+    at, held, points = None, [], None
     for batch in batches:
         for row in range(batch.num_rows):
-            number, kind = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-            if number != tile:
-                tile, held, points = number, [], None
-            ids = batch.column(2)[row].values.to_numpy()
-            unit_ = _unit_rows(batch.column(4)[row].values.to_numpy(zero_copy_only=False), len(ids))
+            key, kind = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py()), batch.column(2)[row].as_py()
+            if key != at:
+                at, held, points = key, [], None
+            ids = batch.column(3)[row].values.to_numpy()
+            unit_ = _unit_rows(batch.column(5)[row].values.to_numpy(zero_copy_only=False), len(ids))
             if kind == 0:
-                held.append((ids, np.array(batch.column(3)[row].as_py(), dtype=str), unit_))
+                held.append((ids, np.array(batch.column(4)[row].as_py(), dtype=str), unit_))
                 continue
             if points is None:
                 if not held:
                     continue
                 all_ids, parts, v = (np.concatenate(x) for x in zip(*held))
-                points = [(name, all_ids[own], v[own]) for name in np.unique(parts) for own in [np.flatnonzero(parts == name)]]
+                points, held = [(name, all_ids[own], v[own]) for name in np.unique(parts) for own in [np.flatnonzero(parts == name)]], []
             for name, own_ids, v in points:
-                score = unit_ @ v.T
-                least = np.partition(score, max(0, len(own_ids) - k), axis=1)[:, max(0, len(own_ids) - k)]
-                # ties fall to the smaller point at the end, so all that reach the k-th score go on
-                a, b = np.nonzero(score >= least[:, None] - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own_ids[b]), pa.array([str(name)] * len(a), pa.string()), pa.array(score[a, b])], names=["query", "point", "part", "score"])
+                strip = max(k, STRIP_CELLS // len(ids))
+                best, of = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+                for a in range(0, len(own_ids), strip):
+                    b = min(a + strip, len(own_ids))
+                    best = np.concatenate((best, unit_ @ v[a:b].T), axis=1)
+                    of = np.concatenate((of, np.broadcast_to(own_ids[a:b], (len(ids), b - a))), axis=1)
+                    # scores that agree to 12 digits are ties, which fall to the smaller point
+                    order = np.lexsort((of, -np.round(best, 12)), axis=1)[:, :k] if best.shape[1] <= 4 * k else _k_best(best, of, k)
+                    best, of = np.take_along_axis(best, order, axis=1), np.take_along_axis(of, order, axis=1)
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(of.ravel()), pa.array([str(name)] * of.size, pa.string()), pa.array(best.ravel())], names=["query", "point", "part", "score"])
+
+
+def _k_best(score: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest scores of each row, ties by point."""
+    out = np.empty((len(score), k), dtype=np.int64)
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - 1e-9
+    for r in range(len(score)):
+        some = np.flatnonzero(score[r] >= least[r])
+        out[r] = some[np.lexsort((of[r, some], -np.round(score[r, some], 12)))[:k]]
+    return out
 
 
 def top_k(queries: DataFrame, points: DataFrame, k: int = 10, partition: str | None = None) -> DataFrame:
     """(query, point, score, rank): for each query (query, vector) the k points (point, vector) of
     highest cosine, ties by point; with partition, per query and value of that column of points.
 
-    Points are dealt into tiles of bounded size and queries into blocks; every block visits every
-    tile as one matrix product. A tile gives its own k best for each query and part, so that what is
-    shuffled afterwards is k rows for each query and tile. Nothing is broadcast.
+    Points are dealt into tiles and queries into chunks of bounded size, and every chunk meets every
+    tile in a group of its own: matrix products over strips of points, of which each query keeps its k
+    best for each part. What is shuffled afterwards is k rows for each query and tile. Nothing is
+    broadcast.
     """
     n, m = points.count(), queries.count()
-    tiles = max(1, -(-n // TILE_POINTS))
+    tiles, chunks = max(1, -(-n // TILE_POINTS)), max(1, -(-m // CHUNK_QUERIES))
     part = F.col(partition).cast("string") if partition else F.lit("")
     of_points = _packed(points.withColumn("part", F.coalesce(part, F.lit(""))).select("point", "part", "vector"), "point", n)
     of_queries = _packed(queries.withColumn("part", F.lit("")).select("query", "part", "vector"), "query", m)
-    rows = of_points.select(F.pmod("b", F.lit(tiles)).alias("tile"), F.lit(0).alias("kind"), "ids", "parts", "vectors").unionByName(
-        of_queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), F.lit(1).alias("kind"), "ids", "parts", "vectors")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    rows = of_points.select(F.pmod("b", F.lit(tiles)).alias("tile"), every(chunks).alias("chunk"), F.lit(0).alias("kind"), "ids", "parts", "vectors").unionByName(
+        of_queries.select(every(tiles).alias("tile"), F.pmod("b", F.lit(chunks)).alias("chunk"), F.lit(1).alias("kind"), "ids", "parts", "vectors")
     )
     fields = [T.StructField("query", T.LongType()), T.StructField("point", T.LongType()), T.StructField("part", T.StringType()), T.StructField("score", T.DoubleType())]
-    hits = rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda batches: _search(batches, k), T.StructType(fields))
-    # scores that agree to 12 digits are ties
+    hits = rows.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "kind").mapInArrow(lambda batches: _search(batches, k), T.StructType(fields))
     order = Window.partitionBy("query", "part").orderBy(F.round("score", 12).desc(), "point")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked if partition else ranked.drop("part")
@@ -148,6 +168,14 @@ def fuse_scales(affinities: list[tuple[DataFrame, DataFrame, float]]) -> DataFra
     return parts.groupBy("rec", "i", "j").agg(F.sum("w").alias("w"))
 
 
+def jaccard(keys: DataFrame) -> DataFrame:
+    """(rec, i, j, w): shared over all set bits of a recording's bit keys (rec, k, bits: positions of set
+    bits); two keys without any are alike."""
+    a, b = keys.select("rec", F.col("k").alias("i"), F.col("bits").alias("a")), keys.select("rec", F.col("k").alias("j"), F.col("bits").alias("b"))
+    union = F.size(F.array_union("a", "b"))
+    return a.join(b, "rec").select("rec", "i", "j", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a", "b")) / union).alias("w"))
+
+
 def p_graph(affinity: DataFrame, p: int) -> DataFrame:
     """Each window keeps its p strongest neighbours (ties: larger j); an edge weighs half for each side
     that keeps it."""
@@ -156,6 +184,17 @@ def p_graph(affinity: DataFrame, p: int) -> DataFrame:
     return both.groupBy("rec", "i", "j").agg((F.count(F.lit(1)) * 0.5).alias("w"))
 
 
+def laplacian_normalised(graph: DataFrame) -> DataFrame:
+    """Edges over the roots of both ends' degrees, with 1 on the diagonal; a window without edges has 0
+    there, as its degree counts as 1 elsewhere. The graph's own diagonal doesn't count."""
+    edges = graph.where("i <> j")
+    degree = graph.groupBy("rec", "i").agg(F.sum(F.when(F.col("i") != F.col("j"), F.col("w")).otherwise(0.0)).alias("d"))
+    root = lambda name: degree.select("rec", F.col("i").alias(name), F.sqrt("d").alias(f"d{name}"))
+    scaled = edges.join(root("i"), ["rec", "i"]).join(root("j"), ["rec", "j"]).select("rec", "i", "j", (-F.col("w") / (F.col("di") * F.col("dj"))).alias("w"))
+    diagonal = degree.select("rec", "i", F.col("i").alias("j"), F.when(F.col("d") > 0, 1.0).otherwise(0.0).alias("w"))
+    return scaled.unionByName(diagonal)
+
+
 def laplacian(graph: DataFrame) -> DataFrame:
     """Degrees on the diagonal, less the edges; the graph's own diagonal doesn't count."""
     edges = graph.where("i <> j")

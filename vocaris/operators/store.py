@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocaris.functions.ids import parse_collection
+from vocaris.functions.ids import parse_collection, speaker_point_id
+from vocaris.operators.requests import enrollable
 
 
 def upsert(points: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection", "point_id"), version: str = "updated_at") -> DataFrame:
@@ -56,6 +57,29 @@ def heartbeat(services: DataFrame, beats: DataFrame) -> DataFrame:
     return upsert(services, beats, keys=("host_name",), version="last_alive")
 
 
+def unregister(services: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The registry without the named hosts (host_name); unknown ones don't matter."""
+    return services.join(hosts.select("host_name").distinct(), "host_name", "left_anti")
+
+
+def put_results(cache: DataFrame, done: DataFrame) -> DataFrame:
+    """The cache (key, result) with new results; a new result replaces an old one."""
+    return cache.join(done.select("key").distinct(), "key", "left_anti").select("key", "result").unionByName(done.select("key", "result"))
+
+
+def enroll(points: DataFrame, collections: DataFrame, new: DataFrame, model_id: str, dim: int = 192) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points, collections, and (collection, point_id, status, created_collection, error) after storing
+    new points (collection, speaker_id, name, vector, model_id, updated_at). Points that don't fit the
+    model or whose collection has no well-formed name are refused; ids derive from the
+    speaker's, so that enrolling a speaker again replaces."""
+    checked = enrollable(new.withColumn("point_id", speaker_point_id(F.col("speaker_id"))), model_id, dim)
+    named = checked.withColumn("error", F.coalesce("error", F.when(parse_collection(F.col("collection")).organization_id.isNull(), F.lit("bad_collection"))))
+    good = named.where("error is null").drop("error")
+    after, created = ensure(collections, good.select("collection"), dim)
+    status = named.join(created, "collection", "left").select("collection", "point_id", F.when(F.col("error").isNull(), "stored").otherwise("refused").alias("status"), (F.coalesce("created", F.lit(False)) & F.col("error").isNull()).alias("created_collection"), "error")
+    return upsert(points, good.select(*points.columns)), after, status
+
+
 def cache_key(content: Column, speaker_count: Column, max_speaker: Column) -> Column:
     """Key of a memoised result: the content's hash and the counts that matter."""
     return F.md5(F.concat_ws("|", F.md5(content), F.coalesce(speaker_count.cast("string"), F.lit("")), F.coalesce(F.when(speaker_count.isNull(), max_speaker).cast("string"), F.lit(""))))

@@ -79,6 +79,12 @@ def speaker_stats(segments: DataFrame, mode: str = "windowed", order: str = "seg
     return named.groupBy("rec", "spk_id").agg(duration.alias("duration"), F.count(F.lit(1)).alias("nbr_seg"))
 
 
+def of_legacy(rows: DataFrame) -> DataFrame:
+    """Segments (rec, seg, s, e, label) of rows (rec, seg, start, duration, label) less the sentinel row
+    of label -1 that closes a recording."""
+    return rows.where("label <> -1").select("rec", "seg", F.col("start").alias("s"), (F.col("start") + F.col("duration")).alias("e"), F.col("label").cast("string").alias("label"))
+
+
 def json_result(segments: DataFrame, digits: int = 2, mode: str = "windowed") -> DataFrame:
     """One JSON document per recording: {"speakers": [...], "segments": [...]}."""
     segs = wire_segments(segments, digits).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("seg_id", "spk_id", "seg_begin", "seg_end"))).alias("segments"))

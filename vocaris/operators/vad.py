@@ -104,6 +104,13 @@ def frame_mask(frames: DataFrame, segments: DataFrame, bin_frames: int = 100) ->
     return frames.select("rec", "i").join(hit, ["rec", "i"], "left").select("rec", "i", F.coalesce("speech", F.lit(0)).alias("speech"))
 
 
+def mask_of_seconds(frames: DataFrame, segments: DataFrame, shift: float = 0.01) -> DataFrame:
+    """Frames (rec, i) of ``shift`` seconds with speech = 1 from the frame nearest to a segment's start
+    (rec, s, e; in seconds) up to the one nearest to its end."""
+    place = lambda name: F.bround(F.col(name) / shift).cast("long")
+    return frame_mask(frames, segments.select("rec", place("s").alias("first"), place("e").alias("last")))
+
+
 def smooth(series: DataFrame, value: str, width: int) -> DataFrame:
     """Moving average over an odd width that shrinks on both sides alike near the edges."""
     w = Window.partitionBy("rec").orderBy("i")

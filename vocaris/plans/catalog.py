@@ -532,7 +532,9 @@ def greedy_exclusive_identify(s, d):
     hits = _hits(s, d)
     rec = F.floor(F.col("query") / 500)
     named = hits.select(rec.alias("rec"), F.col("query").cast("string").alias("spk"), "ord", "score", "speaker_id", "name")
-    tags = named.select("rec", "spk").distinct().withColumn("total", F.lit(1.0)).withColumn("first", F.col("spk").cast("long"))
+    # speech times that don't follow the order of first appearance
+    spk = F.col("spk").cast("long")
+    tags = named.select("rec", "spk").distinct().withColumn("total", F.pmod(spk * 7, F.lit(450)).cast("double")).withColumn("first", spk)
     return identify.identify_exclusive(tags, named, 0.2)
 
 
@@ -795,9 +797,72 @@ def wire_segments_cli(s, d):
 
 @query("speech_order", _with(_INTERVALS, "SELECT rec, label, CAST(sum(e - s) AS BIGINT) AS total, row_number() OVER (PARTITION BY rec ORDER BY sum(e - s) DESC, min(k)) AS pos FROM iv GROUP BY rec, label"))
 def speech_order(s, d):
-    tags = intervals(s, d).groupBy("rec", "label").agg(F.sum(F.col("e") - F.col("s")).alias("total"), F.min("k").alias("first"))
-    pos = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("total"), "first")).cast("long")
-    return tags.select("rec", "label", "total", pos.alias("pos"))
+    tags = identify.speech_order(intervals(s, d).select("rec", F.col("label").alias("spk"), F.col("k").alias("seg"), "s", "e"))
+    return tags.select("rec", F.col("spk").alias("label"), "total", F.col("pos").cast("long").alias("pos"))
+
+
+@query("segments_by_tag", _with(_INTERVALS, "SELECT rec, label AS spk, min(k) AS first, string_agg(s || '-' || e, ';' ORDER BY k) AS segments FROM iv GROUP BY rec, label"))
+def segments_by_tag(s, d):
+    tags = identify.segments_by_tag(intervals(s, d).select("rec", F.col("label").alias("spk"), F.col("k").alias("seg"), "s", "e"))
+    return tags.withColumn("segments", F.array_join(F.transform("segments", lambda x: F.array_join(x.cast("array<string>"), "-")), ";"))
+
+
+@query("votes_by_name", _with(_HITS, """v AS (SELECT query, name, sum(score) AS votes, min(rank) AS f FROM hits WHERE score >= 0.2 GROUP BY query, name)""", "SELECT query, name, round(votes, 6) AS votes FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(votes, 12) DESC, f) = 1"))
+def votes_by_name(s, d):
+    return _r6(identify.votes_by_name(_hits(s, d), 0.2), "votes")
+
+
+@query("hits_in_collection_order", _with(_HITS, "c AS (SELECT *, row_number() OVER (PARTITION BY query, speaker_id ORDER BY round(score, 12) DESC, point) AS r FROM h0)", "SELECT query, speaker_id AS collection, point, row_number() OVER (PARTITION BY query ORDER BY length(speaker_id), speaker_id, round(score, 12) DESC, point) AS ord FROM c WHERE r <= 3"))
+def hits_in_collection_order(s, d):
+    points = voiceprints(s, d)
+    hits = similarity.top_k(search_queries(s, d), points, 3, partition="speaker_id").withColumnRenamed("part", "collection")
+    asked = points.select(F.col("speaker_id").alias("collection")).distinct()
+    asked = asked.withColumn("pos", F.struct(F.length("collection"), "collection"))
+    return identify.in_collection_order(hits, asked).select("query", "collection", "point", F.col("ord").cast("long").alias("ord"))
+
+
+@query("key_jaccard", "WITH k AS (SELECT vec_id // 50 AS rec, CAST(vec_id % 50 AS INT) AS k, list_filter(range(1, len(embedding) + 1), lambda x: embedding[x] > 0) AS b FROM embeddings) SELECT x.rec, x.k AS i, y.k AS j, round(CASE WHEN len(x.b) + len(y.b) = 0 THEN 1e0 ELSE len(list_intersect(x.b, y.b)) / CAST(len(list_distinct(list_concat(x.b, y.b))) AS DOUBLE) END, 6) AS w FROM k x JOIN k y USING (rec)")
+def key_jaccard(s, d):
+    bits = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
+    return _r6(similarity.jaccard(windows(s, d).select("rec", "k", bits.alias("bits"))), "w")
+
+
+@query("laplacian_normalised", _with(_HALF, _PG, "dg AS (SELECT rec, i, sum(CASE WHEN i <> j THEN w ELSE 0 END) AS d FROM pg GROUP BY rec, i)", "SELECT pg.rec, pg.i, pg.j, round(-w / (sqrt(a.d) * sqrt(b.d)), 6) AS w FROM pg JOIN dg a ON a.rec = pg.rec AND a.i = pg.i JOIN dg b ON b.rec = pg.rec AND b.i = pg.j WHERE pg.i <> pg.j UNION ALL SELECT rec, i, i, CASE WHEN d > 0 THEN 1e0 ELSE 0e0 END FROM dg"))
+def laplacian_normalised(s, d):
+    return _r6(similarity.laplacian_normalised(similarity.p_graph(_half(s, d), 5)), "w")
+
+
+@query("registry_unregister", "SELECT s_suppkey AS host_name, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def registry_unregister(s, d):
+    services = _table(s, d, "supplier").select(F.col("s_suppkey").alias("host_name"), "s_nationkey")
+    gone = services.join(_table(s, d, "nation").where("n_regionkey = 2"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    return store.unregister(services, gone)
+
+
+@query("cache_write", "SELECT n_nationkey AS key, CASE WHEN n_regionkey IN (1, 2) THEN 'new ' ELSE 'old ' END || n_name AS result FROM nation WHERE n_regionkey <> 4")
+def cache_write(s, d):
+    row = lambda text: (F.col("n_nationkey").alias("key"), F.concat(F.lit(text), F.col("n_name")).alias("result"))
+    nation = _table(s, d, "nation")
+    return store.put_results(nation.where("n_regionkey in (0, 2, 3)").select(*row("old ")), nation.where("n_regionkey in (1, 2)").select(*row("new ")))
+
+
+@query("legacy_rows", _with(_INTERVALS, "SELECT rec, k AS seg, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(length(label) AS VARCHAR) AS label FROM iv WHERE label <> 'error'"))
+def legacy_rows(s, d):
+    label = F.when(F.col("label") == "error", -1).otherwise(F.length("label"))
+    rows = intervals(s, d).select("rec", F.col("k").alias("seg"), F.col("s").cast("double").alias("start"), (F.col("e") - F.col("s")).cast("double").alias("duration"), label.alias("label"))
+    return turns.of_legacy(rows)
+
+
+@query("mask_of_seconds", _with(_FRAMES, "sg AS (SELECT rec, round_even(i * 0.0107e0 / 0.01e0, 0) AS a, round_even((i * 0.0107e0 + 0.0149e0) / 0.01e0, 0) AS b FROM frames WHERE p > 0.9e0)", "SELECT rec, i, CASE WHEN EXISTS (SELECT 1 FROM sg WHERE sg.rec = frames.rec AND frames.i >= a AND frames.i < b) THEN 1 ELSE 0 END AS speech FROM frames"))
+def mask_of_seconds(s, d):
+    f = frames(s, d)
+    start = F.col("i") * 0.0107
+    return vad.mask_of_seconds(f, f.where("p > 0.9").select("rec", start.alias("s"), (start + 0.0149).alias("e")))
+
+
+@query("window_steps", "SELECT l_orderkey, l_linenumber, CAST(greatest(1, floor(l_linenumber / 8e0 * l_suppkey)) AS BIGINT) AS step FROM lineitem")
+def window_steps(s, d):
+    return _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", requests.step_samples(F.col("l_linenumber") / F.lit(8.0), F.col("l_suppkey")).alias("step"))
 
 
 @query("label_histogram", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -812,10 +877,10 @@ def estimate_mode(s, d):
     return n.withColumn("r", first).where("r = 1").select("rec", "estimate")
 
 
-@query("uncached_jobs", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderstatus = 'P')")
+@query("uncached_jobs", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3')")
 def uncached_jobs(s, d):
-    o = _table(s, d, "orders").select("o_orderkey", F.md5(F.col("o_orderpriority").cast("binary")).alias("key"), "o_orderstatus")
-    return store.uncached(o, o.where("o_orderstatus = 'P'")).select("o_orderkey")
+    o = _table(s, d, "orders").select("o_orderkey", F.md5(F.col("o_orderpriority").cast("binary")).alias("key"), "o_orderpriority")
+    return store.uncached(o, o.where("o_orderpriority < '3'")).select("o_orderkey")
 
 
 @query("cluster_by_size")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 from collections.abc import Callable, Iterator
 
@@ -109,6 +111,55 @@ def score_frames(recordings: DataFrame, model: Callable[[np.ndarray], float], si
     return recordings.select("path", "samples").mapInPandas(run, "path string, i int, p double")
 
 
+def frame_speech(recordings: DataFrame, model: Callable[[bytes, int], bool], rate: int = RATE, hop: int = 30, mode: int = 0) -> DataFrame:
+    """(path, i, speech): a frame-wise detector's answer for every frame of ``hop`` milliseconds, the last
+    one padded. The model takes 16-bit bytes and the rate; one with modes has ``set_mode``."""
+    if rate not in (8000, 16000, 32000, 48000):
+        raise ValueError(f"rate {rate} is none of 8000, 16000, 32000 and 48000")
+    if hop not in (10, 20, 30):
+        raise ValueError(f"hop {hop} is none of 10, 20 and 30 ms")
+    if mode not in (0, 1, 2, 3):
+        raise ValueError(f"mode {mode} is none of 0 to 3")
+    size = rate * hop // 1000
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        getattr(model, "set_mode", lambda _: None)(mode)
+        for part in parts:
+            for path, samples in zip(part.path, part.samples):
+                x = np.asarray(samples if samples is not None else [], dtype="<i2")
+                x = np.pad(x, (0, -len(x) % size)).reshape(-1, size)
+                yield pd.DataFrame({"path": path, "i": np.arange(len(x), dtype=np.int32), "speech": [int(bool(model(f.tobytes(), rate))) for f in x]})
+
+    return recordings.select("path", "samples").mapInPandas(run, "path string, i int, speech int")
+
+
+def as_int16(samples: np.ndarray) -> np.ndarray:
+    """16-bit samples of floats in [-1, 1] or of wider integers, which are scaled by their range."""
+    x = np.asarray(samples)
+    if x.dtype == np.int16:
+        return x
+    scale = 32767.0 if x.dtype.kind == "f" else 32767.0 / np.iinfo(x.dtype).max
+    return np.clip(np.round(x.astype(np.float64) * scale), -32768, 32767).astype(np.int16)
+
+
+def write_wavs(pieces: DataFrame, folder: str, rate: int = RATE) -> DataFrame:
+    """Write pieces (name, samples) as ``<name>.wav`` under a folder that all executors share, and return
+    (name, path). A file is complete before it has its name, so that a repeated task does no harm."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            paths = [os.path.join(folder, f"{name}.wav") for name in part.name]
+            for path, samples in zip(paths, part.samples):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                own = f"{path}.{uuid.uuid4()}.part"
+                with open(own, "wb") as out:
+                    out.write(wav_bytes(as_int16(np.asarray(samples)), rate))
+                os.replace(own, path)
+            yield pd.DataFrame({"name": part.name, "path": paths})
+
+    return pieces.select("name", "samples").mapInPandas(run, "name string, path string")
+
+
 def embed(pieces: DataFrame, model: Callable[[np.ndarray], np.ndarray], least: int = 640) -> DataFrame:
     """pieces (..., samples) with embedding; short ones are padded with zeros."""
     schema = [*[f for f in pieces.schema.fields if f.name != "samples"]]
