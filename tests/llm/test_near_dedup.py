@@ -140,7 +140,7 @@ def test_large_family_is_dealt_in_proportion(spark, monkeypatch):
 def test_separate_classes_of_one_bucket(spark):
     # one bucket of many classes that aren't linked: rows grow with the classes, not their square
     n = 20000
-    rows = spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{n}L m", f"{n - 1}L q", "10L n", "binary('x') wide")
+    rows = spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{n}L m", f"{n - 1}L q", "10L n", "binary('x') wide", "array(1L) hs")
     assert near_dedup.dealt(rows).count() <= 2 * near_dedup.TILES * n
 
 

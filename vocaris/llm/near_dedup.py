@@ -122,7 +122,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
 
 
 def open_members(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """(h, digest, comp, main, m, q, n, wide) of buckets of three classes or more that links leave in
+    """(h, digest, comp, main, m, q, n, wide, hs) of buckets of three classes or more that links leave in
     several components: main is the component with most classes, m counts all classes and q those
     outside main. Of buckets with the same members one stands for all."""
     comps = connected_components(links).withColumnRenamed("node", "digest")
@@ -132,17 +132,20 @@ def open_members(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataF
     buckets = parts.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y")).where("parts > 1 and m > 2")
     one = buckets.groupBy("m", "x", "y").agg(F.min(F.struct("h", "top")).alias("b"))
     open_ = cut(one.select("b.h", F.col("b.top.comp").alias("main"), "m", (F.col("m") - F.col("b.top.m")).alias("q")))
-    return members.join(open_, "h").join(known, "digest")
+    found = members.join(open_, "h")
+    # the open buckets of a class, at most one for each band: a pair belongs to the first that both are in
+    own = found.groupBy("digest").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    return found.join(known.join(own, "digest"), "digest")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """(h, tile, chunk, query, digest, comp, n, wide): every chunk of a bucket's classes outside main
+    """(h, tile, chunk, query, digest, comp, n, wide, hs): every chunk of a bucket's classes outside main
     meets every tile of its classes. A bucket has at most TILES tiles and chunks, so that a class
     appears at most 2 * TILES times, however large the bucket."""
     number = lambda n: F.least(F.ceil(F.sqrt(n / TILE_ROWS)), F.lit(TILES)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), number(n) - 1))
     tile, chunk = F.pmod(F.xxhash64("digest"), number(F.col("m"))), F.pmod(F.xxhash64("digest", F.lit(1)), number(F.col("q")))
-    own = ["digest", "comp", "n", "wide"]
+    own = ["digest", "comp", "n", "wide", "hs"]
     stay = rows.select("h", tile.alias("tile"), each(F.col("q")).alias("chunk"), F.lit(0).alias("query"), *own)
     ask = rows.where("comp <> main").select("h", each(F.col("m")).alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), *own)
     return stay.unionByName(ask).repartition("h", "tile", "chunk").sortWithinPartitions("h", "tile", "chunk", "query")
@@ -151,17 +154,17 @@ def dealt(rows: DataFrame) -> DataFrame:
 class _Tile:
     """The classes of a tile by the width of their sketches."""
 
-    def __init__(self, rows: list[tuple[bytes, bytes, int, bytes]]) -> None:
-        self.parts = []
+    def __init__(self, h: int, rows: list[tuple[bytes, bytes, int, bytes, list[int]]]) -> None:
+        self.h, self.parts = h, []
         for width in {len(r[3]) for r in rows}:
             own = [r for r in rows if len(r[3]) == width]
-            self.parts.append(([r[0] for r in own], [r[1] for r in own], np.array([r[2] for r in own], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in own), dtype=np.uint8).reshape(len(own), width)))
+            self.parts.append(([r[0] for r in own], [r[1] for r in own], np.array([r[2] for r in own], dtype=np.int64), np.frombuffer(b"".join(r[3] for r in own), dtype=np.uint8).reshape(len(own), width), [frozenset(r[4]) for r in own]))
 
-    def partners(self, comp: bytes, n: int, wide: bytes, which: str, percent: int) -> list[bytes]:
+    def partners(self, comp: bytes, n: int, wide: bytes, hs: list[int], which: str, percent: int) -> list[bytes]:
         found: list[tuple[int, bytes, bytes]] = []
-        for names, comps, sizes, sketches in self.parts:
+        for names, comps, sizes, sketches, buckets in self.parts:
             at, odd = kernels.possible(wide, n, sketches, sizes, percent)
-            found += [(o, names[k], comps[k]) for k, o in zip(at.tolist(), odd.tolist()) if comps[k] != comp]
+            found += [(o, names[k], comps[k]) for k, o in zip(at.tolist(), odd.tolist()) if comps[k] != comp and next(x for x in hs if x in buckets[k]) == self.h]
         if which == "all":
             return [name for _, name, _ in found]
         if which == "nearest":
@@ -181,14 +184,14 @@ def candidates(rows: DataFrame, which: str, settings: Settings) -> DataFrame:
         key, held, tile = None, [], None
         for batch in batches:
             out: set[tuple[bytes, bytes]] = set()
-            for h, t, c, query, digest, comp, n, wide in zip(*(x.to_pylist() for x in batch.columns)):
+            for h, t, c, query, digest, comp, n, wide, hs in zip(*(x.to_pylist() for x in batch.columns)):
                 if (h, t, c) != key:
                     key, held, tile = (h, t, c), [], None
                 if not query:
-                    held.append((digest, comp, n, wide))
+                    held.append((digest, comp, n, wide, hs))
                     continue
-                tile = tile or _Tile(held)
-                for other in tile.partners(comp, n, wide, which, settings.percent):
+                tile = tile or _Tile(h, held)
+                for other in tile.partners(comp, n, wide, hs, which, settings.percent):
                     out.add((min(digest, other), max(digest, other)))
             pairs = sorted(out)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
