@@ -40,7 +40,7 @@ from vocaris.llm.textkernels import blocks, unique_sorted
 
 #: A bucket of m classes is cut into sqrt(m / TILE_ROWS) tiles and as many chunks, at most TILES; tiles
 #: grow beyond that, by about 0.2 KB a class.
-TILE_ROWS = 100
+TILE_ROWS = 800
 TILES = 64
 
 
