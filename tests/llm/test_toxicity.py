@@ -1,9 +1,12 @@
+import dataclasses
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from vocaris.llm import toxicity
+from vocaris.llm.textkernels import mix
 
 SYLLABLES = ["ka", "no", "ri", "to", "mi", "sa", "el", "ur", "an", "ti"]
 STEMS = ["grobb", "zwick", "pfuit"]
@@ -22,17 +25,76 @@ def made(seed, n, share=0.4):
     return rows
 
 
+def brute_features(text, s):
+    if not text:
+        return []
+    clean = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+    while "\0\0" in clean:
+        clean = clean.replace("\0\0", "\0")
+    found = set()
+    for n in s.sizes:
+        for i in range(len(clean) - n + 1):
+            code = 0
+            for c in clean[i : i + n]:
+                code = (code * 0x9E3779B97F4A7C15 + ord(c)) % (1 << 64)
+            found.add(int(mix(np.array([(code + n) % (1 << 64)], dtype=np.uint64))[0]) >> (64 - s.bits))
+    return sorted(found)
+
+
 def test_features_equal_brute_force():
     rnd = random.Random(3)
     s = toxicity.SETTINGS
     for _ in range(100):
         text = "".join(rnd.choice("aBé 1.漢") for _ in range(rnd.randrange(30)))
-        clean = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
-        while "\0\0" in clean:
-            clean = clean.replace("\0\0", "\0")
-        grams = {(n, clean[i : i + n]) for n in s.sizes for i in range(len(clean) - n + 1)} if text else set()
-        assert len(toxicity.features(text, s)) <= len(grams) and (len(grams) == 0) == (len(toxicity.features(text, s)) == 0)
-        assert set(toxicity.features(text + " x", s).tolist()) >= set(toxicity.features(text, s).tolist()) or not text.strip()
+        assert toxicity.features(text, s).tolist() == brute_features(text, s), text
+
+
+def brute_scores(rows, learnt, s):
+    """Scores of all rows by dense matrices, learning from those of the ids in learnt."""
+    has = np.zeros((len(rows), 1 << s.bits))
+    for k, (_, t, _) in enumerate(rows):
+        has[k, brute_features(t, s)] = 1
+    y = np.array([r[2] for r in rows], dtype=float)
+    own = np.array([r[0] in learnt for r in rows])
+    p, q, n, m = has[own & (y == 1)].sum(0), has[own & (y == 0)].sum(0), (own & (y == 1)).sum(), (own & (y == 0)).sum()
+    both = (p + q) / (n + m)
+    z = (p / n - q / m) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / m))
+    used = (p + q >= s.least_texts) & (np.abs(z) >= s.least_z)
+    ratio = np.log((p + s.smoothing) / (n + 2 * s.smoothing)) - np.log((q + s.smoothing) / (m + 2 * s.smoothing))
+    x = (has * ratio)[:, used]
+    share = np.where(y == 1, 0.5 / n, 0.5 / m)
+    w, b = np.zeros(x.shape[1]), 0.0
+    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for step in range(1, s.steps + 1):
+        error = ((1 / (1 + np.exp(-(x @ w + b))) - y) * share)[own]
+        grad = np.append(x[own].T @ error + s.penalty * w, error.sum())
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return 1 / (1 + np.exp(-(x @ w + b)))
+
+
+def test_scores_equal_brute_force(spark):
+    s = dataclasses.replace(toxicity.SETTINGS, bits=12, steps=40)
+    rows = [(i, t[:300], y) for i, t, y in made(7, 90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.learn_and_score(docs, labels, settings=s).collect()}
+    learnt = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {i for i, r in got.items() if not r.held_out} == learnt
+    assert np.allclose([got[i].score for i, _, _ in rows], brute_scores(rows, learnt, s), atol=1e-4)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    rows = made(8, 150)
+    hot = [(0, f"{t} {k}") for k, (_, t, _) in enumerate(rows)] * 3
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    one = spark.createDataFrame([(rows[0][1],), *[(t,) for _, t in hot]], "t string").orderBy(F.xxhash64("t")).first().t
+    texts = {i: t for i, t, _ in rows}
+    alone = spark.createDataFrame([(i, one if i == 0 else t) for i, t in texts.items()], "doc_id long, text string")
+    many = spark.createDataFrame([(i, t) for i, t in texts.items()] + hot, "doc_id long, text string")
+    a, b = (toxicity.learn(df, labels) for df in (alone, many))
+    assert a.intercept == b.intercept and np.array_equal(a.weights, b.weights)
 
 
 def test_ratio_and_significance_by_hand(spark):

@@ -10,12 +10,13 @@ same. Features whose shares of the two classes don't differ significantly (a two
 below ``Settings.least_z``) are left out: they carry no evidence, and in long texts their noise
 would add up.
 
-The fit uses a sample of the labelled rows that is bounded by ``Settings.per_class`` for each label
-(a hash of the id below a threshold); every text is scored whole.
+The fit uses a sample of the labelled ids that is bounded by ``Settings.per_class`` for each label
+(a hash of the id below a threshold), one row of each; every text is scored whole.
 
 Defined cases: a null text scores like the empty text (the model's intercept); without labelled rows
 of both kinds every score is 0; rows of one id that labels give twice are toxic if any label says
-so; repeated rows are each scored; an empty table gives an empty table; other columns aren't read.
+so; of an id that docs give several texts, the one with the smallest hash is learnt from; repeated
+rows are each scored; an empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -128,9 +129,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, n in sizes.items():
         limit = F.when(F.col("y") == y, F.lit(int(min(1.0, settings.per_class / n) * (1 << 30)) + 1)).otherwise(limit)
     picked = known.where(F.pmod(F.xxhash64("i", F.lit(settings.seed)), F.lit(1 << 30)) < limit)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    # at most about 2 x per_class ids, whatever the tables' sizes
-    sample = cut(texts.join(F.broadcast(picked), "i").select("y", "t").repartition(6))
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # at most about 2 x per_class ids and as many rows, whatever the tables' sizes
+    chosen = texts.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    sample = cut(chosen.select("y", "t"))
     bits = settings.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
