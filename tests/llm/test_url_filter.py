@@ -79,3 +79,21 @@ def test_aliases_carry_blocks_and_allows_win(spark):
     edges = {(r.a, r.b) for r in url_filter.page_edges(df).collect()}
     assert ("http://free.net/", "http://free.net/self?a=1&b=2") in edges
     assert Rule("allow", "org", "/").text == "org/"
+
+
+def test_links_are_resolved(spark):
+    page = "http://a.net/x/y/z?q=1"
+    link = '<link rel="canonical" href="{}">'
+    made = [
+        ("../w", "", "http://a.net/x/w"),
+        ("./v/../w", "", "http://a.net/x/y/w"),
+        ("?id=3", "", "http://a.net/x/y/z?id=3"),
+        ("//B.net/&#x65;s/", "", "http://b.net/es/"),
+        ("w&quot;", "<base href='/root/'>", 'http://a.net/root/w"'),
+        ("http://[", "", None),
+        ("", "", None),
+        ("#top", "", None),
+    ]
+    for href, base, want in made:
+        df = spark.createDataFrame([(1, page, base + link.format(href), 1, "z")], SCHEMA)
+        assert [r.b for r in url_filter.page_edges(df).collect()] == ([want] if want else []), href

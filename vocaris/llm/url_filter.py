@@ -7,7 +7,8 @@ allowed member is allowed, else one with a blocked member is blocked; URLs outsi
 component are allowed. An explicit rule always beats what the aliases say.
 
 Edges come from each page's own HTML (``<link rel=canonical>`` and ``<meta http-equiv=refresh>``)
-and from an optional table of redirects. Fragments don't tell URLs apart.
+and from an optional table of redirects. Links are resolved against the page's URL or its ``<base>``,
+dot segments and character references included. Fragments don't tell URLs apart.
 
 Rules are a short list in the program; they become one expression, evaluated where the rows are.
 
@@ -18,15 +19,20 @@ input columns aren't read.
 
 from __future__ import annotations
 
+import html
 import string
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vocaris.llm.components import connected_components
 from vocaris.llm.frames import cut
 
+_BLANK = " \t\n\f\r"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -67,35 +73,38 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(bare, "://") > 0, F.concat(scheme, host_of(bare), rest))
 
 
-def with_resolved(df: DataFrame, base: str, link: str, out: str) -> DataFrame:
-    """df with the link as an absolute URL, relative to base. Step by step, so that no expression
-    holds another one many times."""
-    df = df.withColumns({
-        "__link": F.trim(F.replace(F.col(link), F.lit("&amp;"), F.lit("&"))),
-        "__origin": F.regexp_extract(F.col(base), r"(?s)^(.*?://[^/?#]*)", 1),
-        "__scheme": F.regexp_extract(F.col(base), r"(?s)^(.*?:)//", 1),
-        "__folder": F.regexp_extract(F.col(base), r"(?s)^.*?://[^/?#]*([^?#]*/)", 1),
-    })
-    to = F.col("__link")
-    absolute = (
-        F.when(to.isNull() | (to == ""), F.lit(None))
-        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat("__scheme", to))
-        .when(to.startswith("/"), F.concat("__origin", to))
-        .otherwise(F.concat("__origin", F.when(F.col("__folder") == "", F.lit("/")).otherwise(F.col("__folder")), to))
-    )
-    return df.withColumn(out, absolute).drop("__link", "__origin", "__scheme", "__folder")
+@F.pandas_udf(StringType())
+def resolved(page: pd.Series, base: pd.Series, link: pd.Series) -> pd.Series:
+    """The links of pages as absolute URLs: character references decoded, relative to the page's
+    ``<base href>`` where it has one; null if there is no such URL."""
+
+    def one(page: str | None, base: str | None, link: str | None) -> str | None:
+        link = html.unescape(link or "").strip(_BLANK)
+        if not page or not link:
+            return None
+        try:
+            return urljoin(urljoin(page, html.unescape(base or "").strip(_BLANK)), link)
+        except ValueError:  # a malformed host
+            return None
+
+    return pd.Series([one(*x) for x in zip(page, base, link)], dtype=object)
+
+
+def _href(tag: Column) -> Column:
+    found = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'[^']*'|[^\s\"'>]+)", 0)
+    return F.regexp_replace(found, r"(?is)^href\s*=\s*[\"']?|[\"']$", "")
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (a, b) between nodes that the pages' own markup declares."""
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     declared = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b") | t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b"))
-    found = pages.where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("u"), F.explode(declared).alias("t"))
-    href = F.regexp_extract("t", r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'[^']*'|[^\s\"'>]+)", 0)
-    target = F.when(F.col("t").rlike(r"(?is)^<link"), F.regexp_replace(href, r"(?is)^href\s*=\s*[\"']?|[\"']$", "")).otherwise(F.regexp_extract("t", r"(?is)url\s*=\s*'?([^\"'>]+)", 1))
+    base = _href(F.regexp_extract(F.col(html_col), r"(?is)<base\b[^>]*>", 0))
+    found = pages.where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("u"), base.alias("base"), F.explode(declared).alias("t"))
+    target = F.when(F.col("t").rlike(r"(?is)^<link"), _href(F.col("t"))).otherwise(F.regexp_extract("t", r"(?is)url\s*=\s*'?([^\"'>]+)", 1))
     # links are few beside the pages; cut, so that one stage doesn't hold all these expressions
-    absolute = cut(with_resolved(cut(found.select("u", target.alias("target"))), "u", "target", "to"))
+    links = cut(found.select("u", "base", target.alias("target")))
+    absolute = cut(links.select("u", resolved("u", "base", "target").alias("to")))
     return absolute.select(node_of(F.col("u")).alias("a"), node_of(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
