@@ -444,11 +444,10 @@ def eigenratio_count(s, d):
 
 
 def _features(s, d):
-    x = F.transform(F.slice(F.col("embedding"), 1, 4).cast("array<double>"), lambda v: v)
-    return windows(s, d).select("rec", F.col("k").alias("i"), F.posexplode(x).alias("d", "x"))
+    return windows(s, d).select("rec", F.col("k").alias("i"), F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
 
 
-_FEAT = "feat AS (SELECT vec_id // 50 AS rec, CAST(vec_id % 50 AS INTEGER) AS i, unnest(CAST(embedding[1:4] AS DOUBLE[])) AS x, generate_subscripts(embedding[1:4], 1) - 1 AS d FROM embeddings)"
+_FEAT = "feat AS (SELECT vec_id // 50 AS rec, CAST(vec_id % 50 AS INTEGER) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)"
 _POOL = """n0 AS (SELECT rec, max(i) + 1 AS n FROM feat GROUP BY rec),
 pool AS (SELECT rec, g, d, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT feat.rec, d, x, unnest(range(CAST(greatest(ceil((i - 10 + 1) / 4.0), 0) AS BIGINT), CAST(least(i // 4, (n - 10) // 4) AS BIGINT) + 1)) AS g FROM feat JOIN n0 ON n0.rec = feat.rec) GROUP BY rec, g, d)"""
 _LL = "ll AS (SELECT f.rec, f.i, p.g, sum(-0.5e0 * (ln(2 * pi() * sd) + (x - mu) ** 2 / sd)) AS ll FROM feat f JOIN pool p USING (rec, d) WHERE sd > 0 GROUP BY f.rec, f.i, p.g)"
