@@ -53,6 +53,8 @@ class Settings:
     share: float = 1.0
     block: int = 64
     tier: int = 8  # ratio of sizes that are folded together
+    most_broadcast: int = 50_000  # sources whose figures are sent to every task; more are joined by salted keys
+    salts: int = 64
     seed: int = 17
 
 
@@ -96,6 +98,18 @@ def targets(sources: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     return weighed.withColumn("target", target).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).drop("w", "most", "pos")
 
 
+def _of_source(rows: DataFrame, figures: DataFrame, count: int, settings: Settings) -> DataFrame:
+    """rows with the columns of figures, one row a source. Figures of a checked number of sources are
+    broadcast; more than that meet their rows under salted keys, so that a hot source has many tasks."""
+    named = figures.withColumnRenamed("source", "__s")
+    same = F.col("source").eqNullSafe(F.col("__s"))
+    if count <= settings.most_broadcast:
+        return rows.join(F.broadcast(named), same).drop("__s")
+    dealt = rows.withColumn("__n", F.pmod(F.xxhash64("i", "size"), F.lit(settings.salts)).cast("int"))
+    copies = named.withColumn("__m", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
+    return dealt.join(copies, same & (F.col("__n") == F.col("__m"))).drop("__s", "__n", "__m")
+
+
 _OUT = "array<struct<at:int,x:int,p:double>>"
 
 
@@ -141,12 +155,12 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(df.select(F.col(id_col).alias("i"), F.col(source_col).alias("source"), size.alias("size")).groupBy("i", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     sources = cut(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), settings))
-    join_on = lambda rows: rows.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "rate")
+    count = sources.count()
 
     r = F.col("rate")
     rate = F.when(F.abs(r - F.round(r)) < _NEAR, F.round(r)).otherwise(r)
     items = (
-        sized.join(sources.select(F.col("source").alias("__s"), "rate"), F.col("source").eqNullSafe(F.col("__s")))
+        _of_source(sized, sources.select("source", "rate"), count, settings)
         .select("i", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("c"), F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("p"))
     )
     sure = (F.col("size") == 0) | (F.col("p") <= 0)
@@ -159,8 +173,8 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         if over is not None:
             below = below.join(over.withColumnRenamed("source", "__o"), F.col("source").eqNullSafe(F.col("__o")), "left")
         moved = (F.coalesce("over", F.lit(0.0)) if over is not None else F.lit(0.0)) / F.col("words")
-        shift = cut(below.where("rows is not null").select(F.col("source").alias("__s"), "rows", moved.alias("shift"), F.col("words").alias("room")))
-        rows = open_.where(F.col("tier") == tier[0]).join(shift, F.col("source").eqNullSafe(F.col("__s"))).select("i", "source", "size", "c", "base", "rows", "room", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("shift"))).alias("p"), F.col("p").alias("p0"), F.lit(0.0).alias("over"))
+        shift = cut(below.where("rows is not null").select("source", "rows", moved.alias("shift"), F.col("words").alias("room")))
+        rows = _of_source(open_.where(F.col("tier") == tier[0]), shift, count, settings).select("i", "source", "size", "c", "base", "rows", "room", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("shift"))).alias("p"), F.col("p").alias("p0"), F.lit(0.0).alias("over"))
         found, level = [], 0
         while True:
             blocks = F.ceil(F.col("rows") / F.lit(settings.block ** (level + 1))).cast("long")
@@ -177,7 +191,7 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         done.append(decided.drop("p0"))
         excess = decided.select("source", (F.col("size") * (F.col("x") - F.col("p0"))).alias("over"))
         over = cut((excess if over is None else excess.unionByName(over)).groupBy("source").agg(F.sum("over").alias("over")))
-    decided = join_on(reduce(DataFrame.unionByName, done))
+    decided = _of_source(reduce(DataFrame.unionByName, done), sources.drop("rate"), count, settings)
     copies = (F.col("base") + F.col("x")).cast("int")
     return decided.select(F.col("i").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
