@@ -876,10 +876,10 @@ def estimate_mode(s, d):
     return n.withColumn("r", first).where("r = 1").select("rec", "estimate")
 
 
-@query("uncached_jobs", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '3')")
+@query("uncached_jobs", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 30000 AND o_custkey IS NOT NULL)")
 def uncached_jobs(s, d):
-    o = _table(s, d, "orders").select("o_orderkey", F.md5(F.col("o_orderpriority").cast("binary")).alias("key"), "o_orderpriority")
-    return store.uncached(o, o.where("o_orderpriority < '3'")).select("o_orderkey")
+    o = _table(s, d, "orders").select("o_orderkey", F.md5(F.col("o_custkey").cast("string").cast("binary")).alias("key"), "o_totalprice")
+    return store.uncached(o, o.where("o_totalprice < 30000")).select("o_orderkey")
 
 
 @query("cluster_by_size")
