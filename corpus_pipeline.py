@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but
 the last return the columns of docs. run() writes each stage's rows as Parquet and reads them again
 for the next one, so that a stage starts from files that every executor can read; a stage's files and
-what it wrote on its way are deleted once the next one is written.
+what it wrote on its way are deleted once the next one is written; nothing that other queries wrote is.
 
 Defined cases: null and empty texts fail the quality rules and go; repeated rows are copies, of which
 one stays; rows without an id are handled like others; very long texts are processed whole; an empty
@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vocaris.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from vocaris.llm.frames import delete, delete_stored, shared_folder
+from vocaris.llm.frames import delete, owned, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
-        delete_stored(spark)
         if k:
             delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -1,4 +1,5 @@
 import base64
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -12,6 +13,9 @@ from test_mixing import brute_targets, words
 from test_near_dedup import brute as near_brute
 from test_quality import brute as quality_brute
 
+from vocaris.llm import suffix_dedup
+from vocaris.llm.frames import shared_folder
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -67,3 +71,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
             stage(spark, docs, "").count()
         assert "token_ids" in pipeline.STAGES[-1][1](spark, docs, "").columns
     assert re.fullmatch(r"[a-z_]+", pipeline.STAGES[0][0])
+
+
+def test_run_deletes_its_own_tables_only(spark, tmp_path):
+    rows = made()[:40]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    unfinished = suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "documents.parquet")), digest=True)
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {p for p in shared.iterdir() if re.match("table-|pipeline-", p.name)}
+    out = pipeline.run(spark, str(tmp_path))
+    left = {p for p in shared.iterdir() if re.match("table-|pipeline-", p.name)} - before
+    assert [len(list(p.iterdir())) for p in left] == [1]  # the last stage's rows
+    assert unfinished.count() == len(rows) and out.count() > 0

@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,29 +41,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_written: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as compressed columns: for many or wide rows."""
+    """Like cut(), as compressed columns: for many or wide rows. Inside owned() the table belongs to that
+    block; else it stays, as a DataFrame that isn't read yet may need it."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    if (paths := _owner.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes inside the block are deleted at its end, and no others: for callers
+    that write their result inside. Blocks of other threads and outer blocks keep theirs."""
+    token = _owner.set(paths := [])
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def delete_stored(spark: SparkSession) -> None:
-    """Delete what stored() has written in this program: for callers that have written their result
-    and hold no other DataFrame of this package."""
-    while _written:
-        delete(spark, _written.pop())
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
