@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, near_dedup, quality, suffix_dedup, toxicity, url_filter
+from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, near_dedup, negatives, quality, spelling, suffix_dedup, toxicity, url_filter
 from vocaris.llm.frames import crc32_of_id, table
 
 
@@ -55,6 +55,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.count_words(table(spark, sf_dir, "documents"), spelling.damaged))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -67,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_spelling": op12_spelling,
     }
 
 
@@ -76,4 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_near_dedup": near_dedup.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
         "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
     }
