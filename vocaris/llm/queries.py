@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocaris.llm import bpe, exact_dedup, html_extract, langid, mixing, near_dedup, negatives, quality, spelling, suffix_dedup, toxicity, url_filter
+from vocaris.llm import bpe, exact_dedup, html_extract, langid, lm, mixing, near_dedup, negatives, quality, spelling, suffix_dedup, toxicity, url_filter
 from vocaris.llm.frames import crc32_of_id, table
 
 
@@ -65,6 +65,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.count_words(table(spark, sf_dir, "documents"), spelling.damaged))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(crc32_of_id(), F.lit(10)) == 0
+    return lm.learn_and_score(table(spark, sf_dir, "documents"), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_spelling": op12_spelling,
+        "op13_lm_scores": op13_lm_scores,
     }
 
 
