@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -38,19 +40,50 @@ def test_rttm_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in results.read_rttm(spark, str(tmp_path / "out")).collect()) == sorted(tuple(r) for r in turns.collect())
 
 
-def test_online_vad_equals_the_batch(spark, tmp_path):
+def _stream_in_files(spark, df, conditions, path):
+    for condition in conditions:
+        df.where(condition).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)  # files are taken by age
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _scored(spark, rows):
+    stamp = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("i") * 96)
+    clock = spark.createDataFrame([(None, 10**6, 0.0)], "rec long, i long, p double")
+    return spark.createDataFrame(rows, "rec long, i long, p double"), spark.createDataFrame(rows, "rec long, i long, p double").unionByName(clock).withColumn("ts", stamp)
+
+
+def test_online_vad_equals_the_batch_and_forgets(spark, tmp_path):
     rnd = np.random.default_rng(3)
-    rows = [(r, i, float(p)) for r in range(4) for i, p in enumerate(rnd.random(60))]
-    df = spark.createDataFrame(rows, "rec long, i long, p double")
-    closed = {(r.rec, r.s, r.e) for r in vad.hysteresis(df.unionByName(spark.createDataFrame([(r, 60 + k, 0.0) for r in range(4) for k in range(3)], df.schema))).collect()}
-    for k, (lo, hi) in enumerate(((0, 25), (25, 40), (40, 60))):
-        df.where(f"i >= {lo} and i < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    spark.createDataFrame([(r, 60 + k, 0.0) for r in range(4) for k in range(3)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = speech.online_vad(stream).writeStream.format("memory").queryName("online").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    rows = [(r, i, float(p)) for r in range(6) for i, p in enumerate(rnd.random(20 + 13 * r))]
+    rows += [(6, i, 0.9) for i in range(30)] + [(7, 0, 0.9), (8, 0, 0.1)]  # open from the first frame to the last
+    batch, df = _scored(spark, rows)
+    # frames of one recording change places within the watermark's delay
+    stream = _stream_in_files(spark, df, ["i % 50 < 25 and i < 60", "i % 50 >= 25 and i < 60", "i >= 60 and rec is not null", "rec is null"], str(tmp_path / "in"))
+    with speech.keyed_state(spark):
+        q = speech.online_vad(stream, late="20 seconds", idle="5 seconds").writeStream.format("memory").queryName("online").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    state = q.lastProgress["stateOperators"][0]
+    assert speech.late_rows(q) == 0 and state["numRowsTotal"] == 0
+    q.stop()
+    got = sorted((r.rec, r.s, r.e) for r in spark.sql("select * from online").collect())
+    assert got == sorted((r.rec, r.s, r.e) for r in vad.hysteresis(batch).collect()) and {6, 7} <= {r for r, _, _ in got}
+
+
+def test_online_vad_counts_late_frames(spark, tmp_path):
+    batch, df = _scored(spark, [(1, i, 0.9) for i in range(100) if i != 3] + [(2, 500, 0.1), (1, 3, 0.9)])
+    stream = _stream_in_files(spark, df, ["rec = 1 and i <> 3", "rec = 2", "rec = 1 and i = 3", "rec is null"], str(tmp_path / "in"))
+    counted = speech.LateRows()
+    spark.streams.addListener(counted)
+    with speech.keyed_state(spark):
+        q = speech.online_vad(stream, late="1 second", idle="5 seconds").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
+    assert speech.late_rows(q) == 1
     q.stop()
-    assert {(r.rec, r.s, r.e) for r in spark.sql("select * from online").collect()} == closed
+    time.sleep(1)
+    spark.streams.removeListener(counted)
+    assert counted.counts[str(q.id)] == 1
+    assert [(r.rec, r.s, r.e) for r in spark.sql("select * from late").collect()] == [(1, 0, 100 * 1536)]
 
 
 def test_sessions_close_behind_the_watermark(spark, tmp_path):
