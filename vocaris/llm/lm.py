@@ -45,8 +45,8 @@ _CONTEXT = _U(24)
 @dataclass(frozen=True)
 class Settings:
     smoothing: Smoothing = Smoothing()
-    shard_tokens: int = 2_000_000
-    block_bytes: int = 8 << 20  # of text; a longer text is a block of its own
+    shard_tokens: int = 1_000_000
+    block_bytes: int = 4 << 20  # of text; a longer text is a block of its own
     hot_share: int = 2048
 
 
