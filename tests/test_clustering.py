@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -26,6 +30,99 @@ def test_speaker_counts_and_partitions(k):
     assert same(clustering.agglomerative(x, None, 0.5), truth)
 
 
+def dense_graph(affinity, p):
+    keep = np.argsort(affinity, axis=1)[:, ::-1][:, :p]
+    x = np.zeros_like(affinity)
+    np.put_along_axis(x, keep, 1.0, axis=1)
+    return 0.5 * (x + x.T)
+
+
+def dense_laplacian(graph):
+    a = graph.copy()
+    np.fill_diagonal(a, 0)
+    return np.diag(a.sum(1)) - a
+
+
+@pytest.mark.parametrize("p", [3, 12, 60])
+def test_lanczos_equals_the_whole_decomposition(p):
+    x, _ = planted(7, 5, 60)
+    affinity = clustering._minmax(clustering._cosines(x))
+    graph = clustering.Graph(clustering._neighbours(x, p, strip=17))
+    lap = dense_laplacian(dense_graph(affinity, p))
+    v = np.random.default_rng(0).normal(size=(len(x), 3))
+    assert np.allclose(graph.laplacian(v, edges=100), lap @ v)
+    values, vectors = clustering.lowest(graph, 6, whole=0)
+    want = np.linalg.eigvalsh(lap)
+    assert np.allclose(values, want[:6], atol=1e-6 * want[-1]) and clustering.highest(graph) == pytest.approx(want[-1], rel=1e-4)
+    assert np.allclose(lap @ vectors, vectors * values, atol=1e-5 * want[-1]) and np.allclose(vectors.T @ vectors, np.eye(6), atol=1e-8)
+
+
+def test_repeated_eigenvalues_of_separate_parts_are_all_found():
+    n = 400
+    neighbours = np.array([[i // 50 * 50 + (i + d) % 50 for d in range(1, 6)] for i in range(n)])  # eight rings
+    values, _ = clustering.lowest(clustering.Graph(neighbours), 9, whole=0)
+    assert np.allclose(values[:8], 0, atol=1e-6) and values[8] > 1e-3
+    assert not clustering.Graph(neighbours).connected()
+
+
+def test_least_connecting_count_by_bisection():
+    x, _ = planted(3, 3, 20)
+    ranked = np.argsort(clustering._cosines(x), axis=1, kind="stable")[:, ::-1]
+    found = clustering.least_connecting(ranked, 1)
+    assert clustering.Graph(ranked[:, :found]).connected() and not clustering.Graph(ranked[:, : found - 1]).connected()
+    assert clustering.least_connecting(ranked, found + 3) == found + 3
+
+
+def brute_average_linkage(x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d, groups, out = 1 - u @ u.T, [[i] for i in range(len(x))], []
+    while len(groups) > 1:
+        height, a, b = min((d[np.ix_(p, q)].mean(), a, b) for a, p in enumerate(groups) for b, q in enumerate(groups) if a < b)
+        out.append((height, sorted(groups[a] + groups[b])))
+        groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [groups[a] + groups[b]]
+    return out
+
+
+def test_chains_give_the_dendrogram_of_brute_force():
+    x = np.random.default_rng(5).normal(size=(45, 6))
+    parts = {i: [i] for i in range(45)}
+    got = []
+    for a, b, height in clustering.dendrogram(x):
+        both = sorted(parts[int(a)] + parts[int(b)])
+        for i in both:
+            parts[i] = both
+        got.append((height, both))
+    want = brute_average_linkage(x)
+    assert np.allclose([h for h, _ in got], [h for h, _ in want]) and [g for _, g in got] == [g for _, g in want]
+
+
+def test_equal_and_zero_windows_cluster():
+    x = np.array([[1.0, 0], [1, 0], [1, 0], [0, 1], [0, 1], [0, 0]])
+    assert same(clustering.agglomerative(x, None, 0.3), [0, 0, 0, 1, 1, 2])
+    assert same(clustering.agglomerative(x, 6), range(6)) and same(clustering.agglomerative(x, 1), [0] * 6)
+
+
+_LARGE = """
+import resource, sys, time
+import numpy as np
+from vocaris.operators import clustering
+rnd = np.random.default_rng(0)
+truth = np.repeat(np.arange(6), 10_000 // 6 + 1)[:10_000]
+x = np.linalg.qr(rnd.normal(size=(64, 64)))[0][truth] + 0.08 * rnd.normal(size=(10_000, 64))
+start = time.time()
+labels = clustering.METHODS[sys.argv[1]](x, *eval(sys.argv[2]))
+assert len(set(zip(labels, truth))) == len(set(labels)) == 6, len(set(labels))
+print(time.time() - start, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+
+
+@pytest.mark.parametrize("method,given", [("auto_spectral", "()"), ("agglomerative", "(None, 0.5)")])
+def test_ten_thousand_windows_in_a_gigabyte(method, given):
+    out = subprocess.run([sys.executable, "-c", _LARGE, method, given], capture_output=True, text=True, timeout=600, env=os.environ | {"OMP_NUM_THREADS": "2", "OPENBLAS_NUM_THREADS": "2"})
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert float(out.stdout.split()[1]) < 1000
+
+
 def test_single_windows():
     for fit in clustering.METHODS.values():
         assert fit(np.ones((1, 4))).tolist() == [0]
@@ -49,7 +146,7 @@ def test_graph_operators_equal_numpy(spark):
     assert np.allclose(matrix(similarity.enhance(a)), clustering._enhanced(m))
     assert np.allclose(matrix(similarity.affinity_minmax(similarity.pairs(df))), clustering._minmax(u @ u.T))
     g = matrix(similarity.p_graph(a, 4))
-    assert np.allclose(g, clustering._graph(m, 4))
+    assert np.allclose(g, dense_graph(m, 4))
     np.fill_diagonal(g, 0)
     assert np.allclose(matrix(similarity.laplacian(similarity.p_graph(a, 4))), np.diag(g.sum(1)) - g)
 

@@ -1,5 +1,6 @@
 """Clustering of a recording's windows. Linear algebra is numpy, one recording per group; graphs,
-counts and labels around it are DataFrames.
+counts and labels around it are DataFrames. Recordings of many windows are clustered on sparse graphs
+and from vectors alone, so that a task's memory doesn't grow with the square of its recording.
 
 Labels are numbered by first window; partitions, not label values, are what matters.
 """
@@ -63,23 +64,138 @@ def k_means(x: np.ndarray, k: int, seed: int = 0, restarts: int = 10, rounds: in
     return best
 
 
-def _graph(affinity: np.ndarray, p: int) -> np.ndarray:
-    keep = np.argsort(affinity, axis=1)[:, ::-1][:, :p]
-    x = np.zeros_like(affinity)
-    np.put_along_axis(x, keep, 1.0, axis=1)
-    return 0.5 * (x + x.T)
+class Graph:
+    """A p-graph as half-edges in one sorted list: an edge weighs half for each end that keeps it. Windows'
+    own edges don't count, as in the Laplacian."""
+
+    def __init__(self, neighbours: np.ndarray):
+        """neighbours: for each window the p windows that it keeps."""
+        n, p = neighbours.shape
+        self.n = n
+        source = np.repeat(np.arange(n, dtype=np.int32), p)
+        target = neighbours.astype(np.int32).ravel()
+        inner = source != target
+        source, target = source[inner], target[inner]
+        by = np.argsort(np.concatenate((source, target)), kind="stable")
+        self.targets = np.concatenate((target, source))[by]
+        self.degree = (np.bincount(source, minlength=n) + np.bincount(target, minlength=n)).astype(np.float64)
+        self.starts = np.concatenate(([0], np.cumsum(self.degree).astype(np.int64)))
+
+    def laplacian(self, v: np.ndarray, edges: int = 200_000) -> np.ndarray:
+        """Degrees less edges, times the columns of v, some rows at a time."""
+        out = 0.5 * self.degree[:, None] * v
+        row = 0
+        while row < self.n:
+            end = max(row + 1, int(np.searchsorted(self.starts, self.starts[row] + edges, side="right")) - 1)
+            end = min(end, self.n)
+            lo, hi = self.starts[row], self.starts[end]
+            some = np.flatnonzero(self.degree[row:end] > 0) + row
+            if len(some):
+                out[some] -= 0.5 * np.add.reduceat(v[self.targets[lo:hi]], self.starts[some] - lo, axis=0)
+            row = end
+        return out
+
+    def connected(self) -> bool:
+        seen = np.zeros(self.n, dtype=bool)
+        seen[0], front = True, np.array([0])
+        while len(front):
+            reached = np.unique(np.concatenate([self.targets[self.starts[i] : self.starts[i + 1]] for i in front]))
+            front = reached[~seen[reached]]
+            seen[front] = True
+        return bool(seen.all())
+
+
+#: Graphs of up to so many windows are decomposed whole, which is faster there and gives the same.
+WHOLE = 1024
+
+
+def lowest(graph: Graph, k: int, seed: int = 0, whole: int = WHOLE, depth: int = 8, rounds: int = 200, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors): the k lowest eigenvalues of the graph's Laplacian, ascending, with their vectors,
+    by block Lanczos with restarts.
+
+    A block of k + 2 vectors (so that repeated eigenvalues are all found) is multiplied depth times, kept
+    orthogonal to all before; the best combinations of the space start the next round, until their
+    residuals are small beside the largest value. Memory is depth + 1 blocks, time is products with the
+    sparse graph."""
+    n = graph.n
+    k = min(k, n)
+    width = k + 2
+    if n <= max(whole, 4 * width):
+        values, vectors = np.linalg.eigh(graph.laplacian(np.eye(n)))
+        return values[:k], vectors[:, :k]
+    scale = highest(graph, seed)
+    start = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+    for _ in range(rounds):
+        blocks, images = [start], [graph.laplacian(start)]
+        for _ in range(depth):
+            following = images[-1]
+            for _ in range(2):
+                for b in blocks:
+                    following = following - b @ (b.T @ following)
+            q, r = np.linalg.qr(following)
+            good = np.abs(np.diag(r)) > 1e-10 * scale
+            if not good.any():
+                break
+            blocks.append(q[:, good])
+            images.append(graph.laplacian(blocks[-1]))
+        space, image = np.concatenate(blocks, axis=1), np.concatenate(images, axis=1)
+        small = space.T @ image
+        values, mix = np.linalg.eigh((small + small.T) / 2)
+        start = space @ mix[:, :width]
+        residual = np.linalg.norm(image @ mix[:, :k] - start[:, :k] * values[:k], axis=0).max()
+        if residual <= tolerance * scale:
+            break
+        start = np.linalg.qr(start)[0]
+    return values[:k], start[:, :k]
+
+
+def highest(graph: Graph, seed: int = 0, steps: int = 60) -> float:
+    """The largest eigenvalue of the graph's Laplacian, by Lanczos from one vector."""
+    v = np.random.default_rng(seed).normal(size=(graph.n, 1))
+    space = [v / np.linalg.norm(v)]
+    values: list[list[float]] = []
+    for _ in range(min(steps, graph.n)):
+        image = graph.laplacian(space[-1])
+        values.append([float((b.T @ image)[0, 0]) for b in space])
+        for _ in range(2):
+            for b in space:
+                image = image - b * (b.T @ image)
+        size = float(np.linalg.norm(image))
+        if size <= 1e-12:
+            break
+        space.append(image / size)
+    m = len(values)
+    small = np.zeros((m, m))
+    for j, column in enumerate(values):
+        small[: len(column), j] = column
+    return max(float(np.linalg.eigvalsh(np.triu(small) + np.triu(small, 1).T)[-1]), 1e-300)
 
 
-def connected(graph: np.ndarray) -> bool:
-    seen = np.zeros(len(graph), dtype=bool)
-    front = np.array([0])
-    while len(front):
-        seen[front] = True
-        front = np.flatnonzero((graph[front] > 0).any(axis=0) & ~seen)
-    return bool(seen.all())
+def _affinity_rows(u: np.ndarray, rows: slice, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    c = u[rows] @ u.T
+    return np.where(high > low, (c - low) / np.where(high > low, high - low, 1), 0.0)
 
 
-def _spectrum(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _strongest(a: np.ndarray, p: int) -> np.ndarray:
+    """The p strongest of each row, the later ones of equals."""
+    if p >= a.shape[1]:
+        return np.broadcast_to(np.arange(a.shape[1]), a.shape)
+    return np.argsort(a, axis=1, kind="stable")[:, ::-1][:, :p]
+
+
+def _neighbours(x: np.ndarray, p: int, strip: int = 256) -> np.ndarray:
+    """The p strongest of each window's affinities (cosines scaled by column), in strips of rows."""
+    n = len(x)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
+    for a in range(0, n, strip):
+        c = u[a : a + strip] @ u.T
+        low, high = np.minimum(low, c.min(0)), np.maximum(high, c.max(0))
+    return np.concatenate([_strongest(_affinity_rows(u, slice(a, a + strip), low, high), p).astype(np.int32) for a in range(0, n, strip)])
+
+
+def _dense_spectrum(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a few windows."""
     a = graph.copy()
     np.fill_diagonal(a, 0)
     return np.linalg.eigh(np.diag(np.abs(a).sum(1)) - a)
@@ -89,27 +205,46 @@ def _gaps(values: np.ndarray, most: int) -> np.ndarray:
     return np.diff(values)[: min(most, len(values))]
 
 
+def least_connecting(neighbours: np.ndarray, p: int) -> int:
+    """The least count of neighbours, p or more, that connects the graph: by bisection, as a graph of more
+    neighbours has all edges of one of fewer. neighbours: all windows of each row, strongest first."""
+    low, high = p, neighbours.shape[1]
+    while low < high:
+        middle = (low + high) // 2
+        if Graph(neighbours[:, :middle]).connected():
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
 def choose_neighbours(affinity: np.ndarray, config: ClusterConfig = CLUSTER) -> tuple[int, int]:
     """(speakers, p): the neighbour count whose graph has the clearest eigengap for its size, on a
     thinned matrix, raised until the graph is connected."""
     n = len(affinity)
     step = max(1, n // config.largest)
-    small = affinity[::step, ::step]
+    return _choose(affinity[::step, ::step], step, config)
+
+
+def _choose(small: np.ndarray, step: int, config: ClusterConfig) -> tuple[int, int]:
     m = len(small)
     most = max(1, int(m * config.max_share))
     tried = np.unique(np.linspace(1, most, min(most, config.sparse_volume)).astype(int))
-    scores, counts = [], []
+    ranked = _strongest(small, m) if m < 2 else np.argsort(small, axis=1, kind="stable")[:, ::-1]
+    scores = []
+
+    def gaps_of(p: int) -> tuple[np.ndarray, float]:
+        graph = Graph(ranked[:, :p])
+        if m <= WHOLE:
+            values = np.linalg.eigvalsh(graph.laplacian(np.eye(m)))
+            return _gaps(values, config.max_speakers), float(values[-1])
+        return _gaps(lowest(graph, config.max_speakers + 1, config.seed)[0], config.max_speakers), highest(graph, config.seed)
+
     for p in tried:
-        values, _ = _spectrum(_graph(small, p))
-        gaps = _gaps(values, config.max_speakers)
-        scores.append((p / m) / (gaps.max() / (values.max() + 1e-10) + 1e-10) if len(gaps) else np.inf)
-        counts.append(int(gaps.argmax()) + 1 if len(gaps) else 1)
-    at = int(np.argmin(scores))
-    p = int(tried[at])
-    while p < m and not connected(_graph(small, p)):
-        p += 1
-    values, _ = _spectrum(_graph(small, p))
-    gaps = _gaps(values, config.max_speakers)
+        gaps, largest = gaps_of(int(p))
+        scores.append((p / m) / (gaps.max() / (largest + 1e-10) + 1e-10) if len(gaps) else np.inf)
+    p = least_connecting(ranked, int(tried[int(np.argmin(scores))]))
+    gaps, _ = gaps_of(p)
     return (int(gaps.argmax()) + 1 if len(gaps) else 1), max(1, p * step)
 
 
@@ -118,15 +253,29 @@ def _minmax(c: np.ndarray) -> np.ndarray:
     return np.where(high > low, (c - low) / np.where(high > low, high - low, 1), 0.0)
 
 
+def thinned(x: np.ndarray, config: ClusterConfig = CLUSTER) -> tuple[np.ndarray, int]:
+    """(affinity, step) of every step-th window; its columns are scaled by the cosines with all windows."""
+    step = max(1, len(x) // config.largest)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    some = u[::step]
+    low, high = np.full(len(some), np.inf), np.full(len(some), -np.inf)
+    for a in range(0, len(x), 1024):
+        c = u[a : a + 1024] @ some.T
+        low, high = np.minimum(low, c.min(0)), np.maximum(high, c.max(0))
+    c = some @ some.T
+    return np.where(high > low, (c - low) / np.where(high > low, high - low, 1), 0.0), step
+
+
 def auto_spectral(x: np.ndarray, speakers: int | None = None, config: ClusterConfig = CLUSTER) -> np.ndarray:
-    """Spectral clustering on the graph that the data choose; a given number of speakers is kept."""
+    """Spectral clustering on the graph that the data choose; a given number of speakers is kept. Neither
+    the affinity nor the graph is ever a whole matrix."""
     if len(x) < 2:
         return np.zeros(len(x), int)
-    affinity = _minmax(_cosines(x))
-    found, p = choose_neighbours(affinity, config)
+    small, step = thinned(x, config)
+    found, p = _choose(small, step, config)
     k = speakers or found
-    _, vectors = _spectrum(_graph(affinity, min(p, len(x))))
-    return _first_seen(k_means(vectors[:, :k][:, ::-1], k, config.seed, config.restarts))
+    _, vectors = lowest(Graph(_neighbours(x, min(p, len(x)))), k, config.seed)
+    return _first_seen(k_means(vectors[:, ::-1], k, config.seed, config.restarts))
 
 
 def _enhanced(a: np.ndarray) -> np.ndarray:
@@ -176,24 +325,62 @@ def spectral(x: np.ndarray, speakers: int | None = None, config: ClusterConfig =
     return _first_seen(k_means(vectors.real[:, order[:k]], k, config.seed, config.restarts))
 
 
+def dendrogram(x: np.ndarray) -> np.ndarray:
+    """Merges (a, b, height) of average linkage on cosine distance, lowest first; a and b are windows of the
+    two clusters. By nearest-neighbour chains: a chain of ever nearer clusters ends in two that are each
+    other's nearest, which average linkage may merge at once.
+
+    The mean distance of two clusters of unit vectors is 1 less the product of their means, so that the
+    update of distances after a merge is one weighted mean of vectors: n² vector products in all, and
+    memory for the vectors only."""
+    n = len(x)
+    mean = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float64)
+    size, alive = np.ones(n), np.ones(n, dtype=bool)
+    merges, chain, first = [], [], 0
+    while len(merges) < n - 1:
+        if not chain:
+            while not alive[first]:
+                first += 1
+            chain.append(first)
+        at = chain[-1]
+        far = 1 - mean @ mean[at]
+        far[~alive] = np.inf
+        far[at] = np.inf
+        nearest = int(far.argmin())
+        before = chain[-2] if len(chain) > 1 else -1
+        if before >= 0 and far[before] <= far[nearest] + 1e-12:
+            a, b = min(at, before), max(at, before)
+            merges.append((a, b, far[before]))
+            mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+            del chain[-2:]
+        else:
+            chain.append(nearest)
+    return np.array(sorted(merges, key=lambda m: m[2]), dtype=np.float64).reshape(-1, 3)
+
+
 def agglomerative(x: np.ndarray, speakers: int | None = None, threshold: float | None = 0.3) -> np.ndarray:
     """Average linkage on cosine distance, until speakers clusters are left or the nearest two are
     farther apart than threshold."""
-    d = 1 - _cosines(x)
-    np.fill_diagonal(d, np.inf)
-    size, labels, alive = np.ones(len(x)), np.arange(len(x)), len(x)
-    while alive > (speakers or 1):
-        i, j = np.unravel_index(d.argmin(), d.shape)
-        if not np.isfinite(d[i, j]) or (speakers is None and threshold is not None and d[i, j] > threshold):
-            break
-        mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = mean, mean
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        labels[labels == j] = i
-        alive -= 1
-    return _first_seen(labels)
+    if len(x) < 2:
+        return np.zeros(len(x), int)
+    merges = dendrogram(x)
+    if speakers is not None:
+        merges = merges[: max(0, len(x) - speakers)]
+    elif threshold is not None:
+        merges = merges[merges[:, 2] <= threshold]
+    parent = np.arange(len(x))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for a, b, _ in merges:
+        x_, y_ = root(int(a)), root(int(b))
+        parent[max(x_, y_)] = min(x_, y_)
+    return _first_seen(np.array([root(i) for i in range(len(x))]))
 
 
 METHODS: dict[str, Callable[..., np.ndarray]] = {"auto_spectral": auto_spectral, "spectral": spectral, "agglomerative": agglomerative}
@@ -254,7 +441,7 @@ def by_size(x: np.ndarray, speakers: int | None = None, config: ClusterConfig =
         speakers = min(anchored_count(x, config=config), len(x))
     if len(x) <= few:
         affinity = _minmax(_cosines(x))
-        values, vectors = _spectrum(0.5 * (affinity + affinity.T))
+        values, vectors = _dense_spectrum(0.5 * (affinity + affinity.T))
         k = speakers or int(np.argmax(np.diff(values)[: config.max_speakers])) + 1
         return _first_seen(k_means(vectors[:, :k], k, config.seed, config.restarts))
     return auto_spectral(x, speakers, config)
