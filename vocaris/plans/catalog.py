@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocaris.functions import ids
-from vocaris.operators import binary_keys, clustering, framing, identify, requests, similarity, store, turns, vad
+from vocaris.operators import binary_keys, clustering, framing, graphs, identify, requests, similarity, store, turns, vad
 from vocaris.plans import pipelines
-from vocaris.sources import results
+from vocaris.sources import results, shared
+from vocaris.streaming import speech
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,6 +190,22 @@ def vad_hysteresis_scale(s, d):
     return _utt(vad.hysteresis(many_frames(s, d)))
 
 
+@query("vad_online", _with(_FRAMES, _SPEECH, "SELECT rec, s, e FROM speech"))
+def vad_online(s, d):
+    """The frames as files of a stream, in four parts that are out of order, and a row that moves the clock
+    on; what the stream gives is a table of the shared folder."""
+    folder = shared.new_folder(s, "vad-online")
+    at = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("i") * 96)
+    rows = frames(s, d).withColumn("ts", at)
+    rows.withColumn("part", F.col("i") % 4).write.partitionBy("part").parquet(f"{folder}/in")
+    clock = s.range(1).select(F.lit(None).cast(rows.schema["rec"].dataType).alias("rec"), F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("p"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(4).alias("part"))
+    clock.write.mode("append").partitionBy("part").parquet(f"{folder}/in")
+    stream = s.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    found = speech.run_once(speech.online_vad(stream, late="3650 days"), folder, "speech")
+    shared.delete(s, f"{folder}/in")
+    return found
+
+
 @query("vad_padding", _with(_FRAMES, _SPEECH, _PADDED, "SELECT rec, utt, s, e FROM padded"))
 def vad_padding(s, d):
     f = frames(s, d)
@@ -341,6 +358,23 @@ def laplacian(s, d):
     return similarity.laplacian(similarity.p_graph(_half(s, d), 5))
 
 
+_REACH = "reach AS (SELECT DISTINCT rec, i, i AS j FROM pg UNION SELECT r.rec, r.i, pg.j FROM reach r JOIN pg ON pg.rec = r.rec AND pg.i = r.j)"
+
+
+@query("graph_components", "WITH RECURSIVE " + ",\n".join([_HALF, _PG.replace("<= 5", "<= 2"), _REACH]) + "\nSELECT rec, i, min(j) AS component FROM reach GROUP BY rec, i")
+def graph_components(s, d):
+    return graphs.components(windows(s, d).select("rec", F.col("k").alias("i")), similarity.p_graph(_half(s, d), 2))
+
+
+@query("least_connecting", "WITH RECURSIVE " + ",\n".join([
+    _HALF, "rk AS (SELECT rec, i, j, row_number() OVER (PARTITION BY rec, i ORDER BY round(w, 12) DESC, j DESC) AS r FROM aff)",
+    "ed AS (SELECT rec, i, j, r FROM rk UNION ALL SELECT rec, j, i, r FROM rk)",
+    "reach AS (SELECT rec, p, min(i) AS j FROM (SELECT rec, i, unnest(range(1, 51)) AS p FROM aff) GROUP BY rec, p UNION SELECT q.rec, q.p, ed.j FROM reach q JOIN ed ON ed.rec = q.rec AND ed.i = q.j AND ed.r <= q.p)",
+]) + "\nSELECT rec, CAST(min(p) AS INTEGER) AS p FROM (SELECT rec, p, count(*) AS n FROM reach GROUP BY rec, p) JOIN (SELECT rec, count(DISTINCT i) AS m FROM aff GROUP BY rec) USING (rec) WHERE n = m GROUP BY rec")
+def least_connecting(s, d):
+    return graphs.least_connecting(_half(s, d))
+
+
 _FILLED = "fd AS (SELECT rec, i, j, CASE WHEN i = j THEN greatest(coalesce(max(CASE WHEN i <> j THEN w END) OVER (PARTITION BY rec, i), 0), 0) ELSE w END AS w FROM aff)"
 
 

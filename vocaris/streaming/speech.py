@@ -49,7 +49,7 @@ class OnlineVad(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         parts = [r for r in rows if len(r)]
-        if pd.isna(key[0]) or not parts:  # rows without a recording only move the clock
+        if not parts:
             return
         new = pd.concat(parts)
         state = self._get()
@@ -127,7 +127,9 @@ def online_vad(frames: DataFrame, config: VadConfig = VAD, late: str = "10 secon
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     stamped = frames.select("rec", F.col("i").cast("long").alias("i"), F.col("p").cast("double").alias("p"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     rec = frames.schema["rec"].dataType.simpleString()
-    return stamped.groupBy("rec").transformWithStateInPandas(OnlineVad(config, idle_ms), f"rec {rec}, s long, e long", "Append", "EventTime")
+    # reads ts too, so that it stays above the watermark, which must see every row
+    known = stamped.where(F.when(F.col("ts").isNotNull(), F.col("rec").isNotNull()))
+    return known.groupBy("rec").transformWithStateInPandas(OnlineVad(config, idle_ms), f"rec {rec}, s long, e long", "Append", "EventTime")
 
 
 @contextmanager
