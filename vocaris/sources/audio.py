@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocaris.schemas import RECORDINGS
+from vocaris.sources.resample import resample
 
 RATE = 16000
 
@@ -31,11 +32,8 @@ def decode(content: bytes) -> tuple[int, int, np.ndarray] | None:
 
 
 def to_mono_16k(rate: int, samples: np.ndarray) -> np.ndarray:
-    """Mean of the channels, linearly resampled."""
-    mono = samples.astype(np.float64).mean(axis=0)
-    if rate != RATE and len(mono):
-        n = int(len(mono) * RATE / rate)
-        mono = np.interp(np.arange(n) * rate / RATE, np.arange(len(mono)), mono)
+    """Mean of the channels, resampled without what a rate of 16 kHz can't hold."""
+    mono = resample(samples.astype(np.float64).mean(axis=0), rate, RATE)
     return np.clip(np.round(mono), -32768, 32767).astype(np.int16)
 
 
