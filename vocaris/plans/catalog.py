@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocaris.functions import ids
-from vocaris.operators import binary_keys, clustering, framing, graphs, identify, requests, similarity, store, turns, vad, vector_index
+from vocaris.operators import binary_keys, clustering, framing, graphs, identify, requests, similarity, stitching, store, turns, vad, vector_index
 from vocaris.plans import pipelines
 from vocaris.sources import results, shared
 from vocaris.streaming import speech
@@ -397,6 +397,50 @@ def least_connecting(s, d):
     return graphs.least_connecting(_half(s, d))
 
 
+# vectors as chunks of 16 frames of four local speakers, a new one every four frames
+_ACTS = """act AS (SELECT vec_id // 50 AS rec, CAST(vec_id % 50 AS INTEGER) AS chunk, (generate_subscripts(embedding, 1) - 1) // 4 AS pos, CAST((generate_subscripts(embedding, 1) - 1) % 4 AS INTEGER) AS i, unnest(list_transform(embedding, lambda x: least(1e0, abs(CAST(x AS DOUBLE)) * 4))) AS a FROM embeddings)"""
+_LINKS = """sa AS (SELECT rec, chunk, i, sum(a) AS t FROM act WHERE pos >= 4 AND (rec, chunk + 1) IN (SELECT (rec, chunk) FROM act) GROUP BY rec, chunk, i),
+sb AS (SELECT rec, chunk - 1 AS chunk, i AS j, sum(a) AS t FROM act WHERE pos < 12 GROUP BY rec, chunk, i),
+dt AS (SELECT x.rec, x.chunk, x.i, y.i AS j, sum(x.a * y.a) AS t FROM act x JOIN act y ON y.rec = x.rec AND y.chunk = x.chunk + 1 AND x.pos = y.pos + 4 GROUP BY ALL),
+sh AS (SELECT dt.rec, dt.chunk, i, j, dt.t / greatest(sa.t, sb.t, 1e-12) AS share FROM dt JOIN sa USING (rec, chunk, i) JOIN sb USING (rec, chunk, j)),
+pm AS (SELECT a.x * 1000 + b.x * 100 + c.x * 10 + d.x AS id, [a.x, b.x, c.x, d.x] AS js FROM (SELECT unnest(range(4)) AS x) a, (SELECT unnest(range(4)) AS x) b, (SELECT unnest(range(4)) AS x) c, (SELECT unnest(range(4)) AS x) d WHERE len(list_distinct([a.x, b.x, c.x, d.x])) = 4),
+tt AS (SELECT rec, chunk, id, js, sum(share) AS total FROM sh JOIN pm ON js[i + 1] = j GROUP BY ALL),
+bp AS (SELECT rec, chunk, js FROM tt QUALIFY row_number() OVER (PARTITION BY rec, chunk ORDER BY round(total, 12) DESC, id) = 1),
+lk AS (SELECT sh.rec, sh.chunk, i, j, share FROM sh JOIN bp ON bp.rec = sh.rec AND bp.chunk = sh.chunk AND js[i + 1] = j WHERE share >= 0.35)"""
+_TRACKS = """nd AS (SELECT DISTINCT rec, chunk * 64 + i AS n FROM act),
+eg AS (SELECT rec, chunk * 64 + i AS a, (chunk + 1) * 64 + j AS b FROM lk UNION ALL SELECT rec, (chunk + 1) * 64 + j, chunk * 64 + i FROM lk),
+rh AS (SELECT rec, n, n AS m FROM nd UNION SELECT rh.rec, rh.n, eg.b FROM rh JOIN eg ON eg.rec = rh.rec AND eg.a = rh.m),
+tk AS (SELECT rec, n // 64 AS chunk, n % 64 AS i, min(m) AS track FROM rh GROUP BY rec, n),
+wt AS (SELECT act.*, chunk * 4 + pos AS f, (1e0 + least(pos, 15 - pos)) / 16 AS w FROM act),
+wh AS (SELECT rec, f, sum(w) AS whole FROM (SELECT DISTINCT rec, chunk, f, w FROM wt) GROUP BY rec, f),
+ow AS (SELECT rec, track, f, sum(wa) AS wa FROM (SELECT rec, track, f, chunk, max(w * a) AS wa FROM wt JOIN tk USING (rec, chunk, i) GROUP BY ALL) GROUP BY rec, track, f),
+oa AS (SELECT rec, track, f, wa / whole AS p FROM ow JOIN wh USING (rec, f))"""
+
+
+def _acts(s, d):
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.least(F.lit(1.0), F.abs(x) * 4))
+    frames_ = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice(v, k * 4 + 1, 4))
+    return windows(s, d).select("rec", F.col("k").alias("chunk"), (F.col("k") * 4).cast("long").alias("start"), frames_.alias("act"))
+
+
+@query("speaker_links", _with(_ACTS, _LINKS, "SELECT rec, chunk, i, CAST(j AS INTEGER) AS j, round(share, 6) AS agreement FROM lk"))
+def speaker_links(s, d):
+    return _r6(stitching.links(_acts(s, d), 0.35), "agreement")
+
+
+@query("overlap_add", "WITH RECURSIVE " + ",\n".join([_ACTS, _LINKS, _TRACKS]) + "\nSELECT rec, track, f, round(p, 6) AS p FROM oa")
+def overlap_add(s, d):
+    act = _acts(s, d)
+    return _r6(stitching.overlap_add(act, stitching.tracks(act, stitching.links(act, 0.35))), "p")
+
+
+@query("overlapping_turns", "WITH RECURSIVE " + ",\n".join([_ACTS, _LINKS, _TRACKS, "rn AS (SELECT rec, track, f, f - row_number() OVER (PARTITION BY rec, track ORDER BY f) AS isl FROM oa WHERE round(p, 9) >= 0.4), sp AS (SELECT rec, 'track' || track AS label, round(min(f) * 0.01, 6) AS s, round((max(f) + 1) * 0.01, 6) AS e FROM rn GROUP BY rec, track, isl)"]) + "\nSELECT rec, label, s, e FROM sp")
+def overlapping_turns(s, d):
+    act = _acts(s, d)
+    scores = stitching.overlap_add(act, stitching.tracks(act, stitching.links(act, 0.35)))
+    return _r6(stitching.overlapping_turns(scores, stitching.StitchConfig(onset=0.4)).select("rec", "label", "s", "e"), "s", "e")
+
+
 _FILLED = "fd AS (SELECT rec, i, j, CASE WHEN i = j THEN greatest(coalesce(max(CASE WHEN i <> j THEN w END) OVER (PARTITION BY rec, i), 0), 0) ELSE w END AS w FROM aff)"
 
 
