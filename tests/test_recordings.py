@@ -182,3 +182,32 @@ def test_top_k_over_tiles_chunks_and_strips(spark, monkeypatch):
             own = [j for j in range(150) if j % 2 == part]
             want |= {(k, j, r + 1) for r, j in enumerate(sorted(own, key=lambda j: (-round(cos[k, j], 12), j))[:5])}
     assert {(r.query, r.point, r["rank"]) for r in got} == want
+
+
+class Counted:
+    """A model that leaves a byte for every call."""
+
+    def __init__(self, model, path):
+        self.model, self.path = model, str(path)
+
+    def __call__(self, x):
+        with open(self.path, "ab") as log:
+            log.write(b".")
+        return self.model(x)
+
+
+def test_models_run_once_in_a_run_of_jobs(spark, spoken, tmp_path):
+    recordings, _ = spoken
+    one = recordings.join(spark.read.format("binaryFile").load(recordings.first().path.rsplit("/", 1)[0]).select("path", "content"), "path").where("path like '%r0.wav'")
+    one.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    known = points(spark).where("error is null").select(F.xxhash64("speaker").alias("point"), "vector", F.col("speaker").alias("speaker_id"), F.col("speaker").alias("name"))
+    known.write.parquet(str(tmp_path / "known"))
+    heard, voiced = Counted(speech, tmp_path / "speech"), Counted(voice, tmp_path / "voice")
+    windows = R.embedded_windows(one, speech, voice, DiarizeConfig(speakers=2)).count()
+    frames = -(-len(one.first().samples) // 1536)
+    out, _ = R.run_jobs(one, heard, voiced, spark.read.parquet(str(tmp_path / "known")), config=DiarizeConfig(speakers=2), min_similarity=0.8)
+    names = {s["spk_id"] for r in out.collect() for s in json.loads(r.result)["segments"]}
+    assert len(names) == 2 and (tmp_path / "speech").stat().st_size == frames
+    pieces = (tmp_path / "voice").stat().st_size - windows
+    assert 2 <= pieces <= 6  # the longest segments of two tags, once

@@ -159,7 +159,8 @@ def wire_segments_neural(s, d):
     return turns.wire_segments(conversation_turns(s, d), 3).withColumn("seg_id", F.col("seg_id").cast("long"))
 
 
-@query("json_result")
+@query("json_result", _with(_NAMED, """sp AS (SELECT rec, string_agg('{"spk_id":"' || spk_id || '","duration":' || CAST(dur AS VARCHAR) || ',"nbr_seg":' || n || '}', ',' ORDER BY CAST(substr(spk_id, 4) AS INTEGER)) AS x FROM (SELECT rec, spk_id, round(sum(e - s), 2) AS dur, count(*) AS n FROM named GROUP BY rec, spk_id) GROUP BY rec),
+sx AS (SELECT rec, string_agg('{"seg_id":' || seg || ',"spk_id":"' || spk_id || '","seg_begin":' || CAST(round(s, 2) AS VARCHAR) || ',"seg_end":' || CAST(round(e, 2) AS VARCHAR) || '}', ',' ORDER BY seg) AS x FROM named GROUP BY rec)""", """SELECT rec, '{"speakers":[' || sp.x || '],"segments":[' || sx.x || ']}' AS result FROM sp JOIN sx USING (rec)"""))
 def json_result(s, d):
     return turns.json_result(conversation_turns(s, d))
 
@@ -512,13 +513,21 @@ def repeat_counts(s, d):
     return similarity.repeat_counts(similarity.nearest_midpoint(base, coarse), coarse)
 
 
-@query("multiscale_fusion", _with(_HALF, "c2 AS (SELECT rec, i, j, w FROM aff WHERE i < 25 AND j < 25)", "SELECT a.rec, a.i, a.j, round((2e0 * a.w + 1e0 * b.w) / 3e0, 6) AS w FROM aff a JOIN c2 b ON a.rec = b.rec AND a.i // 2 = b.i AND a.j // 2 = b.j"))
+_COARSE = """cv AS (SELECT rec, k // 2 AS k, d, avg(x) AS x FROM (SELECT rec, k, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM win) GROUP BY ALL),
+cw AS (SELECT rec, k, list(x ORDER BY d) AS v FROM cv GROUP BY rec, k),
+c2 AS (SELECT a.rec, a.k AS i, b.k AS j, (list_cosine_similarity(a.v, b.v) + 1) / 2 AS w FROM cw a JOIN cw b USING (rec))"""
+
+
+@query("multiscale_fusion", _with(_HALF, _COARSE, "SELECT a.rec, a.i, a.j, round((2e0 * a.w + 1e0 * b.w) / 3e0, 6) AS w FROM aff a JOIN c2 b ON a.rec = b.rec AND a.i // 2 = b.i AND a.j // 2 = b.j"))
 def multiscale_fusion(s, d):
-    a = _half(s, d)
-    fine = windows(s, d).select("rec", F.col("k").alias("idx"), F.col("k").alias("other"))
-    half = fine.select("rec", "idx", F.floor(F.col("idx") / 2).cast("int").alias("other"))
-    # the coarse scale has the first half of the windows, so that two fine ones share one coarse one
-    return _r6(similarity.fuse_scales([(a, fine, 2.0), (a.where("i < 25 and j < 25"), half, 1.0)]), "w")
+    """The coarse scale's windows are the means of two neighbouring ones each, over all windows."""
+    w = windows(s, d)
+    half = F.floor(F.col("k") / 2).cast("int")
+    each = w.select("rec", half.alias("k"), F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    means = each.groupBy("rec", "k", "d").agg(F.avg("x").alias("x")).groupBy("rec", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda y: y.x).alias("embedding"))
+    coarse = similarity.affinity_half(similarity.pairs(means))
+    fine = w.select("rec", F.col("k").alias("idx"), F.col("k").alias("other"))
+    return _r6(similarity.fuse_scales([(_half(s, d), fine, 2.0), (coarse, w.select("rec", F.col("k").alias("idx"), half.alias("other")), 1.0)]), "w")
 
 
 _EIG = "ev AS (SELECT vec_id AS rec, unnest(list_sort(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)))) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)"
@@ -626,7 +635,14 @@ def identified_stats(s, d):
     return identify.stats_by_name(seg, _tag_names(s, d))
 
 
-@query("greedy_exclusive_identify")
+@query("greedy_exclusive_identify", "WITH RECURSIVE " + _HITS + """,
+tg AS (SELECT query // 500 AS rec, query AS spk, row_number() OVER (PARTITION BY query // 500 ORDER BY (query * 7) % 450 DESC, query) AS n FROM q WHERE query IN (SELECT query FROM hits)),
+v AS (SELECT tg.rec, tg.n, tg.spk, speaker_id, sum(score) AS votes, min(rank) AS f, arg_min(name, rank) AS name FROM tg JOIN hits ON hits.query = tg.spk WHERE score >= 0.2 GROUP BY ALL),
+w AS (SELECT rec, 0 AS n, CAST(NULL AS BIGINT) AS spk, CAST(NULL AS VARCHAR) AS speaker_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS DOUBLE) AS votes, CAST([] AS VARCHAR[]) AS taken FROM tg GROUP BY rec
+  UNION ALL SELECT * FROM (SELECT w.rec, w.n + 1 AS n, tg.spk, v.speaker_id, v.name, v.votes, CASE WHEN v.speaker_id IS NULL THEN w.taken ELSE list_append(w.taken, v.speaker_id) END AS taken
+    FROM w JOIN tg ON tg.rec = w.rec AND tg.n = w.n + 1 LEFT JOIN v ON v.rec = w.rec AND v.n = w.n + 1 AND NOT list_contains(w.taken, v.speaker_id)
+    QUALIFY row_number() OVER (PARTITION BY w.rec ORDER BY round(v.votes, 12) DESC NULLS LAST, v.f) = 1))
+SELECT rec, CAST(spk AS VARCHAR) AS spk, speaker_id, name, round(votes, 6) AS votes FROM w WHERE speaker_id IS NOT NULL""")
 def greedy_exclusive_identify(s, d):
     hits = _hits(s, d)
     rec = F.floor(F.col("query") / 500)
@@ -634,7 +650,7 @@ def greedy_exclusive_identify(s, d):
     # speech times that don't follow the order of first appearance
     spk = F.col("spk").cast("long")
     tags = named.select("rec", "spk").distinct().withColumn("total", F.pmod(spk * 7, F.lit(450)).cast("double")).withColumn("first", spk)
-    return identify.identify_exclusive(tags, named, 0.2)
+    return _r6(identify.identify_exclusive(tags, named, 0.2), "votes")
 
 
 @query("identification_accuracy", _with(_HITS, """v AS (SELECT query, speaker_id, sum(score) AS votes, min(rank) AS f FROM hits WHERE score >= 0.2 GROUP BY query, speaker_id),

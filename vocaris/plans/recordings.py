@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vocaris.operators import framing, identify, similarity, store, turns
 from vocaris.plans.pipelines import DIARIZE, DiarizeConfig, diarize, speech_windows
 from vocaris.sources import audio
+from vocaris.sources.shared import cut
 
 Model = Callable[[np.ndarray], np.ndarray]
 
@@ -46,7 +47,8 @@ def embedded_windows(recordings: DataFrame, speech: Model, voice: Model, config:
 def diarize_audio(recordings: DataFrame, speech: Model, voice: Model, config: DiarizeConfig = DIARIZE) -> DataFrame:
     """Turns (rec, seg, s, e, label), in seconds, of recordings (path, samples). One without speech has
     none."""
-    return diarize(embedded_windows(recordings, speech, voice, config), config)
+    # windows are read twice, by clustering and by turns: written, so that the models run once
+    return diarize(cut(embedded_windows(recordings, speech, voice, config)), config)
 
 
 def results(found: DataFrame, digits: int = 2) -> DataFrame:
@@ -88,7 +90,7 @@ def tag_vectors(recordings: DataFrame, found: DataFrame, voice: Model, rate: int
 def identify_recordings(recordings: DataFrame, found: DataFrame, points: DataFrame, voice: Model, min_similarity: float = 0.5, k: int = 10, twice: bool = True) -> DataFrame:
     """(rec, spk, speaker_id, name, votes) of the tags of the turns whose voice is among points (point,
     vector, speaker_id, name). With twice = False no speaker is found twice in a recording."""
-    vectors = tag_vectors(recordings, found, voice).withColumn("query", F.xxhash64("rec", "spk"))
+    vectors = cut(tag_vectors(recordings, found, voice).withColumn("query", F.xxhash64("rec", "spk")))  # the model runs once
     hits = similarity.top_k(vectors.select("query", "vector"), points, k).join(points.select("point", "speaker_id", "name"), "point")
     tagged = hits.join(vectors.select("query", "rec", "spk"), "query").withColumn("ord", F.col("rank"))
     if twice:
