@@ -47,7 +47,7 @@ def dense_laplacian(graph):
 def test_lanczos_equals_the_whole_decomposition(p):
     x, _ = planted(7, 5, 60)
     affinity = clustering._minmax(clustering._cosines(x))
-    graph = clustering.Graph(clustering._neighbours(x, p, strip=17))
+    graph = clustering.Graph(clustering._neighbours(clustering.Affinity.of(x), p, strip=17))
     lap = dense_laplacian(dense_graph(affinity, p))
     v = np.random.default_rng(0).normal(size=(len(x), 3))
     assert np.allclose(graph.laplacian(v, edges=100), lap @ v)
@@ -236,3 +236,67 @@ def test_diarize_ends_with_resegmentation(spark):
     rows = binary_keys.diarize(frames, window=50, least=100, segment=100, context=0, speakers=2, smooth=5).orderBy("i").collect()
     change = [r.i for a, r in zip(rows, rows[1:]) if a.label != r.label]
     assert len(change) == 1 and abs(change[0] - 650) <= 5
+
+
+def test_affinity_rows_fuse_scales():
+    x, _ = planted(4, 3, 8)
+    coarse = (x[::2] + x[1::2]) / 2
+    mapping = np.arange(24) // 2
+    got = clustering.Affinity([(coarse, mapping, 1.0), (x, np.arange(24), 3.0)], strip=5)
+    fine, wide = (clustering._minmax(clustering._cosines(y)) for y in (x, coarse))
+    want = (3 * fine + wide[np.ix_(mapping, mapping)]) / 4
+    at = np.array([3, 0, 20])
+    assert np.allclose(got.rows(np.arange(24)), want) and np.allclose(got.rows(at, at), want[np.ix_(at, at)])
+
+
+def test_nearest_middle_takes_the_first_of_equals():
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        base, other = rnd.integers(0, 12, 20) / 2, rnd.integers(0, 12, 6) / 2
+        assert clustering.nearest_middle(base, other).tolist() == [int(np.abs(other - b).argmin()) for b in base]
+
+
+def test_scales_together_find_what_the_finest_alone_misses(spark):
+    rnd = np.random.default_rng(8)
+    truth = np.repeat([0, 1, 2], 40)
+    centres = np.linalg.qr(rnd.normal(size=(24, 24)))[0][:3]
+    fine = centres[truth] + 0.35 * rnd.normal(size=(120, 24))
+    coarse = centres[truth[::4]] + 0.05 * rnd.normal(size=(30, 24))
+    rows = [(1, 1, k, k * 10, k * 10 + 10, v.tolist()) for k, v in enumerate(fine)] + [(1, 0, k, k * 40, k * 40 + 40, v.tolist()) for k, v in enumerate(coarse)]
+    rows += [(2, 1, 0, 0, 10, fine[0].tolist()), (3, 0, 0, 0, 10, fine[0].tolist())]  # one window; no fine scale
+    df = spark.createDataFrame(rows, "rec long, scale int, k int, s long, e long, embedding array<double>")
+    got = clustering.cluster_scales(df, {0: 3.0, 1: 1.0}, 3).collect()
+    assert same([r.label for r in sorted(got, key=lambda r: r.k) if r.rec == 1], truth)
+    assert [(r.k, r.label) for r in got if r.rec == 2] == [(0, 1)] and not [r for r in got if r.rec == 3]
+    alone = clustering.cluster_scales(df, {1: 1.0}, 3).where("rec = 1").orderBy("k").collect()
+    agree = lambda rows_: sum(a == b for a, b in zip([r.label for r in rows_], truth + 1))
+    assert not same([r.label for r in alone], truth) or agree(alone) <= 120
+
+
+def test_pool_and_top_gaussians_in_blocks(spark):
+    rnd = np.random.default_rng(6)
+    x = {r: rnd.normal(size=(30 + 17 * r, 3)) for r in (1, 2)}
+    x[1][:, 2] = 5.0  # a dimension without spread
+    df = spark.createDataFrame([(r, i, v.tolist()) for r in x for i, v in enumerate(x[r])], "rec long, i int, x array<double>")
+    pool = binary_keys.pool(df, 10, 4, block=3)
+    got = {(r.rec, r.g): (np.array(r.mu), np.array(r.sd)) for r in pool.collect()}
+    assert set(got) == {(r, g) for r in x for g in range((len(x[r]) - 10) // 4 + 1)}
+    for (r, g), (mu, sd) in got.items():
+        assert np.allclose(mu, x[r][4 * g : 4 * g + 10].mean(0)) and np.allclose(sd, x[r][4 * g : 4 * g + 10].std(0))
+    found = {}
+    for r in binary_keys.top_gaussians(df, pool, 3, block=7).collect():
+        found.setdefault((r.rec, r.i), {})[r.r] = r.g
+    for (r, i), best in found.items():
+        ll = {}
+        for (rec, g), (mu, sd) in got.items():
+            if rec == r:
+                own = sd > 0
+                ll[g] = float((-0.5 * (np.log(2 * np.pi * sd[own]) + (x[r][i][own] - mu[own]) ** 2 / sd[own])).sum())
+        assert [best[k] for k in (1, 2, 3)] == sorted(ll, key=lambda g: (-round(ll[g], 9), g))[:3]
+    assert len(found) == sum(map(len, x.values()))
+
+
+def test_segments_stay_inside_runs():
+    i = np.array([0, 1, 2, 3, 4, 10, 11, 12, 20])
+    got = [a.tolist() for a in binary_keys.segment_bounds(i, 2, 1)]
+    assert got == [[0, 2, 5], [1, 3, 6], [0, 1, 5], [2, 4, 7]]

@@ -211,3 +211,21 @@ def test_models_run_once_in_a_run_of_jobs(spark, spoken, tmp_path):
     assert len(names) == 2 and (tmp_path / "speech").stat().st_size == frames
     pieces = (tmp_path / "voice").stat().st_size - windows
     assert 2 <= pieces <= 6  # the longest segments of two tags, once
+
+
+def test_legacy_run_from_samples(spark):
+    def talk(*parts):
+        return np.concatenate([silence(p) if isinstance(p, float) else tone(p[0], p[1], k) for k, p in enumerate(parts)]).tolist()
+
+    rows = [("two.wav", talk(1.0, ("ann", 12), 1.0, ("dora", 12), 1.0)), ("one.wav", talk(0.5, ("bob", 1), 0.5)), ("none.wav", talk(2.0))]
+    df = spark.createDataFrame(rows, "path string, samples array<int>").withColumn("samples", F.col("samples").cast("array<smallint>"))
+    loud = lambda b, rate: float(np.abs(np.frombuffer(b, "<i2").astype(float)).mean()) > 500
+    found = R.legacy_turns(df, loud, speakers=2, window=100, least=30)
+    name = {r.rec: r.path for r in R.with_rec(df).select("rec", "path").collect()}
+    got = {}
+    for r in found.orderBy("rec", "s").collect():
+        got.setdefault(name[r.rec], []).append((round(r.s, 1), round(r.e, 1), r.label))
+    assert set(got) == {"two.wav", "one.wav"} and len(got["one.wav"]) == 1 and got["one.wav"][0][0] == 0.0
+    assert len({label for _, _, label in got["two.wav"]}) == 2
+    (s1, e1, a), (s2, e2, b) = got["two.wav"][0], got["two.wav"][-1]
+    assert a != b and abs(s1 - 1) < 0.2 and abs(e1 - 13) < 0.6 and abs(s2 - 14) < 0.6 and abs(e2 - 26) < 0.2

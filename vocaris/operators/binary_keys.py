@@ -17,26 +17,65 @@ def pool_plan(n_frames: int, window: int = 200, least: int = 1024, most_rate: in
     return rate, pool, int(share * pool)
 
 
-def pool_stats(frames: DataFrame, window: int, rate: int) -> DataFrame:
-    """(rec, g, d, mu, sd): mean and population deviation of each dimension over sliding windows of
-    frames (rec, i, d, x); window g covers the frames from g x rate on. A window needs all frames."""
+#: Pool windows, and frames, of one group; scores in memory at a time.
+POOL_BLOCK = 256
+FRAME_BLOCK = 4096
+STRIP_CELLS = 4_000_000
+
+
+def pool(frames: DataFrame, window: int, rate: int, block: int = POOL_BLOCK) -> DataFrame:
+    """(rec, g, mu, sd): mean and population deviation, as arrays, over sliding windows of frames (rec, i,
+    x: array); window g covers the frames from g x rate on, and needs all of them. A group is a block of
+    windows with the frames that they cover, so that a long recording is many groups."""
     n = frames.groupBy("rec").agg((F.max("i") + 1).alias("n"))
     first = F.greatest(F.ceil((F.col("i") - window + 1) / rate), F.lit(0))
     last = F.least(F.floor(F.col("i") / rate), F.floor((F.col("n") - window) / rate))
-    placed = frames.join(n, "rec").where(last >= first).select("rec", "d", "x", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("g"))
-    return placed.groupBy("rec", "g", "d").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-
-
-def log_densities(frames: DataFrame, pool: DataFrame) -> DataFrame:
-    """(rec, i, g, ll) of frames (rec, i, d, x) under each Gaussian; sd serves as the variance."""
-    term = -0.5 * (F.log(F.lit(2 * np.pi) * F.col("sd")) + (F.col("x") - F.col("mu")) ** 2 / F.col("sd"))
-    return frames.join(pool.where("sd > 0"), ["rec", "d"]).groupBy("rec", "i", "g").agg(F.sum(term).alias("ll"))
-
+    blocks = F.sequence(F.floor(first / block).cast("long"), F.floor(last / block).cast("long"))
+    placed = frames.join(n, "rec").where(last >= first).select("rec", "i", "x", "n", F.explode(blocks).alias("b"))
+    rec = frames.schema["rec"].dataType.simpleString()
 
-def top_gaussians(densities: DataFrame, k: int = 5) -> DataFrame:
-    """The k most likely components of each frame: (rec, i, g, r)."""
-    order = Window.partitionBy("rec", "i").orderBy(F.round("ll", 9).desc(), "g")
-    return densities.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("rec", "i", "g", "r")
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("i")
+        i, x = group.i.to_numpy(), np.array(group.x.tolist(), dtype=np.float64)
+        b = int(group.b.iloc[0])
+        g = np.arange(b * block, min((b + 1) * block, (int(group.n.iloc[0]) - window) // rate + 1))
+        lo, hi = np.searchsorted(i, g * rate), np.searchsorted(i, g * rate + window)
+        g, lo, hi = g[hi > lo], lo[hi > lo], hi[hi > lo]
+        mu = np.stack([x[a:c].mean(0) for a, c in zip(lo, hi)])
+        sd = np.stack([x[a:c].std(0) for a, c in zip(lo, hi)])
+        return pd.DataFrame({"rec": group.rec.iloc[0], "g": g, "mu": list(mu), "sd": list(sd)})
+
+    return placed.groupBy("rec", "b").applyInPandas(one, f"rec {rec}, g long, mu array<double>, sd array<double>")
+
+
+def top_gaussians(frames: DataFrame, components: DataFrame, k: int = 5, block: int = FRAME_BLOCK) -> DataFrame:
+    """(rec, i, g, r): the k likeliest of components (rec, g, mu, sd) for each frame (rec, i, x), ties by g;
+    sd serves as the variance, and dimensions without one don't count. Blocks of frames meet their
+    recording's components, strip by strip; nothing but the k best leaves a block."""
+    keyed = frames.select("rec", F.floor(F.col("i") / block).alias("b"), "i", "x")
+    blocks = keyed.select("rec", F.col("b").alias("block")).distinct()
+    beside = components.join(blocks, "rec").select("rec", "block", "g", "mu", "sd")
+    rec = frames.schema["rec"].dataType.simpleString()
+
+    def one(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("g")
+        mu, sd = (np.array(known[c].tolist(), dtype=np.float64) for c in ("mu", "sd"))
+        if not len(own) or not len(known) or not (sd > 0).any():
+            return pd.DataFrame({"rec": [], "i": [], "g": [], "r": []})
+        used = (sd > 0).any(1)
+        mu, sd, g = mu[used], sd[used], known.g.to_numpy()[used]
+        there = sd > 0
+        precision, logs = np.where(there, 1 / np.where(there, sd, 1), 0.0), np.where(there, np.log(2 * np.pi * np.where(there, sd, 1)), 0.0).sum(1)
+        x, n = np.array(own.x.tolist(), dtype=np.float64), min(k, len(g))
+        best = np.empty((len(x), n), dtype=np.int64)
+        step = max(1, STRIP_CELLS // mu.size)
+        for a in range(0, len(x), step):
+            ll = -0.5 * (logs + (((x[a : a + step, None] - mu) ** 2) * precision).sum(2))
+            best[a : a + step] = np.argsort(-np.round(ll, 9), axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"rec": np.repeat(own.rec.to_numpy(), n), "i": np.repeat(own.i.to_numpy(), n), "g": g[best].ravel(), "r": np.tile(np.arange(1, n + 1), len(x))})
+
+    index = frames.schema["i"].dataType.simpleString()
+    return keyed.groupBy("rec", "b").cogroup(beside.groupBy("rec", "block")).applyInPandas(one, f"rec {rec}, i {index}, g long, r int")
 
 
 def keys(segments: DataFrame, top: DataFrame, size: int, share: float = 0.2, bin_frames: int = 100) -> DataFrame:
@@ -153,27 +192,38 @@ def segment_vectors(x: np.ndarray, mu: np.ndarray, sd: np.ndarray, bounds: list[
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
+def segment_bounds(i: np.ndarray, segment: int, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, start with context, end with context), as places among speech frames numbered i in
+    their recording: inside each run of consecutive frames a segment begins every ``segment`` frames, and
+    context stays inside the run. A last frame that would be a segment of its own isn't one."""
+    cuts = np.flatnonzero(np.diff(i) != 1) + 1
+    first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(i)])) - 1
+    rows = [(s, min(s + segment - 1, b), max(a, s - context), min(b, s + segment - 1 + context)) for a, b in zip(first, last) for s in range(a, b, segment)]
+    return tuple(np.array(rows, dtype=np.int64).reshape(-1, 4).T)
+
+
 def diarize(frames: DataFrame, window: int = 200, least: int = 1024, segment: int = 100, context: int = 100, speakers: int | None = None, most: int = 20, smooth: int = 100, components: int = 16) -> DataFrame:
     """(rec, i, label) of speech frames (rec, i, mfcc): pool, keys of overlapping segments, spectral
     clustering of their shares, labels of the frames, and resegmentation if there are two or more.
-    Recordings with less speech than two windows, or one segment, have one speaker."""
+    Recordings with less speech than two windows, or one segment, have one speaker. Segments stay inside
+    runs of consecutive frames."""
     from vocaris.operators.clustering import _cosines, _first_seen, blurred_enhancement, k_means, normalised_embedding, ratio_count
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
         x = np.array(group.mfcc.tolist(), dtype=np.float64)
         labels = np.ones(len(x), dtype=int)
-        starts = list(range(0, len(x) - 1, segment))
+        starts, ends, before, after = segment_bounds(group.i.to_numpy(), segment, context)
         if len(x) >= 2 * window and len(starts) > 1:
             rate, _, size = pool_plan(len(x), window, least)
             mu, sd = train_pool(x, window, rate, max(2, size))
-            bounds = [(max(0, s - context), min(len(x) - 1, s + segment - 1 + context)) for s in starts]
+            bounds = list(zip(before, after))
             a = blurred_enhancement((_cosines(segment_vectors(x, mu, sd, bounds)) + 1) / 2)
             values = np.sort(np.linalg.eigvals(a).real)[::-1]
             k = min(speakers or ratio_count(values, most), len(starts))
             found = _first_seen(k_means(normalised_embedding(a, k), k)) + 1
-            labels = np.repeat(found, segment)[: len(x)]
-            labels = np.pad(labels, (0, len(x) - len(labels)), mode="edge")
+            # frames between segments are of the segment before
+            labels = found[np.maximum(np.searchsorted(starts, np.arange(len(x)), side="right") - 1, 0)]
             if len(np.unique(labels)) > 1:
                 labels = relabel(x, group.i.to_numpy(), labels, smooth, components)
         return pd.DataFrame({"rec": group.rec, "i": group.i, "label": labels})

@@ -171,9 +171,33 @@ def highest(graph: Graph, seed: int = 0, steps: int = 60) -> float:
     return max(float(np.linalg.eigvalsh(np.triu(small) + np.triu(small, 1).T)[-1]), 1e-300)
 
 
-def _affinity_rows(u: np.ndarray, rows: slice, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    c = u[rows] @ u.T
-    return np.where(high > low, (c - low) / np.where(high > low, high - low, 1), 0.0)
+class Affinity:
+    """Affinities of n windows, given row by row: the weighted mean over scales of cosines scaled to [0, 1]
+    by column. A scale is (vectors, mapping, weight); mapping names the scale's vector of each window."""
+
+    def __init__(self, scales: list[tuple[np.ndarray, np.ndarray, float]], strip: int = 1024):
+        self.n = len(scales[0][1])
+        total = sum(weight for _, _, weight in scales)
+        self.scales = []
+        for x, mapping, weight in scales:
+            u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            low, high = np.full(len(u), np.inf), np.full(len(u), -np.inf)
+            for a in range(0, len(u), strip):
+                c = u[a : a + strip] @ u.T
+                low, high = np.minimum(low, c.min(0)), np.maximum(high, c.max(0))
+            self.scales.append((u, np.asarray(mapping), low, np.where(high > low, high - low, 1), high > low, weight / total))
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Affinity:
+        return cls([(x, np.arange(len(x)), 1.0)])
+
+    def rows(self, at: np.ndarray, columns: np.ndarray | slice = slice(None)) -> np.ndarray:
+        out = 0.0
+        for u, mapping, low, width, there, weight in self.scales:
+            of = mapping[columns]
+            c = u[mapping[at]] @ u[of].T
+            out = out + weight * np.where(there[of], (c - low[of]) / width[of], 0.0)
+        return out
 
 
 def _strongest(a: np.ndarray, p: int) -> np.ndarray:
@@ -183,15 +207,9 @@ def _strongest(a: np.ndarray, p: int) -> np.ndarray:
     return np.argsort(a, axis=1, kind="stable")[:, ::-1][:, :p]
 
 
-def _neighbours(x: np.ndarray, p: int, strip: int = 256) -> np.ndarray:
-    """The p strongest of each window's affinities (cosines scaled by column), in strips of rows."""
-    n = len(x)
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    low, high = np.full(n, np.inf), np.full(n, -np.inf)
-    for a in range(0, n, strip):
-        c = u[a : a + strip] @ u.T
-        low, high = np.minimum(low, c.min(0)), np.maximum(high, c.max(0))
-    return np.concatenate([_strongest(_affinity_rows(u, slice(a, a + strip), low, high), p).astype(np.int32) for a in range(0, n, strip)])
+def _neighbours(affinity: Affinity, p: int, strip: int = 256) -> np.ndarray:
+    """The p strongest of each window's affinities, in strips of rows."""
+    return np.concatenate([_strongest(affinity.rows(np.arange(a, min(a + strip, affinity.n))), p).astype(np.int32) for a in range(0, affinity.n, strip)])
 
 
 def _dense_spectrum(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,28 +271,18 @@ def _minmax(c: np.ndarray) -> np.ndarray:
     return np.where(high > low, (c - low) / np.where(high > low, high - low, 1), 0.0)
 
 
-def thinned(x: np.ndarray, config: ClusterConfig = CLUSTER) -> tuple[np.ndarray, int]:
-    """(affinity, step) of every step-th window; its columns are scaled by the cosines with all windows."""
-    step = max(1, len(x) // config.largest)
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    some = u[::step]
-    low, high = np.full(len(some), np.inf), np.full(len(some), -np.inf)
-    for a in range(0, len(x), 1024):
-        c = u[a : a + 1024] @ some.T
-        low, high = np.minimum(low, c.min(0)), np.maximum(high, c.max(0))
-    c = some @ some.T
-    return np.where(high > low, (c - low) / np.where(high > low, high - low, 1), 0.0), step
-
-
 def auto_spectral(x: np.ndarray, speakers: int | None = None, config: ClusterConfig = CLUSTER) -> np.ndarray:
     """Spectral clustering on the graph that the data choose; a given number of speakers is kept. Neither
     the affinity nor the graph is ever a whole matrix."""
-    if len(x) < 2:
-        return np.zeros(len(x), int)
-    small, step = thinned(x, config)
-    found, p = _choose(small, step, config)
+    return _auto(Affinity.of(x), speakers, config) if len(x) > 1 else np.zeros(len(x), int)
+
+
+def _auto(affinity: Affinity, speakers: int | None, config: ClusterConfig) -> np.ndarray:
+    step = max(1, affinity.n // config.largest)
+    some = np.arange(0, affinity.n, step)
+    found, p = _choose(affinity.rows(some, some), step, config)
     k = speakers or found
-    _, vectors = lowest(Graph(_neighbours(x, min(p, len(x)))), k, config.seed)
+    _, vectors = lowest(Graph(_neighbours(affinity, min(p, affinity.n))), k, config.seed)
     return _first_seen(k_means(vectors[:, ::-1], k, config.seed, config.restarts))
 
 
@@ -435,16 +443,57 @@ def anchored_count(x: np.ndarray, trials: int = 5, speakers: int = 3, samples: i
 def by_size(x: np.ndarray, speakers: int | None = None, config: ClusterConfig = CLUSTER, few: int = 6, counted: int = 80) -> np.ndarray:
     """Automatic spectral clustering that counts small recordings with anchors, and doesn't choose a
     graph for very small ones."""
+    return multi_scale([(x, np.arange(len(x)), 1.0)], speakers, config, few, counted)
+
+
+def multi_scale(scales: list[tuple[np.ndarray, np.ndarray, float]], speakers: int | None = None, config: ClusterConfig = CLUSTER, few: int = 6, counted: int = 80) -> np.ndarray:
+    """by_size on affinities that are fused over scales (vectors, mapping, weight), the finest one last:
+    its windows are clustered."""
+    x = scales[-1][0]
     if len(x) < 2:
         return np.zeros(len(x), int)
     if speakers is None and len(x) <= counted:
         speakers = min(anchored_count(x, config=config), len(x))
+    affinity = Affinity(scales)
     if len(x) <= few:
-        affinity = _minmax(_cosines(x))
-        values, vectors = _dense_spectrum(0.5 * (affinity + affinity.T))
+        whole = affinity.rows(np.arange(len(x)))
+        values, vectors = _dense_spectrum(0.5 * (whole + whole.T))
         k = speakers or int(np.argmax(np.diff(values)[: config.max_speakers])) + 1
         return _first_seen(k_means(vectors[:, :k], k, config.seed, config.restarts))
-    return auto_spectral(x, speakers, config)
+    return _auto(affinity, speakers, config)
+
+
+def nearest_middle(base: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each of base's middles the place of the nearest of other's, the first one of equals."""
+    order = np.argsort(other, kind="stable")
+    ahead = np.searchsorted(other[order], base)
+    best = np.full(len(base), -1)
+    near = np.full(len(base), np.inf)
+    for side in (np.clip(ahead - 1, 0, len(other) - 1), np.clip(ahead, 0, len(other) - 1)):
+        at = order[np.searchsorted(other[order], other[order][side])]
+        far = np.abs(other[at] - base)
+        better = (far < near) | ((far == near) & (at < best))
+        best, near = np.where(better, at, best), np.where(better, far, near)
+    return best
+
+
+def cluster_scales(windows: DataFrame, weights: dict[int, float], speakers: int | None = None, config: ClusterConfig = CLUSTER) -> DataFrame:
+    """(rec, k, label) of the finest scale's windows: windows (rec, scale, k, s, e, embedding) of several
+    scales, the largest number the finest, are mapped to each other by their middles and clustered on
+    the mean of the scales' affinities by weight (scales without a weight don't count)."""
+    finest = max(weights)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        parts = {scale: own.sort_values("k") for scale, own in group.groupby("scale")}
+        if finest not in parts:
+            return pd.DataFrame({"rec": [], "k": [], "label": []})
+        base = parts[finest]
+        middle = lambda own: ((own.s + own.e) / 2).to_numpy()
+        scales = [(np.array(parts[i].embedding.tolist(), dtype=np.float64), nearest_middle(middle(base), middle(parts[i])) if i != finest else np.arange(len(base)), weights[i]) for i in sorted(weights) if i in parts]
+        return pd.DataFrame({"rec": base.rec, "k": base.k, "label": multi_scale(scales, speakers, config) + 1})
+
+    rec = windows.schema["rec"].dataType.simpleString()
+    return windows.where(windows.scale.isin(*weights)).select("rec", "scale", "k", "s", "e", "embedding").groupBy("rec").applyInPandas(one, f"rec {rec}, k int, label int")
 
 
 METHODS["by_size"] = by_size

@@ -553,7 +553,7 @@ def eigenratio_count(s, d):
 
 
 def _features(s, d):
-    return windows(s, d).select("rec", F.col("k").alias("i"), F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    return windows(s, d).select("rec", F.col("k").alias("i"), F.col("embedding").cast("array<double>").alias("x"))
 
 
 _FEAT = "feat AS (SELECT vec_id // 50 AS rec, CAST(vec_id % 50 AS INTEGER) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)"
@@ -565,20 +565,21 @@ _TOP = "top AS (SELECT rec, i, g, row_number() OVER (PARTITION BY rec, i ORDER B
 
 @query("kbm_pool_stats", _with(_FEAT, _POOL, "SELECT rec, g, CAST(d AS INTEGER) AS d, round(mu, 6) AS mu, round(sd, 6) AS sd FROM pool"))
 def kbm_pool_stats(s, d):
-    return _r6(binary_keys.pool_stats(_features(s, d), 10, 4), "mu", "sd")
+    pool = binary_keys.pool(_features(s, d), 10, 4)
+    return _r6(pool.select("rec", "g", F.posexplode(F.arrays_zip("mu", "sd")).alias("d", "x")).select("rec", "g", "d", "x.mu", "x.sd"), "mu", "sd")
 
 
 @query("top_gaussians", _with(_FEAT, _POOL, _LL, _TOP, "SELECT rec, i, g, r FROM top"))
 def top_gaussians(s, d):
     f = _features(s, d)
-    return binary_keys.top_gaussians(binary_keys.log_densities(f, binary_keys.pool_stats(f, 10, 4))).withColumn("r", F.col("r").cast("long"))
+    return binary_keys.top_gaussians(f, binary_keys.pool(f, 10, 4)).withColumn("r", F.col("r").cast("long"))
 
 
 @query("binary_keys", _with(_FEAT, _POOL, _LL, _TOP, """sg AS (SELECT rec, unnest(range(0, max(i), 10)) // 10 AS seg, max(i) AS m FROM feat GROUP BY rec),
 h AS (SELECT sg.rec, seg, g, count(*) AS n FROM sg JOIN top ON top.rec = sg.rec AND i BETWEEN seg * 10 AND seg * 10 + 14 GROUP BY sg.rec, seg, g)""", "SELECT rec, seg, g, round(n / sum(n) OVER (PARTITION BY rec, seg), 6) AS cv, row_number() OVER (PARTITION BY rec, seg ORDER BY n DESC, g) <= 2 AS bit FROM h"))
 def binary_key_vectors(s, d):
     f = _features(s, d)
-    top = binary_keys.top_gaussians(binary_keys.log_densities(f, binary_keys.pool_stats(f, 10, 4)))
+    top = binary_keys.top_gaussians(f, binary_keys.pool(f, 10, 4))
     seg = f.groupBy("rec").agg(F.max("i").alias("m")).where("m > 0").select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / 10))).alias("seg"))
     return _r6(binary_keys.keys(seg.select("rec", "seg", (F.col("seg") * 10).alias("bbeg"), (F.col("seg") * 10 + 14).alias("eend")), top, 10, bin_frames=10), "cv")
 
@@ -1003,6 +1004,17 @@ def cluster_by_size(s, d):
     return clustering.cluster(windows(s, d), "by_size")
 
 
+@query("cluster_multiscale")
+def cluster_multiscale(s, d):
+    """Two scales: windows, and the means of neighbouring ones over the same stretch of time."""
+    w = windows(s, d).select("rec", "k", (F.col("k") * 12000).alias("s"), (F.col("k") * 12000 + 24000).alias("e"), "embedding")
+    each = w.select("rec", F.floor(F.col("k") / 2).cast("int").alias("k"), "s", "e", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    means = each.groupBy("rec", "k", "d").agg(F.avg("x").alias("x"), F.min("s").alias("s"), F.max("e").alias("e"))
+    coarse = means.groupBy("rec", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda y: y.x).cast("array<float>").alias("embedding"))
+    both = coarse.withColumn("scale", F.lit(0)).unionByName(w.withColumn("scale", F.lit(1)))
+    return clustering.cluster_scales(both, {0: 1.0, 1: 1.0})
+
+
 @query("legacy_diarize")
 def legacy_diarize(s, d):
     f = windows(s, d).select("rec", F.col("k").alias("i"), F.col("embedding").cast("array<double>").alias("mfcc"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocaris.operators import framing, identify, similarity, store, turns
+from vocaris.operators import binary_keys, framing, identify, similarity, store, turns, vad
 from vocaris.plans.pipelines import DIARIZE, DiarizeConfig, diarize, speech_windows
 from vocaris.sources import audio
 from vocaris.sources.shared import cut
@@ -51,6 +51,29 @@ def diarize_audio(recordings: DataFrame, speech: Model, voice: Model, config: Di
     return diarize(cut(embedded_windows(recordings, speech, voice, config)), config)
 
 
+def legacy_turns(recordings: DataFrame, detector: Callable[[bytes, int], bool], speakers: int | None = None, hop: int = 30, shift: float = 0.01, least: int = 30, **settings: int) -> DataFrame:
+    """Turns (rec, seg, s, e, label), in seconds, of recordings (path, samples) by the binary-key run:
+    coefficients of every frame, the detector's speech as a mask over them, labels of the speech frames,
+    and runs of labels. Where only one speaker comes out, or there is one segment of speech only, the
+    whole recording is one turn; a recording without speech has none."""
+    recs = with_rec(recordings)
+    frames = cut(audio.features(recordings).select(F.xxhash64("path").alias("rec"), F.col("i").cast("long").alias("i"), "mfcc"))
+    heard = audio.frame_speech(recordings, detector, hop=hop).select(F.xxhash64("path").alias("rec"), F.col("i").cast("long").alias("i"), "speech")
+    voiced = vad.runs(heard, F.col("speech") == 1)
+    # a run of frames is one of samples, [first, last] of them
+    size = audio.RATE * hop // 1000
+    seconds = vad.run_seconds(voiced.select("rec", "run", (F.col("first") * size).alias("first"), ((F.col("last") + 1) * size - 1).alias("last")), audio.RATE)
+    mask = vad.mask_of_seconds(frames.select("rec", "i"), seconds, shift).where("speech = 1").select("rec", "i")
+    labelled = cut(binary_keys.diarize(frames.join(mask, ["rec", "i"]).select("rec", F.col("i").cast("int").alias("i"), "mfcc"), speakers=speakers, **settings))
+    names = labelled.groupBy("rec").agg(F.count_distinct("label").alias("names"))
+    several = frames.select("rec", "i").join(names.where("names > 1"), "rec").join(labelled.withColumn("i", F.col("i").cast("long")), ["rec", "i"], "left").select("rec", "i", F.coalesce("label", F.lit(0)).alias("label"))
+    found = turns.frame_labels_to_turns(several, least)
+    many = found.select("rec", F.col("turn").alias("seg"), (F.col("first") * shift).alias("s"), ((F.col("first") + F.col("n")) * shift).alias("e"), F.col("label").cast("string").alias("label"))
+    length = frames.groupBy("rec").agg(((F.max("i") + 1) * shift).alias("e"))
+    alone = names.where("names = 1").join(length, "rec").select("rec", F.lit(1).alias("seg"), F.lit(0.0).alias("s"), "e", F.lit("1").alias("label"))
+    return many.unionByName(alone).join(recs.select("rec").distinct(), "rec", "left_semi")
+
+
 def results(found: DataFrame, digits: int = 2) -> DataFrame:
     """(rec, result): the wire document of each recording's turns."""
     return turns.json_result(found, digits)
