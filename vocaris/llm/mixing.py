@@ -3,25 +3,23 @@
 A source's target is its share of all words by weight, at most ``cap`` times the words it has; what
 a capped source can't use is shared again by weight until no target is above its cap. A document of a
 source with target / size = r is taken floor(r) times for sure and once more with probability
-p = r - floor(r), but not independently. Documents meet in blocks, the largest first: a document of
-size s is paired with the rest of its block, of size t together, and either
-
-    p becomes 1 and every other probability falls by s (1 - p) / t, or
-    p becomes 0 and every other probability rises by s p / t,
-
-chosen with probabilities p and 1 - p. So words of expectation move until the larger side of the pair is
-integral, each document's expectation stays, and so does the sum of s p. Where a probability would leave
-[0, 1] it ends at the bound, and the words that it couldn't take are passed on; a document whose words
-the rest of its source has no room for one way is rounded the other way. The smallest document of a
-block is left, with what is undecided: a source's words miss its target by about the size of its
-smallest documents.
-
-The blocks form a reduction tree: about ``block`` documents of a source, by a hash of the row, are
-folded inside one expression, and the documents that they leave are the rows of the next level. However
-large a source is, a block is small, and the levels grow with its logarithm. A block can only make up
-for sizes like its own, so each tier of sizes (a factor of ``tier``) has a tree of its own, the largest
-first, and what a tier took too much or too little is spread over all smaller documents of the source
-before they are folded. All random choices are hashes of the row, the level and the seed: reruns agree.
+p = r - floor(r), but not independently.
+
+About ``block`` documents of a source, by a hash of the row, are folded together, the largest first. All
+have one p. A document of size s is paired with the rest of its block, of size t together; words of
+expectation move between the two until one side is integral:
+
+    a = min(s (1 - p), t p) words to the document, with probability b / (a + b), or
+    b = min(s p, t (1 - p)) words from it, with probability a / (a + b).
+
+The rest gives or takes by the same change of p for each, so that it keeps one p, which the next smaller
+document meets. Every document's expectation stays as it is, and so does the sum of s p. Mostly the
+document is decided and the rest goes on; where the rest is too small for that, it is decided as a whole.
+One document of each block is left undecided, the smallest one as a rule. These meet in the next level
+of the tree, in pairs of their own probabilities, and so on; the last one of a source is decided alone,
+and its size is all that a source's words can miss their target by. A block is small however large a
+source is, and the levels grow with its logarithm. All random choices are hashes of the row, the level
+and the seed: reruns agree.
 
 Defined cases: a null text has size 0; documents without words take 0 words; null is a source of its
 own, the last; rows that agree in id, source and size are told apart by a running number, and the
@@ -34,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,8 +48,7 @@ class Settings:
     weights: tuple[float, ...] = (5, 2, 1)
     cap: int = 3
     share: float = 1.0
-    block: int = 64
-    tier: int = 8  # ratio of sizes that are folded together
+    block: int = 1024  # documents that are folded in one expression
     most_broadcast: int = 50_000  # sources whose figures are sent to every task; more are joined by salted keys
     salts: int = 64
     seed: int = 17
@@ -113,40 +109,69 @@ def _of_source(rows: DataFrame, figures: DataFrame, count: int, settings: Settin
 _OUT = "array<struct<at:int,x:int,p:double>>"
 
 
+def _snapped(p: Column) -> Column:
+    return F.when(p <= _NEAR, 0.0).when(p >= 1 - _NEAR, 1.0).otherwise(p)
+
+
+def _entry(at: Column, p: Column) -> Column:
+    """Decided where p is 0 or 1."""
+    return F.struct(at.alias("at"), F.when((p <= 0) | (p >= 1), p).cast("int").alias("x"), p.alias("p"))
+
+
 def _fold(items: Column) -> Column:
-    """One block, largest document first: for each its place and x (decided), the last one's new p in
-    place of x; and the words that no probability could take."""
-    count = F.size(items)
-
-    def step(s: Column, it: Column) -> Column:
-        def decided(p: Column) -> Column:
-            last = it["at"] == count - 1
-            # rounding that the smaller documents of the source couldn't make up for isn't left to chance
-            down, up = it.s * p > (1 - p) * it.room / 2, it.s * (1 - p) > p * it.room / 2
-            x = F.when(down & ~up, 1).when(up & ~down, 0).when(it.u < p, 1).otherwise(0)
-            entry = F.struct(it["at"].alias("at"), F.when(~last, x).cast("int").alias("x"), F.when(last, p).alias("p"))
-            over = s["over"] + it.s * (F.when(last, p).otherwise(x.cast("double")) - it.p)
-            return F.struct(over.alias("over"), (s.rest - it.s).alias("rest"), F.concat(s.out, F.array(entry)).cast(_OUT).alias("out"))
-
-        return _let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), it.p - s["over"] / s.rest)), decided)
-
-    numbered = F.transform(items, lambda x, k: F.struct(k.cast("int").alias("at"), x.p.alias("p"), x.size.cast("double").alias("s"), x.u.alias("u"), x.room.alias("room")))
-    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x.size)
-    over = F.aggregate(items, F.lit(0.0), lambda a, x: a + x["over"])
-    start = F.struct(over.alias("over"), total.alias("rest"), F.array().cast(_OUT).alias("out"))
-    return F.aggregate(numbered, start, step)
-
-
-def _level(rows: DataFrame, level: int, blocks: Column, settings: Settings) -> DataFrame:
-    """One level of the tree: every row with x (decided) or a new p and words passed on (x null)."""
+    """A block of documents of one p, the largest first: each against all that come after it."""
+
+    def step(state: Column, it: Column) -> Column:
+        p, s, t = state.p, it.s, state.rest - it.s
+        a, b = F.least(s * (1 - p), t * p), F.least(s * p, t * (1 - p))
+        moved = F.when((p <= 0) | (p >= 1) | (t < 0.5), 0.0).when(it.u * (a + b) < b, a).otherwise(-b)
+        return _let(moved, lambda m: F.struct((state.rest - s).alias("rest"), _snapped(p - F.when(t < 0.5, 0.0).otherwise(m / t)).alias("p"), F.concat(state.out, F.array(_entry(it["at"], _snapped(p + m / s)))).cast(_OUT).alias("out")))
+
+    numbered = F.transform(items, lambda x, k: F.struct(k.cast("int").alias("at"), x["size"].cast("double").alias("s"), x.u.alias("u")))
+    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x["size"])
+    start = F.struct(total.alias("rest"), F.element_at(items, 1).p.alias("p"), F.array().cast(_OUT).alias("out"))
+    return F.aggregate(numbered, start, step).out
+
+
+def _fold_pairs(items: Column) -> Column:
+    """A block of documents with probabilities of their own: the one that is undecided so far against each."""
+    held = "struct<at:int,s:double,p:double>"
+
+    def step(state: Column, it: Column) -> Column:
+        c = state.held
+        a, b = F.least(c.s * (1 - c.p), it.s * it.p), F.least(c.s * c.p, it.s * (1 - it.p))
+        moved = F.when(it.u * (a + b) < b, a).otherwise(-b)
+
+        def after(m: Column) -> Column:
+            pair = F.array(F.struct(c["at"].alias("at"), c.s.alias("s"), _snapped(c.p + m / c.s).alias("p")), F.struct(it["at"].alias("at"), it.s.alias("s"), _snapped(it.p - m / it.s).alias("p")))
+            open_ = F.filter(pair, lambda x: (x.p > 0) & (x.p < 1))
+            done = F.transform(F.filter(pair, lambda x: (x.p <= 0) | (x.p >= 1)), lambda x: _entry(x["at"], x.p))
+            return F.struct(F.get(open_, F.lit(0)).cast(held).alias("held"), F.concat(state.out, done).cast(_OUT).alias("out"))
+
+        alone = F.struct(F.struct(it["at"].alias("at"), it.s.alias("s"), it.p.alias("p")).cast(held).alias("held"), state.out.alias("out"))
+        return F.when(c.isNull(), alone).otherwise(_let(moved, after))
+
+    numbered = F.transform(items, lambda x, k: F.struct(k.cast("int").alias("at"), x["size"].cast("double").alias("s"), x.p.alias("p"), x.u.alias("u")))
+    start = F.struct(F.lit(None).cast(held).alias("held"), F.array().cast(_OUT).alias("out"))
+    end = F.aggregate(numbered, start, step)
+    return F.when(end.held.isNull(), end.out).otherwise(F.concat(end.out, F.array(_entry(end.held["at"], end.held.p))).cast(_OUT))
+
+
+_FIGURES = ("source_size", "target", "rows")
+
+
+def _level(rows: DataFrame, level: int, settings: Settings) -> DataFrame:
+    """One level of the tree: every row with x (decided), or with its p then (x null)."""
     salt = F.lit(settings.seed * 1000 + level)
+    blocks = F.ceil(F.col("rows") / F.lit(settings.block ** (level + 1))).cast("long")
     block = F.pmod(F.xxhash64("i", "c", "size", salt), blocks)
     placed = rows.withColumn("b", block).withColumn("u", _uniform(F.col("i"), F.col("c"), F.col("size"), salt, F.lit("pair")))
-    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("i", "c", "size", salt).alias("h"), "i", "c", "size", "p", "u", "over", "rows", "base", "p0", "room")
-    groups = placed.groupBy("source", "b").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    each = groups.withColumn("f", _fold(F.col("items"))).select("source", "items", "f.over", F.explode("f.out").alias("o"))
+    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("i", "c", "size", salt).alias("h"), "i", "c", "size", "p", "u", "base")
+    # the figures are the same in all rows of a source
+    groups = placed.groupBy("source", "b").agg(F.sort_array(F.collect_list(item)).alias("items"), *[F.max(c).alias(c) for c in _FIGURES])
+    each = groups.select("source", "items", *_FIGURES, F.explode((_fold if level == 0 else _fold_pairs)(F.col("items"))).alias("o"))
     at = F.element_at("items", F.col("o.at") + 1)
-    return each.select("source", *[at[c].alias(c) for c in ("i", "c", "size", "rows", "base", "p0", "room")], "o.p", "o.x", F.when(F.col("o.x").isNull(), F.col("over")).otherwise(0.0).alias("over"))
+    return each.select("source", *[at[c].alias(c) for c in ("i", "c", "size", "base")], *_FIGURES, "o.p", "o.x")
 
 
 def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: Settings = SETTINGS) -> DataFrame:
@@ -154,46 +179,32 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     for its size."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(df.select(F.col(id_col).alias("i"), F.col(source_col).alias("source"), size.alias("size")).groupBy("i", "source", "size").agg(F.count(F.lit(1)).alias("m")))
-    sources = cut(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), settings))
-    count = sources.count()
+    words, rows_ = F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("m")).otherwise(0)).alias("rows")
+    totals = cut(sized.groupBy("source").agg(words, rows_))
+    sources = cut(targets(totals, settings))
+    most = sources.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows")).first()
 
     r = F.col("rate")
     rate = F.when(F.abs(r - F.round(r)) < _NEAR, F.round(r)).otherwise(r)
     items = (
-        _of_source(sized, sources.select("source", "rate"), count, settings)
-        .select("i", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("c"), F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("p"))
+        _of_source(sized, sources.select("source", "rate", *_FIGURES), most.n, settings)
+        .select("i", "source", "size", *_FIGURES, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("c"), F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("p"))
     )
     sure = (F.col("size") == 0) | (F.col("p") <= 0)
-    done = [items.where(sure).select("i", "source", "size", "base", F.lit(0).alias("x"))]
-    open_ = items.where(~sure).withColumn("tier", F.floor(F.log(F.col("size").cast("double")) / F.lit(log(settings.tier)) + F.lit(_NEAR)).cast("int"))
-    tiers = cut(open_.groupBy("source", "tier").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
-    over = None  # words that each source has taken too many so far
-    for tier in sorted((t.tier, t.rows) for t in tiers.groupBy("tier").agg(F.max("rows").alias("rows")).collect())[::-1]:
-        below = tiers.where(F.col("tier") <= tier[0]).groupBy("source").agg(F.sum("words").alias("words"), F.max(F.when(F.col("tier") == tier[0], F.col("rows"))).alias("rows"))
-        if over is not None:
-            below = below.join(over.withColumnRenamed("source", "__o"), F.col("source").eqNullSafe(F.col("__o")), "left")
-        moved = (F.coalesce("over", F.lit(0.0)) if over is not None else F.lit(0.0)) / F.col("words")
-        shift = cut(below.where("rows is not null").select("source", "rows", moved.alias("shift"), F.col("words").alias("room")))
-        rows = _of_source(open_.where(F.col("tier") == tier[0]), shift, count, settings).select("i", "source", "size", "c", "base", "rows", "room", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("shift"))).alias("p"), F.col("p").alias("p0"), F.lit(0.0).alias("over"))
-        found, level = [], 0
-        while True:
-            blocks = F.ceil(F.col("rows") / F.lit(settings.block ** (level + 1))).cast("long")
-            rows = cut(_level(rows, level, blocks, settings))
-            found.append(rows.where("x is not null").select("i", "source", "size", "base", "x", "p0"))
-            rows = rows.where("x is null").drop("x")
-            if tier[1] <= settings.block ** (level + 1):
-                break
-            level += 1
-        # one document of each source at most is left in a tier, which its probability decides alone
-        last = F.when(_uniform(F.col("i"), F.col("c"), F.col("size"), F.lit(settings.seed), F.lit("last")) < F.col("p"), 1).otherwise(0)
-        found.append(rows.select("i", "source", "size", "base", last.alias("x"), "p0"))
-        decided = reduce(DataFrame.unionByName, found)
-        done.append(decided.drop("p0"))
-        excess = decided.select("source", (F.col("size") * (F.col("x") - F.col("p0"))).alias("over"))
-        over = cut((excess if over is None else excess.unionByName(over)).groupBy("source").agg(F.sum("over").alias("over")))
-    decided = _of_source(reduce(DataFrame.unionByName, done), sources.drop("rate"), count, settings)
+    out = ["i", "source", "size", "source_size", "target", "base", "x"]
+    done = [items.where(sure).withColumn("x", F.lit(0)).select(out)]
+    rows, level = items.where(~sure), 0
+    while True:
+        rows = cut(_level(rows, level, settings))
+        done.append(rows.where("x is not null").select(out))
+        rows, level = rows.where("x is null").drop("x"), level + 1
+        if (most.rows or 0) <= settings.block**level:
+            break
+    # at most one document of each source is left, which its probability decides alone
+    last = F.when(_uniform(F.col("i"), F.col("c"), F.col("size"), F.lit(settings.seed), F.lit("last")) < F.col("p"), 1).otherwise(0)
+    done.append(rows.withColumn("x", last).select(out))
     copies = (F.col("base") + F.col("x")).cast("int")
-    return decided.select(F.col("i").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return reduce(DataFrame.unionByName, done).select(F.col("i").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: Settings = SETTINGS) -> DataFrame:
