@@ -167,7 +167,7 @@ def test_normalised_embedding_parts_blocks():
 
 
 def test_top_k_over_tiles_chunks_and_strips(spark, monkeypatch):
-    for name, value in (("TILE_POINTS", 40), ("CHUNK_QUERIES", 16), ("BLOCK_ROWS", 8), ("STRIP_CELLS", 64)):
+    for name, value in (("TILE_POINTS", 40), ("CHUNK_QUERIES", 16), ("STRIP_CELLS", 64)):
         monkeypatch.setattr(similarity, name, value)
     rng = np.random.default_rng(5)
     p, q = rng.integers(-2, 3, (150, 4)).astype(float), rng.integers(-2, 3, (50, 4)).astype(float)

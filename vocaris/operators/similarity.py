@@ -16,57 +16,54 @@ from pyspark.sql import types as T
 
 from vocaris.functions.vector import as_doubles, dot, unit
 
-#: Points and queries that one group holds, rows of a packed block, and scores in memory at a time.
+#: Points and queries that one group holds, and scores in memory at a time.
 TILE_POINTS = 100_000
 CHUNK_QUERIES = 8192
-BLOCK_ROWS = 1024
 STRIP_CELLS = 4_000_000
 
 
-def _packed(rows: DataFrame, key: str, count: int) -> DataFrame:
-    """(ids, parts, vectors) of about BLOCK_ROWS rows (key, part, vector) each."""
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    placed = rows.select(F.col(key).cast("long").alias("id"), "part", as_doubles(F.col("vector")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
-    grouped = placed.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "part", "v"))).alias("x"))
-    return grouped.select("b", F.col("x.id").alias("ids"), F.col("x.part").alias("parts"), F.flatten("x.v").alias("vectors"))
+def _unit_rows(column: pa.ListArray) -> np.ndarray:
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def _unit_rows(flat: np.ndarray, n: int) -> np.ndarray:
-    v = flat.reshape(n, -1)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+def _answers(ids: np.ndarray, v: np.ndarray, points: list[tuple[str, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's own k best of each part, strip by strip of points."""
+    for name, own_ids, own in points:
+        strip = max(k, STRIP_CELLS // len(ids))
+        best, of = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for a in range(0, len(own_ids), strip):
+            b = min(a + strip, len(own_ids))
+            best = np.concatenate((best, v @ own[a:b].T), axis=1)
+            of = np.concatenate((of, np.broadcast_to(own_ids[a:b], (len(ids), b - a))), axis=1)
+            # scores that agree to 12 digits are ties, which fall to the smaller point
+            order = np.lexsort((of, -np.round(best, 12)), axis=1)[:, :k] if best.shape[1] <= 4 * k else _k_best(best, of, k)
+            best, of = np.take_along_axis(best, order, axis=1), np.take_along_axis(of, order, axis=1)
+        n = best.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(of.ravel()), pa.array([name] * of.size, pa.string()), pa.array(best.ravel())], names=["query", "point", "part", "score"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Blocks (tile, chunk, kind, ids, parts, vectors), a tile's points before the chunk's queries. Each
-    query keeps its own k best of each part, strip by strip of points."""
+    """Rows (tile, chunk, kind, id, part, vector) in order, a tile's points before the chunk's queries,
+    which are answered a batch at a time."""
     at, held, points = None, [], None
-    for batch in batches:
-        for row in range(batch.num_rows):
-            key, kind = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py()), batch.column(2)[row].as_py()
-            if key != at:
-                at, held, points = key, [], None
-            ids = batch.column(3)[row].values.to_numpy()
-            unit_ = _unit_rows(batch.column(5)[row].values.to_numpy(zero_copy_only=False), len(ids))
-            if kind == 0:
-                held.append((ids, np.array(batch.column(4)[row].as_py(), dtype=str), unit_))
+    for b in batches:
+        tile, chunk, kind, ids = (b.column(c).to_numpy() for c in range(4))
+        new = (tile[1:] != tile[:-1]) | (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])
+        cuts = np.flatnonzero(np.concatenate(([True], new))) if len(tile) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(tile)]):
+            if (tile[lo], chunk[lo]) != at:
+                at, held, points = (tile[lo], chunk[lo]), [], None
+            v = _unit_rows(b.column(5).slice(lo, hi - lo))
+            if kind[lo] == 0:
+                held.append((ids[lo:hi], np.array(b.column(4).slice(lo, hi - lo).to_pylist(), dtype=str), v))
                 continue
             if points is None:
                 if not held:
                     continue
-                all_ids, parts, v = (np.concatenate(x) for x in zip(*held))
-                points, held = [(name, all_ids[own], v[own]) for name in np.unique(parts) for own in [np.flatnonzero(parts == name)]], []
-            for name, own_ids, v in points:
-                strip = max(k, STRIP_CELLS // len(ids))
-                best, of = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-                for a in range(0, len(own_ids), strip):
-                    b = min(a + strip, len(own_ids))
-                    best = np.concatenate((best, unit_ @ v[a:b].T), axis=1)
-                    of = np.concatenate((of, np.broadcast_to(own_ids[a:b], (len(ids), b - a))), axis=1)
-                    # scores that agree to 12 digits are ties, which fall to the smaller point
-                    order = np.lexsort((of, -np.round(best, 12)), axis=1)[:, :k] if best.shape[1] <= 4 * k else _k_best(best, of, k)
-                    best, of = np.take_along_axis(best, order, axis=1), np.take_along_axis(of, order, axis=1)
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(of.ravel()), pa.array([str(name)] * of.size, pa.string()), pa.array(best.ravel())], names=["query", "point", "part", "score"])
+                all_ids, parts, all_v = (np.concatenate(x) for x in zip(*held))
+                points, held = [(str(name), all_ids[own], all_v[own]) for name in np.unique(parts) for own in [np.flatnonzero(parts == name)]], []
+            yield from _answers(ids[lo:hi], v, points, k)
 
 
 def _k_best(score: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
@@ -91,11 +88,11 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 10, partition: str | N
     n, m = points.count(), queries.count()
     tiles, chunks = max(1, -(-n // TILE_POINTS)), max(1, -(-m // CHUNK_QUERIES))
     part = F.col(partition).cast("string") if partition else F.lit("")
-    of_points = _packed(points.withColumn("part", F.coalesce(part, F.lit(""))).select("point", "part", "vector"), "point", n)
-    of_queries = _packed(queries.withColumn("part", F.lit("")).select("query", "part", "vector"), "query", m)
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    rows = of_points.select(F.pmod("b", F.lit(tiles)).alias("tile"), every(chunks).alias("chunk"), F.lit(0).alias("kind"), "ids", "parts", "vectors").unionByName(
-        of_queries.select(every(tiles).alias("tile"), F.pmod("b", F.lit(chunks)).alias("chunk"), F.lit(1).alias("kind"), "ids", "parts", "vectors")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))) if count > 1 else F.lit(0)
+    own = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    row = lambda key, part_: (F.col(key).cast("long").alias("id"), part_.alias("part"), as_doubles(F.col("vector")).alias("vector"))
+    rows = points.select(own("point", tiles).alias("tile"), every(chunks).alias("chunk"), F.lit(0).alias("kind"), *row("point", F.coalesce(part, F.lit("")))).unionByName(
+        queries.select(every(tiles).alias("tile"), own("query", chunks).alias("chunk"), F.lit(1).alias("kind"), *row("query", F.lit("")))
     )
     fields = [T.StructField("query", T.LongType()), T.StructField("point", T.LongType()), T.StructField("part", T.StringType()), T.StructField("score", T.DoubleType())]
     hits = rows.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "kind").mapInArrow(lambda batches: _search(batches, k), T.StructType(fields))

@@ -1,18 +1,5 @@
-"""Schemas of the logical tables as Spark DDL, declared once."""
+"""Schemas of tables that are read from outside, as Spark DDL."""
 
 from __future__ import annotations
 
 RECORDINGS = "path string, sr int, channels int, samples array<short>"
-SCORES = "rec bigint, i int, p double"
-UTTERANCES = "rec bigint, utt int, s bigint, e bigint"
-WINDOWS = "rec bigint, k int, s bigint, e bigint, embedding array<float>"
-TURNS = "rec bigint, seg int, s double, e double, label string"
-VOICEPRINTS = (
-    "collection string, point_id string, vector array<float>, payload struct<speaker_id:string,name:string,person:string,organization_id:string,studio_collection_id:string,model_id:string,updated_at:string>"
-)
-COLLECTIONS = "collection string, dim int, distance string, model_id string"
-HITS = "query bigint, ord bigint, score double, speaker_id string, name string"
-JOBS = "file string, speaker_count int, max_speaker int, speaker_names string"
-SERVICES = (
-    "service_name string, host_name string, service_type string, service_language string, queue_name string, version string, info string, last_alive bigint, concurrency int"
-)
