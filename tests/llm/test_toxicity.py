@@ -75,7 +75,7 @@ def brute_scores(rows, learnt, s):
 
 
 def test_scores_equal_brute_force(spark):
-    s = dataclasses.replace(toxicity.SETTINGS, bits=12, steps=40)
+    s = dataclasses.replace(toxicity.SETTINGS, bits=12, steps=40, folds=0)
     rows = [(i, t[:300], y) for i, t, y in made(7, 90)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
@@ -85,6 +85,32 @@ def test_scores_equal_brute_force(spark):
     assert np.allclose([got[i].score for i, _, _ in rows], brute_scores(rows, learnt, s), atol=1e-4)
 
 
+def test_the_intercept_is_set_by_left_out_rows(spark):
+    """The shift equals that of fits by brute force with each part left out."""
+    s = dataclasses.replace(toxicity.SETTINGS, bits=12, steps=40, least_z=2.5)
+    rows = [(i, t[:400], y) for i, t, y in made(11, 120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    parts = {r.doc_id: r.k for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(s.seed + 1)), F.lit(3)).alias("k")).collect()}
+    logit = lambda p: np.log(p / (1 - p))
+    z = np.zeros(len(rows))
+    for k in range(3):
+        scores = brute_scores(rows, {i for i in parts if parts[i] != k}, s)
+        own = [j for j, r in enumerate(rows) if parts[r[0]] == k]
+        z[own] = logit(scores[own])
+    want = logit(0.7) - toxicity.best_cut(z, np.array([r[2] for r in rows], dtype=float), np.ones(len(rows)))
+    model, plain = (toxicity.learn(docs, labels, settings=x) for x in (s, dataclasses.replace(s, folds=0)))
+    assert np.isclose(model.intercept - plain.intercept, want, atol=1e-3) and np.allclose(model.weights, plain.weights, atol=1e-5)
+
+
+def test_best_cut_by_hand():
+    z, y = np.array([3.0, 2.0, 1.0, 0.0, -1.0]), np.array([1.0, 1, 0, 1, 0])
+    assert toxicity.best_cut(z, y, np.ones(5)) == -0.5  # 3 hits and 1 miss: F1 6/7
+    assert toxicity.best_cut(z, y, np.where(y == 1, 1.0, 10.0)) == 1.5  # a clean row stands for ten
+    assert toxicity.best_cut(np.array([9.0, 8, 1, 0]), np.array([1.0, 1, 0, 0]), np.ones(4)) == 4.5
+    assert toxicity.best_cut(np.array([1.0, 1.0]), np.array([1.0, 0]), np.ones(2)) == 1.0
+
+
 def test_sample_is_bounded_in_rows(spark):
     rows = made(8, 150)
     hot = [(0, f"{t} {k}") for k, (_, t, _) in enumerate(rows)] * 3

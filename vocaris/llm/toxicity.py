@@ -10,6 +10,12 @@ same. Features whose shares of the two classes don't differ significantly (a two
 below ``Settings.least_z``) are left out: they carry no evidence, and in long texts their noise
 would add up.
 
+The intercept says where the threshold lies. The fit's own makes both classes weigh the same, which is no
+cut between them. So the fit is repeated with each of ``Settings.folds`` parts of the training sample left
+out, counts, ratios and selection included, and the intercept is moved so that the score is
+``Settings.threshold`` at the value that parts left-out rows best: the largest F1, clean rows weighing as
+many as they stand for; of equally good values the middle of the widest gap.
+
 The fit uses a sample of the labelled ids that is bounded by ``Settings.per_class`` for each label
 (a hash of the id below a threshold), one row of each; every text is scored whole.
 
@@ -48,6 +54,7 @@ class Settings:
     penalty: float = 1e-3
     steps: int = 150
     threshold: float = 0.7
+    folds: int = 3  # for the intercept; 0 leaves the fit's own
     seed: int = 11
 
 
@@ -132,29 +139,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # at most about 2 x per_class ids and as many rows, whatever the tables' sizes
     chosen = texts.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    sample = cut(chosen.select("y", "t"))
+    folds = max(1, settings.folds)
+    sample = cut(chosen.select("y", "t", F.pmod(F.xxhash64("i", F.lit(settings.seed + 1)), F.lit(folds)).cast("int").alias("k")))
     bits = settings.bits
+    names = [f"{c}{k}" for c in "qp" for k in range(folds)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros((2, 1 << bits), dtype=np.int64)
+        tally = np.zeros((2 * folds, 1 << bits), dtype=np.int32)
         for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tally[y, features(t.as_py(), settings)] += 1
+            for y, t, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                tally[y * folds + k, features(t.as_py(), settings)] += 1
         seen = np.flatnonzero(tally.any(axis=0))
         for at in range(0, len(seen), 1 << 16):
             f = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(tally[1, f]), pa.array(tally[0, f])], names=["f", "p", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), *[pa.array(tally[j, f].astype(np.int64)) for j in range(2 * folds)]], names=["f", *names])
 
-    numbers = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(numbers) < 2:
+    of_part = {(r.y, r.k): r.n for r in sample.groupBy("y", "k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbers = np.array([[of_part.get((y, k), 0) for k in range(folds)] for y in (0, 1)])
+    if not numbers.sum(1).all():
         return Model(settings)
-    table = sample.mapInArrow(count, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= settings.least_texts)
-    # of at most 2 ** bits features, the significant ones
-    counts = table.where(F.abs(significance(F.col("p"), F.col("q"), numbers[1], numbers[0])) >= settings.least_z).toPandas()
+    table = sample.mapInArrow(count, "f int, " + ", ".join(f"{c} long" for c in names)).groupBy("f").agg(*[F.sum(c).alias(c) for c in names])
+    # the whole sample, and each part left out, where both classes are left
+    cuts = [np.ones(folds, bool)]
+    if settings.folds > 1:
+        cuts += [np.arange(folds) != k for k in range(folds)]
+    cuts = [c for c in cuts if (numbers[:, c].sum(1) > 0).all()]
+    sums = lambda c, used: sum((F.col(f"{c}{k}") for k in np.flatnonzero(used)), F.lit(0))
+    wanted = [(sums("p", c) + sums("q", c) >= settings.least_texts) & (F.abs(significance(sums("p", c), sums("q", c), int(numbers[1, c].sum()), int(numbers[0, c].sum()))) >= settings.least_z) for c in cuts]
+    chosen_by = [w.alias(f"w{j}") for j, w in enumerate(wanted)]
+    # of at most 2 ** bits features, those that are significant in one of them
+    counts = table.select("f", *names, *chosen_by).where(" or ".join(f"w{j}" for j in range(len(cuts)))).toPandas().sort_values("f")
     ids = counts.f.to_numpy()
-    ratio = log_count_ratios(counts.p.to_numpy(np.float64), counts.q.to_numpy(np.float64), numbers[1], numbers[0], settings.smoothing)
-    order = np.argsort(ids)
-    ids, ratio = ids[order], ratio[order]
     index = np.full(1 << bits, -1, dtype=np.int32)
     index[ids] = np.arange(len(ids))
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -163,16 +178,53 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         where = shared.value
         for batch in batches:
             found = [where[features(t.as_py(), settings)] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], names=["y", "k", "x"])
 
     # the bounded sample, in an order that doesn't depend on tasks
-    gathered = sorted(sample.mapInArrow(thin, "y int, x binary").collect(), key=lambda r: (r.y, bytes(r.x)))
+    gathered = sorted(sample.mapInArrow(thin, "y int, k int, x binary").collect(), key=lambda r: (r.y, bytes(r.x), r.k))
     shared.destroy()
     rows = [np.frombuffer(r.x, dtype=np.int32) for r in gathered]
-    theta, intercept = fit_logistic(rows, np.array([r.y for r in gathered], dtype=np.float64), ratio, settings)
-    weights = np.zeros(1 << bits, dtype=np.float32)
-    weights[ids] = theta * ratio
-    return Model(settings, intercept, weights)
+    y, part = np.array([r.y for r in gathered], dtype=np.float64), np.array([r.k for r in gathered])
+
+    def fitted(j: int, cut_: np.ndarray) -> tuple[np.ndarray, float]:
+        used = counts[f"w{j}"].to_numpy(dtype=bool)
+        p, q = (counts[[f"{c}{k}" for k in np.flatnonzero(cut_)]].sum(axis=1).to_numpy(np.float64) for c in "pq")
+        ratio = log_count_ratios(p[used], q[used], int(numbers[1, cut_].sum()), int(numbers[0, cut_].sum()), settings.smoothing)
+        place = np.full(len(ids), -1)
+        place[used] = np.arange(used.sum())
+        own = cut_[part]
+        theta, intercept = fit_logistic([(x := place[r])[x >= 0] for r, o in zip(rows, own) if o], y[own], ratio, settings)
+        weights = np.zeros(len(ids))
+        weights[used] = theta * ratio
+        return weights, intercept
+
+    weights, intercept = fitted(0, cuts[0])
+    left_out = np.full(len(rows), np.nan)
+    for j, cut_ in enumerate(cuts[1:], start=1):
+        w, b = fitted(j, cut_)
+        for i in np.flatnonzero(~cut_[part]):
+            left_out[i] = w[rows[i]].sum() + b
+    there = ~np.isnan(left_out)
+    if 0 < y[there].sum() < there.sum():
+        stands_for = np.array([sizes[0] / numbers[0].sum(), sizes[1] / numbers[1].sum()])
+        intercept += np.log(settings.threshold / (1 - settings.threshold)) - best_cut(left_out[there], y[there], stands_for[y[there].astype(int)])
+    full = np.zeros(1 << bits, dtype=np.float32)
+    full[ids] = weights
+    return Model(settings, intercept, full)
+
+
+def best_cut(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The value between two z that parts the labels with the largest F1, in the widest gap of equals."""
+    order = np.argsort(-z, kind="stable")
+    z, hit, miss = z[order], np.cumsum((labels * weights)[order]), np.cumsum(((1 - labels) * weights)[order])
+    f1 = 2 * hit / (hit + miss + hit[-1])
+    gap = np.append(z[:-1] - z[1:], 0.0)
+    f1 = np.where(gap > 0, f1, -1.0)
+    if f1.max() < 0:
+        return float(z[0])
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    at = best[gap[best].argmax()]
+    return float((z[at] + z[at + 1]) / 2)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
