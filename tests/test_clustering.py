@@ -300,3 +300,20 @@ def test_segments_stay_inside_runs():
     i = np.array([0, 1, 2, 3, 4, 10, 11, 12, 20])
     got = [a.tolist() for a in binary_keys.segment_bounds(i, 2, 1)]
     assert got == [[0, 2, 5], [1, 3, 6], [0, 1, 5], [2, 4, 7]]
+
+
+def test_products_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MATRIX_BLOCK", 4)
+    rnd = np.random.default_rng(4)
+    x = {"a": rnd.normal(size=(11, 3)), "b": rnd.normal(size=(2, 3)), "c": np.zeros((1, 3))}
+    df = spark.createDataFrame([(r, k, v.tolist()) for r in x for k, v in enumerate(x[r])], "rec string, k int, embedding array<float>")
+    got = {(r.rec, r.i, r.j): r.c for r in similarity.pairs(df).collect()}
+    assert len(got) == 121 + 4 + 1
+    for (r, i, j), c in got.items():
+        u = x[r] / np.maximum(np.linalg.norm(x[r], axis=1, keepdims=True), 1e-300)
+        assert abs(c - u[i] @ u[j]) < 1e-6
+    half = similarity.affinity_half(similarity.pairs(df)).where("rec = 'a'")
+    m = np.zeros((11, 11))
+    for r in half.collect():
+        m[r.i, r.j] = r.w
+    assert all(abs(r.w - (m @ m.T)[r.i, r.j]) < 1e-9 for r in similarity.diffuse(half).collect())

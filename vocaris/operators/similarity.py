@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocaris.functions.vector import as_doubles, dot, unit
+from vocaris.functions.vector import as_doubles
+from vocaris.sources.shared import cut
 
 #: Points and queries that one group holds, and scores in memory at a time.
 TILE_POINTS = 100_000
@@ -101,12 +102,53 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 10, partition: str | N
     return ranked if partition else ranked.drop("part")
 
 
+#: Rows of a recording in a block; a group is two blocks of one recording.
+MATRIX_BLOCK = 512
+
+
+def _products(batches: Iterator[pa.RecordBatch], unit_: bool, output: str) -> Iterator[pa.RecordBatch]:
+    """Rows (rec, a, b, kind, k, v) in order, the left block's rows (kind 0) before the right one's: the
+    products of all pairs of a group."""
+    at, left, right, rec = None, [], [], None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not left or not right:
+            return
+        (i, x), (j, y) = ((np.concatenate([k for k, _ in side]), np.concatenate([v for _, v in side])) for side in (left, right))
+        c = x @ y.T
+        yield pa.RecordBatch.from_arrays([pa.array([rec] * c.size, kind_of), pa.array(np.repeat(i, len(j))), pa.array(np.tile(j, len(i))), pa.array(c.ravel())], names=["rec", "i", "j", output])
+
+    for batch in batches:
+        kind_of = batch.schema.field(0).type
+        recs, a, b, kind, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        new = (recs[1:] != recs[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
+        cuts = np.flatnonzero(np.concatenate(([True], new))) if len(k) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(k)]):
+            if (recs[lo], a[lo], b[lo]) != at:
+                yield from close()
+                at, left, right, rec = (recs[lo], a[lo], b[lo]), [], [], batch.column(0)[int(lo)].as_py()
+            column = batch.column(5).slice(lo, hi - lo)
+            v = _unit_rows(column) if unit_ else column.flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+            (right if kind[lo] else left).append((k[lo:hi], v))
+    yield from close()
+
+
+def _all_products(rows: DataFrame, unit_: bool, output: str) -> DataFrame:
+    """(rec, i, j, output): products of all pairs of a recording's rows (rec, k, v: array). A recording is
+    dealt into blocks, and each two blocks of it are a group of their own."""
+    blocks = rows.groupBy("rec").agg(F.ceil(F.count(F.lit(1)) / MATRIX_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    placed = rows.join(blocks, "rec").select("rec", "k", as_doubles(F.col("v")).alias("v"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = lambda a, b, kind: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(kind).alias("kind"))
+    sides = placed.select("rec", F.explode(F.array(side("own", "other", 0), side("other", "own", 1))).alias("x"), "k", "v").select("rec", "x.a", "x.b", "x.kind", "k", "v")
+    k = rows.schema["k"].dataType
+    fields = [T.StructField("rec", rows.schema["rec"].dataType), T.StructField("i", k), T.StructField("j", k), T.StructField(output, T.DoubleType())]
+    return sides.repartition("rec", "a", "b").sortWithinPartitions("rec", "a", "b", "kind", "k").mapInArrow(lambda batches: _products(batches, unit_, output), T.StructType(fields))
+
+
 def pairs(windows: DataFrame) -> DataFrame:
     """(rec, i, j, c): cosines of all pairs of a recording's windows (rec, k, embedding)."""
-    n = windows.select("rec", "k", unit(as_doubles(F.col("embedding"))).alias("v"))
-    a = n.select("rec", F.col("k").alias("i"), F.col("v").alias("a"))
-    b = n.select("rec", F.col("k").alias("j"), F.col("v").alias("b"))
-    return a.join(b, "rec").select("rec", "i", "j", dot(F.col("a"), F.col("b")).alias("c"))
+    return _all_products(windows.select("rec", "k", F.col("embedding").alias("v")), True, "c")
 
 
 def affinity_half(cosines: DataFrame) -> DataFrame:
@@ -213,9 +255,8 @@ def symmetrize(affinity: DataFrame) -> DataFrame:
 
 def diffuse(affinity: DataFrame) -> DataFrame:
     """The matrix times its transpose."""
-    rows = affinity.groupBy("rec", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "w"))), lambda x: x.w).alias("a"))
-    other = rows.select("rec", F.col("i").alias("j"), F.col("a").alias("b"))
-    return rows.join(other, "rec").select("rec", "i", "j", dot(F.col("a"), F.col("b")).alias("w"))
+    rows = affinity.groupBy("rec", F.col("i").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "w"))), lambda x: x.w).alias("v"))
+    return _all_products(cut(rows), False, "w")  # read twice
 
 
 def row_max_norm(affinity: DataFrame) -> DataFrame:
@@ -238,8 +279,8 @@ def prune(affinity: DataFrame, p: float) -> DataFrame:
 
 
 def enhance(affinity: DataFrame) -> DataFrame:
-    """Diagonal, threshold, symmetry, diffusion, norm."""
-    return row_max_norm(diffuse(symmetrize(row_threshold(fill_diagonal(affinity)))))
+    """Diagonal, threshold, symmetry, diffusion, norm. What is read by more than one step is written."""
+    return row_max_norm(cut(diffuse(symmetrize(row_threshold(cut(fill_diagonal(affinity)))))))
 
 
 def eigengap_count(values: DataFrame, most: int = 25) -> DataFrame:
