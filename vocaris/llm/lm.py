@@ -46,7 +46,7 @@ _CONTEXT = _U(24)
 class Settings:
     smoothing: Smoothing = Smoothing()
     shard_tokens: int = 1_000_000
-    block_bytes: int = 4 << 20  # of text; a longer text is a block of its own
+    block_bytes: int = 2 << 20  # of text; a longer text is a block of its own
     hot_share: int = 2048
 
 
