@@ -125,7 +125,6 @@ def test_search_equals_brute_force_over_tiles(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "point long, vector array<float>, c int")
     queries = df.where("point % 50 = 0 or point = 7").select(F.col("point").alias("query"), "vector")
     monkeypatch.setattr(similarity, "TILE_POINTS", 200)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 64)
     y = x.astype(np.float32).astype(np.float64)
     u = y / np.linalg.norm(y, axis=1, keepdims=True)
     got = {}
