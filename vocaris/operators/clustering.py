@@ -8,11 +8,12 @@ Labels are numbered by first window; partitions, not label values, are what matt
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -394,16 +395,25 @@ def agglomerative(x: np.ndarray, speakers: int | None = None, threshold: float |
 METHODS: dict[str, Callable[..., np.ndarray]] = {"auto_spectral": auto_spectral, "spectral": spectral, "agglomerative": agglomerative}
 
 
-def cluster(windows: DataFrame, method: str = "auto_spectral", speakers: int | None = None) -> DataFrame:
-    """(rec, k, label) of windows (rec, k, embedding); label counts from 1."""
-    fit = METHODS[method]
+def cluster(windows: DataFrame, method: str = "auto_spectral", speakers: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(rec, k, label) of windows (rec, k, embedding); label counts from 1. counts (rec, speakers, most)
+    gives recordings a number of speakers of their own, or the most that may be found (not for
+    agglomerative, which looks for no number); nulls and recordings without a row go by ``speakers``."""
+    fit, each = METHODS[method], counts is not None
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
-        labels = fit(np.array(group.embedding.tolist(), dtype=np.float64), speakers)
+        own, most = (None if not each or pd.isna(v := group[c].iloc[0]) else int(v) for c in ("speakers", "most"))
+        x = np.array(group.embedding.tolist(), dtype=np.float64)
+        wanted = own or speakers
+        wanted = wanted and min(wanted, len(x))
+        labels = fit(x, wanted) if most is None or fit is agglomerative else fit(x, wanted, config=replace(CLUSTER, max_speakers=most))
         return pd.DataFrame({"rec": group.rec, "k": group.k, "label": labels + 1})
 
-    return windows.select("rec", "k", "embedding").groupBy("rec").applyInPandas(one, "rec long, k int, label int")
+    rows = windows.select("rec", "k", "embedding")
+    if counts is not None:
+        rows = rows.join(counts.select("rec", F.col("speakers").cast("int"), F.col("most").cast("int")), "rec", "left")
+    return rows.groupBy("rec").applyInPandas(one, "rec long, k int, label int")
 
 
 def blur(a: np.ndarray, sigma: float = 1.0) -> np.ndarray:

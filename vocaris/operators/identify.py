@@ -68,6 +68,20 @@ def stats_by_name(segments: DataFrame, names: DataFrame) -> DataFrame:
     return scored.groupBy("rec", "who").agg(F.round(F.sum("d"), 3).alias("duration"), F.sum("n").alias("nbr_seg"), F.round(last, 3).alias("spk_id_score"))
 
 
+def named_result(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """(rec, result): the wire document of segments (rec, seg, spk, s, e) under the names (rec, spk, name,
+    score) that were found; tags without one keep their own. Speakers are in order of their first
+    segments, and only found ones have a score."""
+    mapped = map_names(segments, names)
+    parts = F.struct(F.col("seg").alias("seg_id"), F.col("who").alias("spk_id"), F.col("s").alias("seg_begin"), F.col("e").alias("seg_end"))
+    segs = mapped.groupBy("rec").agg(F.sort_array(F.collect_list(parts)).alias("segments"))
+    first = mapped.groupBy("rec", "who").agg(F.min("seg").alias("first"))
+    stats = stats_by_name(segments, names).join(first, ["rec", "who"])
+    each = F.struct("first", F.col("who").alias("spk_id"), "spk_id_score", "duration", "nbr_seg")
+    bare = F.transform(F.sort_array(F.collect_list(each)), lambda x: x.dropFields("first"))
+    return stats.groupBy("rec").agg(bare.alias("speakers")).join(segs, "rec").select("rec", F.to_json(F.struct("speakers", "segments")).alias("result"))
+
+
 def identify_exclusive(tags: DataFrame, hits: DataFrame, min_similarity: float) -> DataFrame:
     """(rec, spk, speaker_id, name, votes) where no speaker is found twice in a recording: tags (rec,
     spk, total, first) go by speech time, and each winner is out for the later ones. hits: (rec, spk,

@@ -139,3 +139,8 @@ def plot_data(series: DataFrame, value: str, width: int) -> DataFrame:
     """(rec, bucket, low, high) of each width frames: what a plot of the series needs."""
     bucket = F.floor(F.col("i") / width).alias("bucket")
     return series.groupBy("rec", bucket).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def probability_plot(frames: DataFrame, seconds: float, width: int) -> DataFrame:
+    """(rec, t, low, high) of each width frames: the range of speech probabilities from second t on."""
+    return plot_data(frames, "p", width).select("rec", (F.col("bucket") * width * F.lit(seconds)).alias("t"), "low", "high")

@@ -906,6 +906,11 @@ def plot_data(s, d):
     return vad.plot_data(many_frames(s, d), "p", 10)
 
 
+@query("vad_plot", _with(_MANY, "SELECT rec, (i // 25) * 25 * CAST(0.096 AS DOUBLE) AS t, min(p) AS low, max(p) AS high FROM frames GROUP BY rec, i // 25"))
+def vad_plot(s, d):
+    return vad.probability_plot(many_frames(s, d), 0.096, 25)
+
+
 @query("wire_segments_cli", _with(_NAMED, "SELECT rec, seg AS seg_id, spk_id, round(s, 0) AS seg_begin, round(e, 0) AS seg_end FROM named"))
 def wire_segments_cli(s, d):
     return turns.wire_segments(conversation_turns(s, d), 0).withColumn("seg_id", F.col("seg_id").cast("long"))

@@ -38,9 +38,9 @@ def label_turns(windows: DataFrame, labels: DataFrame, config: DiarizeConfig = D
     return merged.select("rec", F.col("turn").alias("seg"), (F.col("s") / float(config.rate)).alias("s"), (F.col("e") / float(config.rate)).alias("e"), "label")
 
 
-def diarize(windows: DataFrame, config: DiarizeConfig = DIARIZE) -> DataFrame:
-    """Turns of embedded windows (rec, k, s, e, embedding)."""
-    return label_turns(windows.select("rec", "k", "s", "e"), clustering.cluster(windows, config.method, config.speakers), config)
+def diarize(windows: DataFrame, config: DiarizeConfig = DIARIZE, counts: DataFrame | None = None) -> DataFrame:
+    """Turns of embedded windows (rec, k, s, e, embedding). counts: see clustering.cluster."""
+    return label_turns(windows.select("rec", "k", "s", "e"), clustering.cluster(windows, config.method, config.speakers, counts), config)
 
 
 def identify_speakers(queries: DataFrame, voiceprints: DataFrame, min_similarity: float = 0.5, k: int = 10, allowed: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:

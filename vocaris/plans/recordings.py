@@ -44,11 +44,11 @@ def embedded_windows(recordings: DataFrame, speech: Model, voice: Model, config:
     return audio.embed(cut_pieces(known, windows.select("rec", number.alias("k"), "s", "e")), voice)
 
 
-def diarize_audio(recordings: DataFrame, speech: Model, voice: Model, config: DiarizeConfig = DIARIZE) -> DataFrame:
+def diarize_audio(recordings: DataFrame, speech: Model, voice: Model, config: DiarizeConfig = DIARIZE, counts: DataFrame | None = None) -> DataFrame:
     """Turns (rec, seg, s, e, label), in seconds, of recordings (path, samples). One without speech has
-    none."""
+    none. counts (rec, speakers, most) gives recordings numbers of speakers of their own."""
     # windows are read twice, by clustering and by turns: written, so that the models run once
-    return diarize(cut(embedded_windows(recordings, speech, voice, config)), config)
+    return diarize(cut(embedded_windows(recordings, speech, voice, config)), config, counts)
 
 
 def legacy_turns(recordings: DataFrame, detector: Callable[[bytes, int], bool], speakers: int | None = None, hop: int = 30, shift: float = 0.01, least: int = 30, **settings: int) -> DataFrame:

@@ -40,16 +40,20 @@ def to_mono_16k(rate: int, samples: np.ndarray) -> np.ndarray:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, sr, channels, samples) of all WAV files under path, as 16 kHz mono; sr and channels are
     the file's own. Unreadable files come with nulls."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The same of files (path, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [decode(c) for c in part.content]
+            rows = [None if c is None else decode(c) for c in part.content]
             yield pd.DataFrame(
                 {"path": part.path, "sr": pd.array([r and r[0] for r in rows], "Int32"), "channels": pd.array([r and r[1] for r in rows], "Int32"), "samples": [None if r is None else to_mono_16k(r[0], r[2]) for r in rows]}
             )
 
-    return files.mapInPandas(run, RECORDINGS)
+    return files.select("path", "content").mapInPandas(run, RECORDINGS)
 
 
 def is_16k_mono(df: DataFrame) -> DataFrame:
