@@ -120,12 +120,15 @@ def test_buckets_find_what_leaders_miss(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _, k in brute(rows) if k] and kept.columns == ["doc_id", "text", "component_id", "t"]
 
 
-def test_large_family_is_dealt_in_proportion(spark, monkeypatch):
+def groups(dealt):
+    return dealt.groupBy("h", "band", "tile", "chunk").count()
+
+
+def test_large_family_is_dealt_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE_ROWS", 4)
-    monkeypatch.setattr(near_dedup, "TILES", 4)  # so that even the smaller family has as many
     seen = []
     deal = near_dedup.dealt
-    monkeypatch.setattr(near_dedup, "dealt", lambda rows: seen.append(deal(rows).count()) or deal(rows))
+    monkeypatch.setattr(near_dedup, "dealt", lambda rows, settings: seen.append(deal(rows, settings).count()) or deal(rows, settings))
     total = []
     for n in (600, 2400):
         rows = family(3, n, 120, 6)
@@ -134,14 +137,38 @@ def test_large_family_is_dealt_in_proportion(spark, monkeypatch):
         total.append(sum(seen))
         assert n > 1000 or sorted(tuple(r) for r in got) == brute(rows)
         assert len(got) == n and sum(r.component_id == 0 for r in got) > 0.6 * n
-    assert total[0] and total[1] <= 1.3 * 4 * total[0]
+    # less than by the square, though not in proportion: tiles have no largest number
+    assert total[0] and total[1] <= 1.3 * 4**1.5 * total[0]
+
+
+def classes(spark, n, size):
+    return spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{size} n", "binary('x') wide", "array(1L) hs")
 
 
-def test_separate_classes_of_one_bucket(spark):
-    # one bucket of many classes that aren't linked: rows grow with the classes, not their square
+def test_separate_classes_of_one_bucket(spark, monkeypatch):
     n = 20000
-    rows = spark.range(n).selectExpr("1L h", "cast(cast(id as string) as binary) digest", "cast(cast(id as string) as binary) comp", "binary('0') main", f"{n}L m", f"{n - 1}L q", "10L n", "binary('x') wide", "array(1L) hs")
-    assert near_dedup.dealt(rows).count() <= 2 * near_dedup.TILES * n
+    rows = near_dedup.dealt(classes(spark, n, "10L"))
+    assert rows.count() <= 10 * n and groups(rows).agg({"count": "max"}).first()[0] < 1.2 * 2 * n / 5
+    # where tiles would be too large there are more of them
+    monkeypatch.setattr(near_dedup, "MOST_ROWS", 500)
+    largest = groups(near_dedup.dealt(classes(spark, n, "10L"))).agg({"count": "max"}).first()[0]
+    assert largest < 1.3 * 2 * 500
+
+
+def test_sizes_that_can_be_similar_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", 3)
+    n = 90
+    rows = near_dedup.dealt(classes(spark, n, "id + 1")).collect()
+    met = {}
+    for r in rows:
+        met.setdefault((r.h, r.band, r.tile, r.chunk), ([], []))[r.query].append(r.n)
+    pairs = [(min(a, b), max(a, b)) for stay, ask in met.values() for a in stay for b in ask]
+    want = {(a, b) for a in range(1, n + 1) for b in range(a, n + 1) if 100 * a >= 80 * b} - {(1, 1)}  # main doesn't ask
+    assert want <= set(pairs) and all(a >= 0.8**2 * b * 0.999 for a, b in pairs)
+    # from either side, once
+    assert len(pairs) == 2 * len(set(pairs)) - (n - 1)
+    many = near_dedup.dealt(classes(spark, 20000, "1 + id"), near_dedup.SETTINGS)
+    assert many.count() < near_dedup.dealt(classes(spark, 20000, "10L")).count()
 
 
 def test_empty_table_and_repeats(spark):

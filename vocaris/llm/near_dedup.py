@@ -10,8 +10,8 @@
 5. A bucket whose classes links leave in several components is compared by odd sketches of the whole
    sets, in tiles: each class outside the largest component meets all others of the bucket, and pairs
    of different components that sizes and sketches don't reject (by 5.5 deviations) are confirmed on
-   whole sets. So no link is lost that a leader didn't see. A class is sent to a bounded number of
-   tiles, so that what is shuffled grows with the bucket and not with its square.
+   whole sets. So no link is lost that a leader didn't see. Sets of a bucket meet only where their sizes
+   let them be similar, and tiles have a largest size, so that tasks stay bounded.
 
 Sets are read again only for candidate classes; a Bloom filter keeps other texts out of the shuffle.
 
@@ -23,6 +23,7 @@ table gives an empty table; other columns are kept by ``keep_one`` and aren't re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,10 @@ from vocaris.llm.membership import anti_join, semi_join
 from vocaris.llm.near_kernels import SETTINGS, Settings
 from vocaris.llm.textkernels import blocks, unique_sorted
 
-#: A bucket of m classes is cut into sqrt(m / TILE_ROWS) tiles and as many chunks, at most TILES; tiles
-#: grow beyond that, by about 0.2 KB a class.
+#: m classes of a bucket and size band are cut into sqrt(m / TILE_ROWS) tiles, or more where a tile would
+#: exceed MOST_ROWS classes (about 0.2 KB each, 1 KB in Python).
 TILE_ROWS = 800
-TILES = 64
+MOST_ROWS = 100_000
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings = SETTINGS) -> DataFrame:
@@ -122,33 +123,40 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, settings: S
 
 
 def open_members(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """(h, digest, comp, main, m, q, n, wide, hs) of buckets of three classes or more that links leave in
-    several components: main is the component with most classes, m counts all classes and q those
-    outside main. Of buckets with the same members one stands for all."""
+    """(h, digest, comp, main, n, wide, hs) of buckets of three classes or more that links leave in
+    several components: main is the component with most classes. Of buckets with the same members one stands for all."""
     comps = connected_components(links).withColumnRenamed("node", "digest")
     known = cut(sets.join(comps, "digest", "left").select("digest", "n", "wide", F.coalesce("component", "digest").alias("comp")))
     placed = members.join(known.select("digest", "comp"), "digest").withColumns({"x": F.xxhash64("digest").cast("decimal(38,0)"), "y": F.xxhash64("digest", F.lit(1)).cast("decimal(38,0)")})
     parts = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     buckets = parts.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y")).where("parts > 1 and m > 2")
     one = buckets.groupBy("m", "x", "y").agg(F.min(F.struct("h", "top")).alias("b"))
-    open_ = cut(one.select("b.h", F.col("b.top.comp").alias("main"), "m", (F.col("m") - F.col("b.top.m")).alias("q")))
+    open_ = cut(one.select("b.h", F.col("b.top.comp").alias("main")))
     found = members.join(open_, "h")
     # the open buckets of a class, at most one for each band: a pair belongs to the first that both are in
     own = found.groupBy("digest").agg(F.sort_array(F.collect_list("h")).alias("hs"))
     return found.join(known.join(own, "digest"), "digest")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """(h, tile, chunk, query, digest, comp, n, wide, hs): every chunk of a bucket's classes outside main
-    meets every tile of its classes. A bucket has at most TILES tiles and chunks, so that a class
-    appears at most 2 * TILES times, however large the bucket."""
-    number = lambda n: F.least(F.ceil(F.sqrt(n / TILE_ROWS)), F.lit(TILES)).cast("long")
+def dealt(rows: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """(h, band, tile, chunk, query, digest, comp, n, wide, hs): every chunk of a bucket's classes outside
+    main meets every tile of its classes, where sizes allow a link: similar sets lie in one band of
+    sizes or in neighbouring ones, as bands are as wide as the largest ratio of their sizes."""
+    # a little wider than the ratio, which rounding can't undo
+    width = math.log(100 / settings.percent) * (1 + 1e-9)
+    own = ["digest", "comp", "n", "wide", "hs"]
+    placed = rows.select("h", F.floor(F.log("n") / width).cast("int").alias("band"), (F.col("comp") != F.col("main")).alias("asks"), *own)
+    around = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    found = placed.groupBy("h", "band").agg(F.count(F.lit(1)).alias("m"), F.count_if("asks").alias("q"))
+    asking = found.select("h", around, "q").groupBy("h", "band").agg(F.sum("q").alias("q"))
+    counts = cut(found.select("h", "band", "m").join(asking, ["h", "band"]).where("q > 0"))
+    number = lambda n: F.greatest(F.ceil(F.sqrt(n / TILE_ROWS)), F.ceil(n / MOST_ROWS)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), number(n) - 1))
     tile, chunk = F.pmod(F.xxhash64("digest"), number(F.col("m"))), F.pmod(F.xxhash64("digest", F.lit(1)), number(F.col("q")))
-    own = ["digest", "comp", "n", "wide", "hs"]
-    stay = rows.select("h", tile.alias("tile"), each(F.col("q")).alias("chunk"), F.lit(0).alias("query"), *own)
-    ask = rows.where("comp <> main").select("h", each(F.col("m")).alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), *own)
-    return stay.unionByName(ask).repartition("h", "tile", "chunk").sortWithinPartitions("h", "tile", "chunk", "query")
+    stay = placed.join(counts, ["h", "band"]).select("h", "band", tile.alias("tile"), each(F.col("q")).alias("chunk"), F.lit(0).alias("query"), *own)
+    ask = placed.where("asks").select("h", around, *own).join(counts, ["h", "band"]).select("h", "band", each(F.col("m")).alias("tile"), chunk.alias("chunk"), F.lit(1).alias("query"), *own)
+    key = ["h", "band", "tile", "chunk"]
+    return stay.unionByName(ask).repartition(*key).sortWithinPartitions(*key, "query")
 
 
 class _Tile:
@@ -184,9 +192,9 @@ def candidates(rows: DataFrame, which: str, settings: Settings) -> DataFrame:
         key, held, tile = None, [], None
         for batch in batches:
             out: set[tuple[bytes, bytes]] = set()
-            for h, t, c, query, digest, comp, n, wide, hs in zip(*(x.to_pylist() for x in batch.columns)):
-                if (h, t, c) != key:
-                    key, held, tile = (h, t, c), [], None
+            for h, band, t, c, query, digest, comp, n, wide, hs in zip(*(x.to_pylist() for x in batch.columns)):
+                if (h, band, t, c) != key:
+                    key, held, tile = (h, band, t, c), [], None
                 if not query:
                     held.append((digest, comp, n, wide, hs))
                     continue
@@ -196,7 +204,7 @@ def candidates(rows: DataFrame, which: str, settings: Settings) -> DataFrame:
             pairs = sorted(out)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
-    return map_arrow(dealt(rows), run, [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]).distinct()
+    return map_arrow(dealt(rows, settings), run, [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]).distinct()
 
 
 def all_links(members: DataFrame, classes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
