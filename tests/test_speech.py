@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vocaris.operators import framing, turns, vad
+from vocaris.plans import catalog
 
 
 def fold_vad(scores, samples, c=vad.VAD):
@@ -151,6 +152,78 @@ def test_frame_labels_and_transcript(spark):
     assert [r.text for r in turns.transcript(segments, words).orderBy("seg").collect()] == ["a", "b c d e"]
 
 
+def fold_transcript(rows):
+    last = lambda *keys: tuple((k is None, k) for k in keys)
+    out = {}
+    for rec in {r[0] for r in rows}:
+        said = sorted((r[1:] for r in rows if r[0] == rec), key=lambda r: last(*r))
+        words = [x[-1] for x in sorted((last(*r), p, x) for r in said for p, x in enumerate((r[2] or "").split(" ")))]
+        end = lo = 0
+        for seg, r in enumerate(said, 1):
+            end += len(r[2] or "") // 4 + 1
+            cut = max(sum((n + 1) * 2 < end for n in range(len(words))) - 1, 0)
+            out[rec, seg] = " ".join(words[lo : None if seg == len(said) else cut]) if rec is not None else ""
+            lo = cut
+    return out
+
+
+def shuffled(plan):
+    """Bytes of the rows that an executed plan has sent through exchanges."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def test_transcript_of_odd_rows(spark, tmp_path):
+    """Nulls come last in a conversation, as in the SQL; equal rows give their words in turns."""
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(["a", "bb", "", "dé", "wörds"]) for _ in range(n))
+    rows = []
+    for rec in [*range(12), None]:
+        for _ in range(r.randint(1, 7)):
+            rows += [(rec, r.choice([0, 1, None]), r.choice(["user", "assistant", None]), r.choice([None, "", text(2), text(40), text(700)]))] * r.choice([1, 1, 3])
+    rows += [(20, k // 2, "user", r.choice([None, "yes no", text(9)])) for k in range(200)] + [(21, 0, "user", text(3000))]
+    spark.createDataFrame(rows, CONVERSATIONS).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["transcript_align"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {(x.rec, x.seg): x.text for x in got} == fold_transcript(rows)
+
+
+def test_transcript_moves_texts_not_words(spark, tmp_path):
+    """A text isn't repeated for each of its words."""
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(k // 5, k % 5, "user", text) for k in range(300)]
+    spark.createDataFrame(rows, CONVERSATIONS).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = catalog.QUERIES["transcript_align"](spark, str(tmp_path))
+    assert sum(x.text.count(" ") + 1 for x in df.collect()) == 300 * 400
+    assert shuffled(df._jdf.queryExecution().executedPlan()) < 40 * 300 * len(text)
+
+
+def test_transcript_of_runs(spark):
+    """Runs of words as their words alone, blocks of any length."""
+    r = random.Random(4)
+    words, runs, segments = [], [], []
+    for rec in range(8):
+        n, at = 0, 0.0
+        for _ in range(r.randint(0, 9)):
+            run = [(at := at + r.choice([0.0, 0.5, 1.0]), r.choice(["a", "b c", "", None])) for _ in range(r.choice([1, 3, 50]))]
+            words += [(rec, n + p, e, x) for p, (e, x) in enumerate(run)]
+            runs.append((rec, n, [e for e, _ in run], [x for _, x in run]))
+            n, at = n + len(run), at + 0.5
+        segments += [(rec, k, e) for k, e in enumerate(sorted(r.uniform(0, at + 2) // 0.5 * 0.5 for _ in range(r.choice([1, 4, 30]))), 1)]
+    segments, words, runs = spark.createDataFrame(segments, "rec long, seg int, e double"), spark.createDataFrame(words, "rec long, w int, e double, text string"), spark.createDataFrame(runs, "rec long, n long, ends array<double>, texts array<string>")
+    want = {(x.rec, x.seg): x.text for x in turns.transcript(segments, words).collect()}
+    for block in (1, 7, 256):
+        got = turns.transcript_of_runs(segments, runs, block).collect()
+        assert len(got) == len(want) and {(x.rec, x.seg): x.text for x in got} == want
+
+
 def test_windows_segments_and_budgets(spark):
     utt = spark.createDataFrame([(1, 1, 100, 100 + 50000), (1, 2, 70000, 80000), (1, 3, 90000, 114000)], "rec long, utt int, s long, e long")
 

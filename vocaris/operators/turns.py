@@ -109,14 +109,40 @@ def frame_labels_to_turns(frames: DataFrame, min_frames: int = 30) -> DataFrame:
 def transcript(segments: DataFrame, words: DataFrame) -> DataFrame:
     """Words (rec, w, e, text) given to segments (rec, seg, e): segment number n takes the words from
     where n - 1 stopped up to the last word that ends before its own end, less one; the last segment
-    takes the rest. Both are merged in order of time by one window, instead of a range join."""
-    ends = words.select("rec", F.col("e").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("seg"))
-    marks = segments.select("rec", F.col("e").alias("t"), F.lit(0).alias("kind"), "seg")
+    takes the rest."""
+    n = F.row_number().over(Window.partitionBy("rec").orderBy("w")) - 1
+    return transcript_of_runs(segments, words.select("rec", n.cast("long").alias("n"), F.array("e").alias("ends"), F.array("text").alias("texts")))
+
+
+def transcript_of_runs(segments: DataFrame, runs: DataFrame, block: int = 256) -> DataFrame:
+    """As transcript, of runs (rec, n, ends, texts) of consecutive words, n words after the first of the
+    recording; ends ascend in a run, and one run ends before the next in time begins. Runs are cut at
+    blocks of words: no row holds more than a block, none is made for a word alone. Ends and marks are
+    merged in order of time by one window; segments meet their words by block."""
+    at = runs.withColumn("size", F.size("texts")).where("size > 0")
+    blocks = F.sequence(F.floor(F.col("n") / block), F.floor((F.col("n") + F.col("size") - 1) / block))
+
+    def cut(b: Column) -> Column:
+        first = F.greatest(b * block, F.col("n"))
+        size = (F.least((b + 1) * block, F.col("n") + F.col("size")) - first).cast("int")
+        skip = (first - F.col("n") + 1).cast("int")
+        return F.struct(b.alias("b"), first.alias("n"), size.alias("size"), F.slice("ends", skip, size).alias("ends"), F.slice("texts", skip, size).alias("texts"))
+
+    pieces = at.select("rec", F.explode(F.transform(blocks, cut)).alias("x")).select("rec", "x.*")
+    ends = pieces.select("rec", F.col("ends")[0].alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("seg"), F.col("size").cast("long").alias("size"), "ends")
+    marks = segments.select("rec", F.col("e").alias("t"), F.lit(0).alias("kind"), "seg", F.lit(0).cast("long").alias("size"), F.lit(None).cast("array<double>").alias("ends"))
     w = Window.partitionBy("rec").orderBy("t", "kind", "seg").rowsBetween(Window.unboundedPreceding, 0)
-    counted = ends.unionByName(marks).withColumn("c", F.sum("kind").over(w)).where("kind = 0")
+    merged = ends.unionByName(marks).select("rec", "seg", "t", "kind", F.sum("size").over(w).alias("c"), F.last("ends", ignorenulls=True).over(w).alias("open"), F.sum("size").over(Window.partitionBy("rec")).alias("total"))
+    late = F.coalesce(F.array_size(F.filter("open", lambda x: x >= F.col("t"))), F.lit(0))
+    cuts = merged.where("kind = 0").select("rec", "seg", "total", F.greatest(F.col("c") - late - 1, F.lit(0)).alias("cut"))
     by = Window.partitionBy("rec").orderBy("seg")
-    cuts = counted.select("rec", "seg", F.greatest(F.col("c") - 1, F.lit(0)).alias("cut"))
-    slices = cuts.select("rec", "seg", F.coalesce(F.lag("cut").over(by), F.lit(0)).alias("lo"), F.when(F.lead("seg").over(by).isNull(), F.lit(1 << 40)).otherwise(F.col("cut")).alias("hi"))
-    numbered = words.withColumn("n", F.row_number().over(Window.partitionBy("rec").orderBy("w")) - 1)
-    said = slices.join(numbered, "rec").where("n >= lo and n < hi").groupBy("rec", "seg").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("x"))
-    return slices.join(said, ["rec", "seg"], "left").select("rec", "seg", F.coalesce(F.array_join(F.transform("x", lambda y: y.text), " "), F.lit("")).alias("text"))
+    slices = cuts.select("rec", "seg", F.coalesce(F.lag("cut").over(by), F.lit(0)).alias("lo"), F.when(F.lead("seg").over(by).isNull(), F.col("total")).otherwise(F.col("cut")).alias("hi"))
+    covered = F.when(F.col("lo") < F.col("hi"), F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)))
+    asked = slices.select("rec", "seg", "lo", "hi", F.explode_outer(covered).alias("b"))
+    heard = pieces.select(F.col("rec").alias("of"), F.col("b").alias("at"), "n", "size", "texts")
+    met = asked.join(heard, F.expr("of = rec and at = b and n < hi and n + size > lo"), "left")
+    first = F.greatest("lo", "n")
+    said = F.slice("texts", (first - F.col("n") + 1).cast("int"), (F.least("hi", F.col("n") + F.col("size")) - first).cast("int"))
+    parts = met.select("rec", "seg", first.alias("n"), said.alias("said"))
+    x = F.when(F.exists("said", lambda y: y.isNotNull()), F.struct("n", F.array_join("said", " ").alias("text")))
+    return parts.groupBy("rec", "seg").agg(F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda y: y.text), " ").alias("text"))

@@ -667,13 +667,23 @@ sg AS (SELECT conv_id AS rec, row_number() OVER (PARTITION BY conv_id ORDER BY t
 c AS (SELECT sg.rec, seg, greatest((SELECT count(*) FROM w WHERE w.rec = sg.rec AND (n + 1) * 2 < sg.e) - 1, 0) AS cut FROM sg),
 b AS (SELECT rec, seg, coalesce(lag(cut) OVER x, 0) AS lo, CASE WHEN lead(seg) OVER x IS NULL THEN 1099511627776 ELSE cut END AS hi FROM c WINDOW x AS (PARTITION BY rec ORDER BY seg))""", "SELECT b.rec, b.seg, coalesce(string_agg(w.word, ' ' ORDER BY n), '') AS text FROM b LEFT JOIN w ON w.rec = b.rec AND n >= lo AND n < hi GROUP BY b.rec, b.seg"))
 def transcript_align(s, d):
-    c = _table(s, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    seg = c.select(F.col("conv_id").alias("rec"), F.row_number().over(w).alias("seg"), F.sum(F.floor(F.length("text") / 4) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("e"))
-    each = c.select(F.col("conv_id").alias("rec"), "turn", "role", F.col("text").alias("t"), F.posexplode(F.split("text", " ")).alias("p", "text"))
-    n = F.row_number().over(Window.partitionBy("rec").orderBy("turn", "role", "t", "p"))
-    words = each.select("rec", n.alias("w"), (n * 2).cast("double").alias("e"), "text")
-    return turns.transcript(seg, words).withColumn("seg", F.col("seg").cast("long"))
+    # equal rows of a conversation give their words in turns: each first word, then each second
+    w = Window.partitionBy("conv_id").orderBy(*(F.col(k).asc_nulls_last() for k in ("turn", "role", "text")))
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    said = F.coalesce("text", F.lit(""))
+    size = F.length(said) - F.length(F.replace(said, F.lit(" "))) + 1
+    c = _table(s, d, "conversations").select(
+        F.col("conv_id").alias("rec"), said.alias("text"), size.cast("long").alias("size"), F.row_number().over(w).alias("seg"),
+        F.sum(F.floor(F.length(said) / 4) + 1).over(before).cast("double").alias("e"), F.sum(size).over(before).alias("upto"),
+        (F.row_number().over(w) - F.rank().over(w)).cast("long").alias("i"), F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)).alias("equal"),
+    )
+    n = F.col("upto") - (F.col("i") + 1) * F.col("size")
+    words = F.split("text", " ")
+    one = F.array(F.struct(n.alias("n"), words.alias("texts")))
+    each = F.transform(words, lambda x, p: F.struct((n + p * F.col("equal") + F.col("i")).alias("n"), F.array(x).alias("texts")))
+    runs = c.select("rec", F.inline(F.when(F.col("equal") == 1, one).otherwise(each)))
+    ends = F.transform("texts", lambda _, p: ((F.col("n") + p + 1) * 2).cast("double"))
+    return turns.transcript_of_runs(c.select("rec", "seg", "e"), runs.select("rec", "n", ends.alias("ends"), "texts")).withColumn("seg", F.col("seg").cast("long"))
 
 
 # --- names, requests, store ------------------------------------------------------------------
